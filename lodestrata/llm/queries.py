@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import exact_dedup, simhash
+from lodestrata.llm import decontam, exact_dedup, langid, packing, simhash
+from lodestrata.llm.common import fold_bucket
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer() -> tuple[str, str]:
+    """Path and word pattern of the public byte-level BPE."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_read(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,6 +36,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_bucket(F.col("doc_id"), 5) == 0
+    found = langid.identify(docs, langid.train(docs.where(~held_out)))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), (fold_bucket(F.col("_row.doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), F.col("item_id").isNotNull().alias("contaminated"), "item_id", F.col("matched").alias("matched_windows"))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -32,7 +56,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
