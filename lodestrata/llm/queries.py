@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, exact_dedup, langid, packing, simhash
+from lodestrata.llm import decontam, exact_dedup, langid, packing, sharding, simhash, warc
 from lodestrata.llm.common import fold_bucket
 
 
@@ -36,6 +36,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign_shards(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("_key").alias("doc_id"), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(warc.write_archive(_read(spark, sf_dir, "pages"))).drop("url")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold_bucket(F.col("doc_id"), 5) == 0
@@ -54,10 +63,29 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+     b AS (SELECT doc_id, n_bytes, h, depth, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_docs
+           FROM d, range(0, 61) r(depth) WINDOW w AS (PARTITION BY depth, h >> (60 - depth)))
+SELECT doc_id, n_bytes, substr(lpad(bin(h >> (60 - depth)), 60, '0'), (61 - depth)::BIGINT) AS shard,
+       depth, shard_bytes::BIGINT AS shard_bytes, shard_docs
+FROM b WHERE shard_bytes <= {sharding.LIMIT_BYTES} OR shard_docs = 1
+QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+     t AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p)
+SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM t
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination}
+    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_sharding": OP6_SQL, "op10_warc": OP10_SQL}
