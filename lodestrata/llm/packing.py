@@ -14,6 +14,7 @@ packed each on its own.  An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,20 @@ CAPACITY = 2048
 #: Nodes of the branch and bound, and of one search for fillings; beyond them the incumbent stands.
 NODES, FILL_NODES, FILLINGS = 20_000, 4_000, 4
 #: Words whose ids a worker keeps; texts that are encoded together.
-CACHED_WORDS, TOGETHER = 300_000, 64
+CACHED_WORDS, TOGETHER = 1_000_000, 64
+#: The word pattern of byte-level BPE in the terms of ``re``, which is faster than ``regex``; they differ on numeric characters that aren't decimal digits.
+PLAIN_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Fixed list: those characters of Latin-1.
+LATIN_NUMERIC = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
+
+
+def is_plain(text: str) -> bool:
+    """Whether ``PLAIN_WORDS`` splits the text as the tokenizer does: Latin-1 without numeric signs."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not any(c in text for c in LATIN_NUMERIC)
 
 
 def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
@@ -152,10 +166,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(pattern).findall
+        self.every_word, self.plain_words = regex.compile(pattern).findall, re.compile(PLAIN_WORDS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+    def words(self, text: str) -> list[str]:
+        return self.plain_words(text) if is_plain(text) else self.every_word(text)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

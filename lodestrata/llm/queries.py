@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, exact_dedup, langid, packing, sharding, simhash, warc
+from lodestrata.llm import decontam, exact_dedup, langid, packing, quality, sharding, simhash, warc
 from lodestrata.llm.common import fold_bucket
 
 
@@ -36,6 +36,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = fold_bucket(F.col("doc_id"), 4) != 2
+    model = quality.train(docs.where(learned), _read(spark, sf_dir, "labels").where(learned))
+    found = quality.score(docs, model)
+    return found.select(F.col("_row.doc_id").alias("doc_id"), (fold_bucket(F.col("_row.doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign_shards(_read(spark, sf_dir, "documents"))
     return found.select(F.col("_key").alias("doc_id"), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
@@ -84,7 +92,7 @@ SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
