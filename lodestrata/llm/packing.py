@@ -13,6 +13,7 @@ packed each on its own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -28,7 +29,7 @@ from lodestrata.llm.common import cut, text_or_empty
 
 CAPACITY = 2048
 #: Nodes of the branch and bound, and of one search for fillings; beyond them the incumbent stands.
-NODES, FILL_NODES, FILLINGS = 20_000, 4_000, 4
+NODES, FILL_NODES, FILLINGS = 4_000, 1_000, 4
 #: Words whose ids a worker keeps; texts that are encoded together.
 CACHED_WORDS, TOGETHER = 1_000_000, 64
 #: The word pattern of byte-level BPE in the terms of ``re``, which is faster than ``regex``; they differ on numeric characters that aren't decimal digits.
@@ -190,6 +191,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """A worker process serves many tasks; they share what it remembers."""
+    return Encoder(path, pattern)
+
+
 def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, but for the first."""
     first = (tokens - 1) % capacity + 1
@@ -198,7 +205,7 @@ def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
 
 def _piece_maker(path: str, pattern: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path, pattern), np.zeros(capacity + 1, np.int64)
+        encoder, seen = encoder_of(path, pattern), np.zeros(capacity + 1, np.int64)
         task, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
