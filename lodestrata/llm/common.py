@@ -54,7 +54,7 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs start from the files."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, exact_dedup, langid, packing, quality, sharding, simhash, warc
+from lodestrata.llm import decontam, exact_dedup, langid, lm, packing, quality, sharding, simhash, warc
 from lodestrata.llm.common import fold_bucket
 
 
@@ -36,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     learned = fold_bucket(F.col("doc_id"), 4) != 2
@@ -92,7 +96,7 @@ SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
