@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, exact_dedup, langid, lm, packing, quality, sharding, simhash, warc
+from lodestrata.llm import decontam, exact_dedup, langid, linededup, lm, packing, quality, sharding, simhash, warc
 from lodestrata.llm.common import fold_bucket
 
 
@@ -64,6 +64,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), (fold_bucket(F.col("_row.doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_decisions(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("_id").alias("doc_id"), "n_lines", "n_removed", F.concat_ws(",", F.transform("kept_lines", lambda x: x.cast("string"))).alias("kept_lines"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return found.select(F.col("_row.doc_id").alias("doc_id"), F.col("item_id").isNotNull().alias("contaminated"), "item_id", F.col("matched").alias("matched_windows"))
@@ -96,7 +101,7 @@ SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_lm": op3_lm, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_langid": op7_langid, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
