@@ -63,6 +63,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python a few thousand at a time: Spark's default of 10,000 rows suits narrow rows and takes several times the memory here."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

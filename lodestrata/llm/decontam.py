@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import text_or_empty
+from lodestrata.llm.common import text_batches, text_or_empty
 
 WINDOW, RUN, SHORTEST = 8, 6, 4
 #: Characters of benchmark text in a block.
@@ -197,6 +197,7 @@ def _matching(spread):
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """_row (all columns of ``docs``), item_id (null if clean) and the number of its windows that matched."""
     spark = docs.sparkSession
+    text_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(item_text_col).alias("text")).where("item is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty(text_col).alias("_t"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("matched"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import BROADCAST_ROWS, cut
+from lodestrata.llm.common import BROADCAST_ROWS, cut, text_batches
 
 #: First prefix in bytes; each level multiplies it.
 FIRST_WIDTH, WIDER = 8, 8
@@ -103,6 +103,7 @@ def _in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: _id, keep_id, group_size, kept, text_sha256, and ``_row`` (all columns) if ``carry``."""
     spark = docs.sparkSession
+    text_batches(spark)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     src = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []), F.col(id_col).cast("long").alias("_id"), body.alias("_t"))
     prefix = lambda w: F.substring("_t", 1, w)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import cut, fold_bucket, text_or_empty
+from lodestrata.llm.common import cut, fold_bucket, text_batches, text_or_empty
 
 #: Hash functions; bits of filter per contained trigram of the largest language; most cells; languages per cell word.
 HASHES, BITS_PER_GRAM, MAX_CELLS, PER_WORD = 4, 12, 1 << 22, 62
@@ -118,6 +118,7 @@ def _cells_of(bits: int):
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """From all rows that have a language."""
+    text_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("_t"))
     counts = cut(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: (r["n"], r["k"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= LEAST).alias("k")).collect()}  # a row for each language
@@ -170,6 +171,7 @@ def _predictor(spread):
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """_row (all columns of ``docs``), lang_pred, score, coverage."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty(text_col).alias("_t"))
     found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())]
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), T.StructType([rows.schema["_row"], *found]))

@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, text_or_empty
+from lodestrata.llm.common import cut, text_batches, text_or_empty
 
 CAPACITY = 2048
 #: Nodes of the branch and bound, and of one search for fillings; beyond them the incumbent stands.
 NODES, FILL_NODES, FILLINGS = 4_000, 1_000, 4
 #: Words whose ids a worker keeps; texts that are encoded together.
-CACHED_WORDS, TOGETHER = 1_000_000, 64
+CACHED_WORDS, TOGETHER = 300_000, 64
 #: The word pattern of byte-level BPE in the terms of ``re``, which is faster than ``regex``; they differ on numeric characters that aren't decimal digits.
 PLAIN_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Fixed list: those characters of Latin-1.
@@ -183,11 +183,13 @@ class Encoder:
             part = texts[at : at + TOGETHER]
             split = [None if any(s in x for s in self.special) else self.words(x) for x in part]
             new = list(set().union(*[set(w) for w in split if w]).difference(self.known))
-            self.known.update(zip(new, self._encode(new), strict=True))
-            get = self.known.__getitem__
+            found = dict(zip(new, self._encode(new), strict=True))
+            if len(self.known) < CACHED_WORDS:  # frequent words come early
+                self.known |= found
+                get = self.known.__getitem__
+            else:
+                get = lambda w, a=self.known, b=found: a.get(w) or b[w]
             out += [self._encode([x])[0] if w is None else b"".join(map(get, w)) for x, w in zip(part, split, strict=True)]
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
         return out
 
 
@@ -226,6 +228,7 @@ def _piece_maker(path: str, pattern: str, capacity: int, end_id: int, with_ids:
 
 def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and (task, local): the how-manieth piece of its length in its task."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long" + ", ids binary" * with_ids
     return rows.mapInArrow(_piece_maker(tokenizer_path, pattern, capacity, end_id, with_ids), schema)

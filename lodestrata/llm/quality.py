@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import cut, text_or_empty
+from lodestrata.llm.common import cut, text_batches, text_or_empty
 
 #: Bounds of the fit: labelled rows, forms with a vector, forms of one text that the word vectors learn from.
 SAMPLE_DOCS, FORMS, FORMS_PER_TEXT = 8000, 20_000, 4000
@@ -171,6 +171,7 @@ def _network(x: np.ndarray, y: np.ndarray) -> tuple[tuple, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
     """From the rows given; the caller leaves held-out rows away."""
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_q"))
     picked = F.broadcast(known.orderBy(F.xxhash64(F.col("_id").cast("long")), "_id").limit(sample_docs))  # bounded by sample_docs
     sample = cut(docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(picked, "_id").select("_id", "_q", "_t"), "sample")
@@ -244,5 +245,6 @@ def _scoring(spread):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """_row (all columns of ``docs``) and score, the calibrated probability of label 1."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty(text_col).alias("_t"))
     return rows.mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(model)), T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())]))

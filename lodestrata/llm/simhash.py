@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import connected_components, cut, small, text_or_empty
+from lodestrata.llm.common import connected_components, cut, small, text_batches, text_or_empty
 
 BITS, LIMIT, SEED, SHINGLE = 64, 4, 42, 4
 #: Ring segments (first bit, width).
@@ -182,6 +182,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id and fp (the 64 bits as a signed long) of every row."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).cast("binary").alias("_t")).mapInArrow(_fingerprints, "_id long, fp long")
 
 

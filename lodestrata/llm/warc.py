@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, new_path, small
+from lodestrata.llm.common import cut, new_path, small, text_batches
 
 REVISIT_BYTES, BLOCK_LINES, FILE_BYTES = 1000, 3000, 1 << 30
 CAPTURED = "2020-01-01T00:00:00Z"
@@ -174,6 +174,7 @@ class Archive(NamedTuple):
 def write_archive(pages: DataFrame, block_lines: int = BLOCK_LINES) -> Archive:
     """Records and index of every row of ``pages`` (page_id, url, html) in a new folder below the shared one."""
     spark = pages.sparkSession
+    text_batches(spark)
     folder = new_path(spark, "warc")
     _make(folder)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
