@@ -11,10 +11,10 @@ whether or not that earlier line is itself removed.
    set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  These words are the join key.  The length filter, the positional
    filter and a bit signature (which bounds the symmetric difference from below) are conditions of the join, so pairs
    that fail never leave it.
-4. A class is first compared with the earliest class of each of its prefix words only: in a group of near copies
-   nearly all are settled by its first member, and pairs within the group are never listed.  What is not settled is
-   compared with all earlier classes.
-5. The pairs that are left are verified on the words themselves.
+4. A class is first compared with the earliest class of each of its prefix words only, and the likeliest of these is
+   verified: in a group of near copies nearly all are settled by its first member, and pairs within the group are
+   never listed.  What is not settled is compared with all earlier classes.
+5. Pairs are verified on all words of both lines, as 64-bit hashes.
 
 Defined results: lines without words stay.  A null text has no lines that could match, and stays null.  Rows without an id neither
 remove lines nor lose any.  Rows that repeat an id are taken for one document: what one keeps, all keep.
@@ -38,13 +38,17 @@ def split_lines(text: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    """The distinct words."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " "), ""))
+    """The words, repeats and empty ones included."""
+    return F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " ")
+
+
+def set_of(line: Column) -> Column:
+    """The 64-bit hashes of the distinct words."""
+    return F.array_distinct(F.array_remove(F.transform(words_of(line), F.xxhash64), F.xxhash64(F.lit(""))))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.posexplode(split_lines(F.col(text_col))).alias("_line", "_text"))
-    return known.select("_id", "_line", words_of(F.col("_text")).alias("_words")).where(F.size("_words") > 0)
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.posexplode(split_lines(F.col(text_col))).alias("_line", "_text"))
 
 
 def _ranks(docs: DataFrame, text_col: str) -> list[int]:
@@ -65,18 +69,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """One row per distinct set: id, id2, first (doc, line), n, size, sig, prefix (the keys of its rarest words, rarest first)."""
     spark = docs.sparkSession
     table = spark.createDataFrame([(_ranks(docs, text_col),)], "place array<int>")
-    lines = _lines(docs, id_col, text_col).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    low = F.lit((1 << LOW_BITS) - 1)
     place = table.select("place").scalar()
-    lines = lines.withColumn("_place", place)
-    key = lambda h: F.shiftleft(F.col("_place")[F.pmod(h, F.lit(BUCKETS)).cast("int")].cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
-    size = F.size("_words")
-    keyed = lines.select(
-        "_id",
-        "_line",
-        size.alias("size"),
-        F.array_sort(F.transform("_hashes", key)).alias("_keys"),
-        F.aggregate("_hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))).alias("sig"),
-    )
+    lines = _lines(docs, id_col, text_col).withColumn("_set", set_of(F.col("_text"))).where(F.size("_set") > 0).withColumn("_place", place)
+    key = lambda h: F.shiftleft(F.col("_place")[F.pmod(h, F.lit(BUCKETS)).cast("int")].cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(low))
+    sig = F.aggregate("_set", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+    keyed = lines.select("_id", "_line", F.size("_set").alias("size"), F.sort_array(F.transform("_set", key)).alias("_keys"), sig.alias("sig"))
     length = size_prefix(F.col("size"), similarity)
     rows = keyed.select("_id", "_line", "size", "sig", F.xxhash64("_keys").alias("id"), F.hash("_keys").alias("id2"), F.slice("_keys", F.lit(1), length).alias("prefix"))
     first = F.min(F.struct(F.col("_id").alias("doc"), F.col("_line").alias("line")))
@@ -109,12 +107,12 @@ def _index(found: DataFrame, side: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """x_doc, x_line of the pairs' later lines whose sets are similar, by the words themselves."""
+    """x_doc, x_line of the pairs' later lines whose sets are similar, by all their words (as 64-bit hashes)."""
     pairs = cut(pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct(), "pairs")
     asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_t"))
     wanted = asked.groupBy("doc").agg(F.collect_list("line").alias("lines"))  # lines of one document
-    picked = text.join(wanted, "doc").select("doc", F.explode(F.array_distinct("lines")).alias("line"), split_lines(F.col("_t")).alias("_all")).select("doc", "line", words_of(F.col("_all")[F.col("line")]).alias("words"))
+    picked = text.join(wanted, "doc").select("doc", F.explode(F.array_distinct("lines")).alias("line"), split_lines(F.col("_t")).alias("_all")).select("doc", "line", set_of(F.col("_all")[F.col("line")]).alias("words"))
     sets = cut(picked.dropDuplicates(["doc", "line"]), "sets")
     x = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
@@ -131,7 +129,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields = ["doc", "line", "id", "id2", "size", "sig", "pos"]
     earliest = x.groupBy("key").agg(F.min(F.struct(*[f"x_{n}" for n in fields])).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     earliest = cut(earliest.select("key", *[F.col(f"m.x_{n}").alias(f"y_{n}") for n in fields]), "earliest")
-    settled = cut(_verified(x.join(earliest, "key").where(_close("x", "y", similarity)), docs, id_col, text_col, similarity), "settled")
+    distance = F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig"))).alias("distance")
+    likely = x.join(earliest, "key").where(_close("x", "y", similarity)).groupBy("x_doc", "x_line").agg(F.min(F.struct(distance, "y_doc", "y_line")).alias("m"))
+    settled = cut(_verified(likely.select("x_doc", "x_line", "m.y_doc", "m.y_line"), docs, id_col, text_col, similarity), "settled")
     done = settled.select(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).alias("first"))
     open_ = found.join(done, "first", "left_anti")
     shared = earliest.select("key")
