@@ -44,7 +44,7 @@ def words_of(line: Column) -> Column:
 
 def set_of(line: Column) -> Column:
     """The 64-bit hashes of the distinct words."""
-    return F.array_distinct(F.array_remove(F.transform(words_of(line), F.xxhash64), F.xxhash64(F.lit(""))))
+    return F.array_distinct(F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
