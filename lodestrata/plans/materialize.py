@@ -42,9 +42,9 @@ def subject_of(m: TriplesMap) -> Column:
 def lexical(df: DataFrame, column: str, datatype: str | None) -> Column:
     """The literal's lexical form: ISO for dates and times, true and false, and integral numbers without a fraction."""
     kind, c = df.schema[column].dataType.typeName(), F.col(f"`{column}`")
-    if datatype and datatype.endswith("date") and kind == "timestamp":
+    if datatype and datatype.endswith("date") and kind.startswith("timestamp"):
         return F.date_format(c, "yyyy-MM-dd")
-    if kind == "timestamp":
+    if kind.startswith("timestamp"):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     return c.cast("string")
 

@@ -85,7 +85,8 @@ class _Parser:
             at = m.end()
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0]))
-        self.at, self.prefixes, self.blanks = 0, {"rdf": RDF, "xsd": XSD}, 0
+        self.at, self.blanks = 0, 0
+        self.prefixes = {"rdf": RDF, "xsd": XSD, "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#"}  # known without a declaration
 
     def peek(self, ahead: int = 0) -> str:
         return self.tokens[self.at + ahead][1] if self.at + ahead < len(self.tokens) else ""
