@@ -4,8 +4,8 @@ A row's hash is the first 60 bits of the MD5 of its key.  A shard is a prefix of
 have at most ``limit`` bytes together.  So the directory starts as one bucket of zero bits, and only oversized buckets
 split, on one more bit each time, until every shard fits (or holds one row, which can't be split).
 
-The bits are looked at in steps of 16.  A step counts the bytes of each cell (a prefix of all bits so far, at most
-65,536 cells below one oversized cell), adds the cells up to the shorter prefixes, and leaves the cells that are still
+The bits are looked at in steps of 12.  A step counts the bytes of each cell (a prefix of all bits so far, at most
+4,096 cells below one oversized cell), adds the cells up to the shorter prefixes, and leaves the cells that are still
 too large for the next step.  Rows with equal keys have equal hashes; if they are still too large together at 60 bits,
 they go on as an overflow directory, hashed with a number of their own as well.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import cut, small
 
 LIMIT_BYTES = 64 << 20
-BITS, STEP = 60, 16
+BITS, STEP = 60, 12
 
 
 def hash_of(key: Column) -> Column:
