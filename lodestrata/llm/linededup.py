@@ -67,12 +67,11 @@ def _ceil(x: Column) -> Column:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per distinct set: id, id2, first (doc, line), n, size, sig, prefix (the keys of its rarest words, rarest first)."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(_ranks(docs, text_col),)], "place array<int>")
     low = F.lit((1 << LOW_BITS) - 1)
-    place = table.select("place").scalar()
-    lines = _lines(docs, id_col, text_col).withColumn("_set", set_of(F.col("_text"))).where(F.size("_set") > 0).withColumn("_place", place)
-    key = lambda h: F.shiftleft(F.col("_place")[F.pmod(h, F.lit(BUCKETS)).cast("int")].cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(low))
+    place = F.split(F.lit(",".join(map(str, _ranks(docs, text_col)))), ",").cast("array<int>")  # folded into one constant
+    filled = F.trim(F.translate("_text", "\t\r\x0b\x0c", "    ")) != ""  # a test on the set would compute it twice
+    lines = _lines(docs, id_col, text_col).where(filled).withColumn("_set", set_of(F.col("_text")))
+    key = lambda h: F.shiftleft(place[F.pmod(h, F.lit(BUCKETS)).cast("int")].cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(low))
     sig = F.aggregate("_set", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
     keyed = lines.select("_id", "_line", F.size("_set").alias("size"), F.sort_array(F.transform("_set", key)).alias("_keys"), sig.alias("sig"))
     length = size_prefix(F.col("size"), similarity)
@@ -101,9 +100,22 @@ def _close(x: str, y: str, t: float) -> Column:
     return lengths & shorter_prefix & positions & signature & earlier
 
 
-def _index(found: DataFrame, side: str) -> DataFrame:
-    rows = found.select("id", "id2", "first.doc", "first.line", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
-    return rows.select("key", *[F.col(n).alias(f"{side}_{n}") for n in ("id", "id2", "doc", "line", "size", "sig", "pos")])
+_FIELDS = ("doc", "line", "size", "sig", "pos")
+
+
+def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS], *more)
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """The prefix words that several classes share, one row for each class and word, with the earliest of these classes.
+
+    One shuffle by word serves the count, the earliest class and the join of both back to the rows.
+    """
+    rows = found.select("first.doc", "first.line", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
+    dealt = rows.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    earliest = dealt.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return dealt.join(earliest.select("key", "m"), "key").select("key", *_FIELDS, "m")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
@@ -125,18 +137,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, t:
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
     found = cut(classes(docs, id_col, text_col, similarity), "classes")
-    x = _index(found, "x")
-    fields = ["doc", "line", "id", "id2", "size", "sig", "pos"]
-    earliest = x.groupBy("key").agg(F.min(F.struct(*[f"x_{n}" for n in fields])).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    earliest = cut(earliest.select("key", *[F.col(f"m.x_{n}").alias(f"y_{n}") for n in fields]), "earliest")
+    shared = cut(_shared(found), "shared")
     distance = F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig"))).alias("distance")
-    likely = x.join(earliest, "key").where(_close("x", "y", similarity)).groupBy("x_doc", "x_line").agg(F.min(F.struct(distance, "y_doc", "y_line")).alias("m"))
+    first = _named(shared, "x", *[F.col(f"m.{n}").alias(f"y_{n}") for n in _FIELDS]).where(_close("x", "y", similarity))
+    likely = first.groupBy("x_doc", "x_line").agg(F.min(F.struct(distance, "y_doc", "y_line")).alias("m"))
     settled = cut(_verified(likely.select("x_doc", "x_line", "m.y_doc", "m.y_line"), docs, id_col, text_col, similarity), "settled")
-    done = settled.select(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).alias("first"))
-    open_ = found.join(done, "first", "left_anti")
-    shared = earliest.select("key")
-    pairs = _index(open_, "x").join(shared, "key", "left_semi").join(_index(found, "y").join(shared, "key", "left_semi"), "key").where(_close("x", "y", similarity))
+    done = settled.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))
+    pairs = _named(shared.join(done, ["doc", "line"], "left_anti"), "x").join(_named(shared, "y"), "key").where(_close("x", "y", similarity))
     more = cut(_verified(pairs, docs, id_col, text_col, similarity), "settled")
+    open_ = found.join(done.select(F.struct("doc", "line").alias("first")), "first", "left_anti")
     gone = more.select(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).alias("first"))
     return open_.join(gone, "first", "left_anti").groupBy(F.col("first.doc").alias("_id")).agg(F.array_sort(F.collect_list("first.line")).alias("kept"))
 
