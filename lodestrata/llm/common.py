@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts go to Python a few thousand at a time: Spark's default of 10,000 rows suits narrow rows and takes several times the memory here."""
+    """What Python workers need: this package on their path, and whole texts a few thousand at a time.
+
+    Spark's default of 10,000 rows suits narrow rows and takes several times the memory here.  The path serves workers
+    that see the same folders as the driver; where they don't, the package is shipped with the job as usual.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}" if known else root
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -154,7 +154,7 @@ def predict(model: Model, text: str | None) -> tuple[str, float, float]:
             hits[i] = np.count_nonzero(mask & (1 << (i % PER_WORD)))
     true = np.maximum((hits - len(grams) * model.false_rate) / (1 - model.false_rate), 0)
     best, total = int(true.argmax()), true.sum()
-    return model.langs[best], float(true[best] / total) if total else 0.0, float(true[best] / len(grams))
+    return model.langs[best], float(true[best] / total) if total else 0.0, min(1.0, float(true[best] / len(grams)))
 
 
 def _predictor(spread):

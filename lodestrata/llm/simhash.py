@@ -164,6 +164,7 @@ def _ball() -> list[int]:
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between the distinct values of ``prints.fp`` that have the same components as all links."""
     spark = prints.sparkSession
+    text_batches(spark)
     n = prints.count()
     chosen = [_signed(x) for x in masks(n)]
     keyed = prints.select("fp", F.posexplode(F.array(*[F.lit(x) for x in chosen])).alias("m", "mask")).select("m", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
