@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut
+from lodestrata.llm.common import cut, small
 
 SIMILARITY, BUCKETS = 0.8, 65_536
 #: Bits of the hash in a word's key; above them is the rank of its bucket.
@@ -123,8 +123,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, t:
     pairs = cut(pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct(), "pairs")
     asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_t"))
-    wanted = asked.groupBy("doc").agg(F.collect_list("line").alias("lines"))  # lines of one document
-    picked = text.join(wanted, "doc").select("doc", F.explode(F.array_distinct("lines")).alias("line"), split_lines(F.col("_t")).alias("_all")).select("doc", "line", set_of(F.col("_all")[F.col("line")]).alias("words"))
+    wanted = cut(asked.groupBy("doc").agg(F.collect_list("line").alias("lines")), "wanted")  # lines of one document
+    picked = text.join(small(wanted, wanted.count()), "doc").select("doc", F.explode(F.array_distinct("lines")).alias("line"), split_lines(F.col("_t")).alias("_all")).select("doc", "line", set_of(F.col("_all")[F.col("line")]).alias("words"))
     sets = cut(picked.dropDuplicates(["doc", "line"]), "sets")
     x = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
