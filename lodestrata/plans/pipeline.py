@@ -84,7 +84,8 @@ class Pipeline:
         }[name]
 
     def keys(self, s: State) -> None:
-        s.catalog = s.catalog.infer_keys()
+        if not s.catalog.primary_keys:  # plain files declare none; a schema with some means what it says
+            s.catalog = s.catalog.infer_keys()
         if self.config.ind == "on" or (self.config.ind == "auto" and len(s.catalog.foreign_keys) <= self.config.ind_most_fks):
             best = ind.best_target(ind.all_pairs_ind(s.catalog), self.config.ind_threshold)
             best = best.where("lower(column) <> 'id'")  # an ID is contained in many; only a declared hierarchy could tell which

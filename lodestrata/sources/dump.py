@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.sources.catalog import Catalog, ForeignKey
 
-_CREATE = re.compile(r"CREATE TABLE\s+(?:ONLY\s+)?([^\s(]+)\s*\((.*?)\n\);", re.S | re.I)
-_COPY = re.compile(r"^COPY\s+(\S+)\s*\(([^)]*)\)\s+FROM stdin;\n(.*?)^\\\.$", re.S | re.M | re.I)
-_KEY = re.compile(r"ALTER TABLE\s+(?:ONLY\s+)?(\S+)\s+ADD CONSTRAINT\s+(\S+)\s+PRIMARY KEY\s*\(([^)]*)\)", re.I)
-_REFERENCE = re.compile(r"ALTER TABLE\s+(?:ONLY\s+)?(\S+)\s+ADD CONSTRAINT\s+(\S+)\s+FOREIGN KEY\s*\(([^)]*)\)\s+REFERENCES\s+(\S+?)\s*\(([^)]*)\)", re.I)
+_ID = r'((?:"[^"]+"|\w+)(?:\.(?:"[^"]+"|\w+))?)'
+_CREATE = re.compile(rf"CREATE TABLE\s+(?:ONLY\s+)?{_ID}\s*\((.*?)\n\);", re.S | re.I)
+_COPY = re.compile(rf"^COPY\s+{_ID}\s*\(([^)]*)\)\s+FROM stdin;\n(.*?)^\\\.$", re.S | re.M | re.I)
+_KEY = re.compile(rf"ALTER TABLE\s+(?:ONLY\s+)?{_ID}\s+ADD CONSTRAINT\s+{_ID}\s+PRIMARY KEY\s*\(([^)]*)\)", re.I)
+_REFERENCE = re.compile(rf"ALTER TABLE\s+(?:ONLY\s+)?{_ID}\s+ADD CONSTRAINT\s+{_ID}\s+FOREIGN KEY\s*\(([^)]*)\)\s+REFERENCES\s+{_ID}\s*\(([^)]*)\)", re.I)
 _SCHEMA = re.compile(r"CREATE SCHEMA\s+(?:IF NOT EXISTS\s+)?\"?(\w+)\"?", re.I)
 _ESCAPES = {"\\b": "\b", "\\f": "\f", "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\v": "\v", "\\\\": "\\"}
 #: Names of SQL types and Spark's for them, tried in this order.
