@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words (lower-cased, set apart by blanks and control characters).  A line is removed if an
 earlier line (by doc_id, then line number) of any document has a Jaccard similarity of ``SIMILARITY`` or more with it,
@@ -6,148 +6,296 @@ whether or not that earlier line is itself removed.
 
 1. Words are ordered by rarity: by the corpus count of their hash bucket (of ``BUCKETS``), then by their hash.  Any
    order that all lines share makes the filters exact; this one needs a table of fixed size only.
-2. Equal sets collapse to a class with its first occurrence and its number of occurrences; all but the first go.
+2. Equal sets collapse to a class with its first occurrence; all but the first go.
 3. Prefix filter: two sets within the limit share a word among the rarest |x| - ceil(t |x|) + 1 of each (of the smaller
-   set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  These words are the join key.  The length filter, the positional
-   filter and a bit signature (which bounds the symmetric difference from below) are conditions of the join, so pairs
-   that fail never leave it.
-4. A class is first compared with the earliest class of each of its prefix words only, and the likeliest of these is
-   verified: in a group of near copies nearly all are settled by its first member, and pairs within the group are
-   never listed.  What is not settled is compared with all earlier classes.
-5. Pairs are verified on all words of both lines, as 64-bit hashes.
-
-Defined results: lines without words stay.  A null text has no lines that could match, and stays null.  Rows without an id neither
-remove lines nor lose any.  Rows that repeat an id are taken for one document: what one keeps, all keep.
+   set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  Classes are dealt out by these words.  Among the classes of a
+   word, the length filter, the positional filter and a bit signature (which bounds the symmetric difference from
+   below) leave the likely pairs; a class names its likeliest earlier one only, so pairs of a group are never listed.
+4. That pair is verified on all words.  A class that fails, and has other likely partners (or a word with more than
+   ``CROWD`` classes, of which only the first ``AHEAD`` were looked at), is joined with all earlier classes.
+5. These pairs are verified too.
+
+The sets are made in Arrow batches: in DataFrame functions they cost about 450 CPU seconds a GB (see the README).
+
+Defined results: lines without words stay.  A null text has no lines that could match, and stays null.  Rows without an
+id neither remove lines nor lose any.  Rows that repeat an id are taken for one document: what one keeps, all keep.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, small
+from lodestrata.llm.common import cut, small, text_batches
 
 SIMILARITY, BUCKETS = 0.8, 65_536
 #: Bits of the hash in a word's key; above them is the rank of its bucket.
 LOW_BITS = 46
+#: Classes of one word up to which all are compared with each other; beyond, with so many of the first only.
+CROWD, AHEAD = 4096, 256
+#: Words whose keys a task remembers.
+CACHED_WORDS = 300_000
 _SLACK = 1e-9
+_FIELDS = ("doc", "line", "size", "sig", "pos")
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def ceil(x: float) -> int:
+    return math.ceil(x - _SLACK)
 
 
-def words_of(line: Column) -> Column:
-    """The words, repeats and empty ones included."""
-    return F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " ")
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def set_of(line: Column) -> Column:
-    """The 64-bit hashes of the distinct words."""
-    return F.array_distinct(F.array_remove(F.transform(words_of(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents with an id; of rows that repeat one, every text counts."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.posexplode(split_lines(F.col(text_col))).alias("_line", "_text"))
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        words: Counter = Counter()
+        for text in batch.column("_t").to_pylist():
+            words.update(text.lower().encode().split())
+        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
+        sums += np.bincount(bucket, np.fromiter(words.values(), np.int64, len(words)), BUCKETS).astype(np.int64)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["b", "n"])
 
 
-def _ranks(docs: DataFrame, text_col: str) -> list[int]:
+def _places(rows: DataFrame) -> np.ndarray:
     """For each hash bucket, its place when buckets are ordered by their words' count; a table of fixed size."""
-    words = docs.select(F.explode(F.split(F.lower(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\n\t\r\x0b\x0c", "     ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()  # at most BUCKETS rows
-    place = [0] * BUCKETS
-    for i, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["b"]))):
-        place[r["b"]] = i
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in rows.select("_t").mapInArrow(_tally, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        counts[r["b"]] = r["n"]
+    place = np.empty(BUCKETS, np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
     return place
 
 
-def _ceil(x: Column) -> Column:
-    return F.ceil(x - F.lit(_SLACK)).cast("int")
+def _classes_of(spread, t: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = spread.value.tolist()
+        low, keys = (1 << LOW_BITS) - 1, {}
+
+        def key(word: bytes) -> int:
+            h = xxhash.xxh64_intdigest(word)
+            k = place[h % BUCKETS] << LOW_BITS | (h >> 16) & low
+            if len(keys) < CACHED_WORDS:
+                keys[word] = k
+            return k
+
+        for batch in batches:
+            first: dict[bytes, tuple] = {}
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("_t").to_pylist(), strict=True):
+                for line, body in enumerate(text.lower().encode().split(b"\n")):
+                    words = set(body.split())
+                    if not words:
+                        continue
+                    own = np.array([keys.get(w) or key(w) for w in words], np.int64)
+                    own.sort()
+                    if len(own) > 1 and (own[1:] == own[:-1]).any():
+                        own = np.unique(own)
+                    name = xxhash.xxh3_128_digest(own.tobytes())
+                    old = first.get(name)
+                    if old is None or (doc, line) < old[:2]:
+                        first[name] = (doc, line, own)
+            n = len(first)
+            ids = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
+            sets = [x[2] for x in first.values()]
+            sizes = np.fromiter(map(len, sets), np.int32, n)
+            ends = np.cumsum(sizes)
+            flat = np.concatenate(sets) if n else np.zeros(0, np.int64)
+            sig = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) & np.uint64(63)), ends - sizes).view(np.int64) if n else np.zeros(0, np.int64)
+            lengths = np.array([s - ceil(t * s) + 1 for s in sizes.tolist()], np.int32)
+            heads = [x[:k] for x, k in zip(sets, lengths.tolist(), strict=True)]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.concatenate(heads) if n else flat))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array([x[0] for x in first.values()], pa.int64()), pa.array([x[1] for x in first.values()], pa.int32()), pa.array(sizes), pa.array(sig), prefix],
+                ["id", "id2", "doc", "line", "size", "sig", "prefix"],
+            )
+
+    return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per distinct set: id, id2, first (doc, line), n, size, sig, prefix (the keys of its rarest words, rarest first)."""
-    low = F.lit((1 << LOW_BITS) - 1)
-    place = F.split(F.lit(",".join(map(str, _ranks(docs, text_col)))), ",").cast("array<int>")  # folded into one constant
-    filled = F.trim(F.translate("_text", "\t\r\x0b\x0c", "    ")) != ""  # a test on the set would compute it twice
-    lines = _lines(docs, id_col, text_col).where(filled).withColumn("_set", set_of(F.col("_text")))
-    key = lambda h: F.shiftleft(place[F.pmod(h, F.lit(BUCKETS)).cast("int")].cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(low))
-    sig = F.aggregate("_set", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
-    keyed = lines.select("_id", "_line", F.size("_set").alias("size"), F.sort_array(F.transform("_set", key)).alias("_keys"), sig.alias("sig"))
-    length = size_prefix(F.col("size"), similarity)
-    rows = keyed.select("_id", "_line", "size", "sig", F.xxhash64("_keys").alias("id"), F.hash("_keys").alias("id2"), F.slice("_keys", F.lit(1), length).alias("prefix"))
-    first = F.min(F.struct(F.col("_id").alias("doc"), F.col("_line").alias("line")))
-    return rows.groupBy("id", "id2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-
-
-def size_prefix(size: Column, t: float) -> Column:
-    return size - _ceil(size * t) + 1
-
-
-def _close(x: str, y: str, t: float) -> Column:
-    """The filters between the sides of the join, whose columns start with x and y."""
-    c = lambda side, name: F.col(f"{side}_{name}")
-    total = c(x, "size") + c(y, "size")
-    need = _ceil(total * (t / (1 + t)))
-    short = F.least(c(x, "size"), c(y, "size"))
-    long_ = F.greatest(c(x, "size"), c(y, "size"))
-    lengths = short >= _ceil(long_ * t)
-    positions = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos")) >= need - F.least(c(x, "pos"), c(y, "pos"))
-    signature = F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= total - need * 2
-    smaller = F.when(c(x, "size") <= c(y, "size"), c(x, "pos")).otherwise(c(y, "pos"))
-    shorter_prefix = smaller <= short - _ceil(short * (2 * t / (1 + t)))
-    earlier = F.struct(c(y, "doc"), c(y, "line")) < F.struct(c(x, "doc"), c(x, "line"))
-    return lengths & shorter_prefix & positions & signature & earlier
+    """One row per distinct set: first (doc, line), size, sig, prefix (the keys of its rarest words, rarest first)."""
+    text_batches(docs.sparkSession)
+    rows = _known(docs, id_col, text_col)
+    made = rows.mapInArrow(_classes_of(docs.sparkSession.sparkContext.broadcast(_places(rows)), similarity), "id long, id2 long, doc long, line int, size int, sig long, prefix array<long>")
+    found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    return found.select("first", "size", "sig", "prefix")
 
 
-_FIELDS = ("doc", "line", "size", "sig", "pos")
-
-
-def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
-    return rows.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS], *more)
-
-
-def _shared(found: DataFrame) -> DataFrame:
-    """The prefix words that several classes share, one row for each class and word, with the earliest of these classes.
-
-    One shuffle by word serves the count, the earliest class and the join of both back to the rows.
-    """
+def _index(found: DataFrame) -> DataFrame:
     rows = found.select("first.doc", "first.line", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
-    dealt = rows.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    earliest = dealt.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return dealt.join(earliest.select("key", "m"), "key").select("key", *_FIELDS, "m")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """x_doc, x_line of the pairs' later lines whose sets are similar, by all their words (as 64-bit hashes)."""
-    pairs = cut(pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct(), "pairs")
+    return rows.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+
+
+def _near(x: dict, y: dict, t: float) -> np.ndarray:
+    """Distance of the signatures where y is earlier than x and all filters pass, else 255; x and y broadcast."""
+    total = x["size"] + y["size"]
+    need = np.ceil(total * (t / (1 + t)) - _SLACK)
+    short, long_ = np.minimum(x["size"], y["size"]), np.maximum(x["size"], y["size"])
+    ok = (y["doc"] < x["doc"]) | ((y["doc"] == x["doc"]) & (y["line"] < x["line"]))
+    ok = ok & (short >= np.ceil(long_ * t - _SLACK))
+    ok &= np.where(x["size"] <= y["size"], x["pos"], y["pos"]) <= short - np.ceil(short * (2 * t / (1 + t)) - _SLACK)
+    ok &= np.minimum(x["size"] - x["pos"], y["size"] - y["pos"]) >= need - np.minimum(x["pos"], y["pos"])
+    distance = np.bitwise_count((x["sig"] ^ y["sig"]).view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's
+    return np.where(ok & (distance <= total - 2 * need), distance, 255)
+
+
+def _likely_in_task(t: float):
+    """Rows come sorted by word; at most one word's classes and one batch are held."""
+
+    def solve(c: dict) -> pa.RecordBatch | None:
+        """All pairs within each word, by their distance in the order of the rows."""
+        n = len(c["key"])
+        edge = np.flatnonzero(np.diff(c["key"])) + 1
+        starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [n]))
+        best, who, many = np.full(n, 255, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        sizes = ends - starts
+
+        def note(i: np.ndarray, j: np.ndarray) -> None:
+            d = _near({k: v[i] for k, v in c.items()}, {k: v[j] for k, v in c.items()}, t)
+            hit = d < 255
+            i, j, d = i[hit], j[hit], d[hit]
+            many[i] |= best[i] < 255
+            better = d < best[i]
+            best[i[better]], who[i[better]] = d[better], j[better]
+
+        modest = (sizes > 1) & (sizes <= CROWD)
+        inside = np.zeros(n + 1, np.int64)
+        np.add.at(inside, starts[modest], 1)
+        np.add.at(inside, ends[modest], -1)
+        rows = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        last = np.repeat(ends, sizes)
+        step = 1
+        while len(rows):
+            rows = rows[rows + step < last[rows]]
+            if len(rows):
+                note(rows, rows + step)
+                note(rows + step, rows)
+            step += 1
+        for s, e in zip(starts[sizes > CROWD], ends[sizes > CROWD], strict=True):
+            own = np.arange(s, e)
+            many[own] = True
+            order = np.lexsort((c["line"][own], c["doc"][own]))
+            for j in own[order[:AHEAD]]:
+                note(own, np.full(len(own), j))
+            many[own] = True
+        hit = np.flatnonzero((best < 255) | many)
+        if not len(hit):
+            return None
+        none = best[hit] == 255
+        y = who[hit]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c["doc"][hit]), pa.array(c["line"][hit]), pa.array(best[hit]), pa.array(c["doc"][y], mask=none), pa.array(c["line"][y], mask=none), pa.array(many[hit])],
+            ["x_doc", "x_line", "distance", "y_doc", "y_line", "many"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": np.int64, "doc": np.int64, "line": np.int32, "size": np.int64, "sig": np.int64, "pos": np.int64}
+        held, waiting = {k: np.zeros(0, v) for k, v in kinds.items()}, []
+
+        def join() -> dict:
+            return {k: np.concatenate([held[k], *(b.column(k).to_numpy().astype(v, copy=False) for b in waiting)]) for k, v in kinds.items()}
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            size += batch.num_rows
+            if size < max(100_000, len(held["key"])):
+                continue
+            c = join()
+            waiting, size = [], 0
+            cut_at = int(np.searchsorted(c["key"], c["key"][-1]))
+            if cut_at:
+                out = solve({k: v[:cut_at] for k, v in c.items()})
+                if out is not None:
+                    yield out
+            held = {k: v[cut_at:] for k, v in c.items()}
+        c = join()
+        if len(c["key"]):
+            out = solve(c)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def _close(t: float) -> Column:
+    """The same filters between the sides x and y of a join."""
+    c = F.col
+    up = lambda x: F.ceil(x - F.lit(_SLACK))
+    total = c("x_size") + c("y_size")
+    need = up(total * (t / (1 + t)))
+    short, long_ = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
+    positions = F.least(c("x_size") - c("x_pos"), c("y_size") - c("y_pos")) >= need - F.least("x_pos", "y_pos")
+    smaller = F.when(c("x_size") <= c("y_size"), c("x_pos")).otherwise(c("y_pos"))
+    earlier = F.struct("y_doc", "y_line") < F.struct("x_doc", "x_line")
+    signature = F.bit_count(c("x_sig").bitwiseXOR(c("y_sig"))) <= total - need * 2
+    return (short >= up(long_ * t)) & (smaller <= short - up(short * (2 * t / (1 + t)))) & positions & signature & earlier
+
+
+def _asked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, numbers, sets = [], [], []
+        for doc, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc", "_t", "lines")), strict=True):
+            body = text.lower().encode().split(b"\n")
+            for k in set(lines):
+                if k < len(body) and (words := set(body[k].split())):
+                    docs.append(doc)
+                    numbers.append(k)
+                    sets.append(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64))
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "line", "words"])
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """doc, line of the pairs' later lines whose sets are similar, by all their words (as 64-bit hashes)."""
     asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
-    text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_t"))
     wanted = cut(asked.groupBy("doc").agg(F.collect_list("line").alias("lines")), "wanted")  # lines of one document
-    picked = text.join(small(wanted, wanted.count()), "doc").select("doc", F.explode(F.array_distinct("lines")).alias("line"), split_lines(F.col("_t")).alias("_all")).select("doc", "line", set_of(F.col("_all")[F.col("line")]).alias("words"))
-    sets = cut(picked.dropDuplicates(["doc", "line"]), "sets")
+    sets = cut(rows.join(small(wanted, wanted.count()), "doc").select("doc", "_t", "lines").mapInArrow(_asked_sets, "doc long, line int, words array<long>").dropDuplicates(["doc", "line"]), "sets")
     x = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
     common = F.size(F.array_intersect("x_words", "y_words"))
     alike = common >= (F.size("x_words") + F.size("y_words") - common) * t - _SLACK
-    return both.where(alike).select("x_doc", "x_line").distinct()
+    return cut(both.where(alike).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct(), "alike")
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
+    rows = _known(docs, id_col, text_col)
     found = cut(classes(docs, id_col, text_col, similarity), "classes")
-    shared = cut(_shared(found), "shared")
-    distance = F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig"))).alias("distance")
-    first = _named(shared, "x", *[F.col(f"m.{n}").alias(f"y_{n}") for n in _FIELDS]).where(_close("x", "y", similarity))
-    likely = first.groupBy("x_doc", "x_line").agg(F.min(F.struct(distance, "y_doc", "y_line")).alias("m"))
-    settled = cut(_verified(likely.select("x_doc", "x_line", "m.y_doc", "m.y_line"), docs, id_col, text_col, similarity), "settled")
-    done = settled.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))
-    pairs = _named(shared.join(done, ["doc", "line"], "left_anti"), "x").join(_named(shared, "y"), "key").where(_close("x", "y", similarity))
-    more = cut(_verified(pairs, docs, id_col, text_col, similarity), "settled")
-    open_ = found.join(done.select(F.struct("doc", "line").alias("first")), "first", "left_anti")
-    gone = more.select(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).alias("first"))
-    return open_.join(gone, "first", "left_anti").groupBy(F.col("first.doc").alias("_id")).agg(F.array_sort(F.collect_list("first.line")).alias("kept"))
+    hits = _index(found).mapInArrow(_likely_in_task(similarity), "x_doc long, x_line int, distance long, y_doc long, y_line int, many boolean")
+    best = F.min(F.struct("distance", "y_doc", "y_line")).alias("m")
+    likely = cut(hits.groupBy("x_doc", "x_line").agg(best, (F.bool_or("many") | (F.count_distinct("y_doc", "y_line") > 1)).alias("many")), "likely")
+    first = likely.where("m.y_doc is not null").select("x_doc", "x_line", "m.y_doc", "m.y_line")
+    done = _verified(first, rows, similarity)
+    open_ = likely.where("many").select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).join(done, ["doc", "line"], "left_anti")
+    gone = done
+    again = cut(open_, "open")
+    n_open = again.count()
+    if n_open:
+        index = found.select("first.doc", "first.line", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
+        sided = lambda df, side: df.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS])
+        pairs = sided(index.join(small(again, n_open), ["doc", "line"], "left_semi"), "x").join(sided(index, "y"), "key").where(_close(similarity))
+        gone = done.union(_verified(cut(pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct(), "pairs"), rows, similarity))
+    stay = found.select("first.doc", "first.line").join(gone, ["doc", "line"], "left_anti")
+    return stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept"))
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -155,22 +303,24 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = kept_lines(docs, id_col, text_col, similarity)
     lines = split_lines(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.size(lines).alias("n_lines"), _empty(lines).alias("_empty"))
-    stays = F.when(F.col("_id").isNull(), F.sequence(F.lit(0), F.col("n_lines") - 1)).otherwise(F.array_sort(F.concat("_empty", F.coalesce("kept", F.array().cast("array<int>")))))
+    stays = F.when(F.col("_id").isNull(), F.sequence(F.lit(0), F.col("n_lines") - 1)).otherwise(F.array_sort(F.array_distinct(F.concat("_empty", F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda k: k < F.col("n_lines"))))))
     out = rows.join(kept, "_id", "left").withColumn("kept_lines", stays)
     return out.select("_id", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("kept_lines")).cast("long").alias("n_removed"), "kept_lines")
 
 
+def _blank(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""
+
+
 def _empty(lines: Column) -> Column:
     """Numbers of the lines without words."""
-    marked = F.transform(lines, lambda x, i: F.when(F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "", i))
-    return F.filter(marked, lambda i: i.isNotNull())
+    return F.filter(F.transform(lines, lambda x, i: F.when(_blank(x), i)), lambda i: i.isNotNull())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, their texts without the removed lines."""
     kept = kept_lines(docs, id_col, text_col, similarity).withColumnRenamed("_id", "_kept_id").withColumnRenamed("kept", "_kept")
-    lines = split_lines(F.col(text_col))
     numbers = F.coalesce("_kept", F.array().cast("array<int>"))
-    stays = lambda x, i: F.array_contains(numbers, i) | (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "")
-    text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    stays = lambda x, i: F.array_contains(numbers, i) | _blank(x)
+    text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split_lines(F.col(text_col)), stays), "\n"))
     return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left").withColumn(text_col, text).select(*docs.columns)

@@ -79,7 +79,17 @@ def test_a_near_copy_group_lists_no_pairs_within_it(spark, make):
     assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
 
 
-def test_empty_table_and_native_plan(documents, empty):
+def test_crowded_words_go_on_to_the_join(spark, rows, monkeypatch):
+    """Tasks import the module, so the limits are put into the function that they get."""
+    import types
+
+    f = L._likely_in_task
+    tight = types.FunctionType(f.__code__, {**f.__globals__, "CROWD": 2, "AHEAD": 1}, f.__name__, f.__defaults__, f.__closure__)
+    monkeypatch.setattr(L, "_likely_in_task", tight)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
+
+
+def test_empty_table(empty):
     assert L.line_decisions(empty).count() == 0
-    plan = L.line_decisions(documents)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert L.dedup_lines(empty).count() == 0
