@@ -64,12 +64,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """What Python workers need: this package on their path, and whole texts a few thousand at a time.
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """What Python workers need: this package on their path, and whole texts a few hundred at a time.
 
     Spark's default of 10,000 rows suits narrow rows and takes several times the memory here.  The path serves workers
     that see the same folders as the driver; where they don't, the package is shipped with the job as usual.
     """
+    # workers live long; without these they keep the most that they ever held
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1048576")):
+        spark.sparkContext.environment.setdefault(name, value)
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(":"):

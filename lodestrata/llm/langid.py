@@ -34,7 +34,7 @@ HASHES, BITS_PER_GRAM, MAX_CELLS, PER_WORD = 4, 12, 1 << 22, 62
 #: Share of its share in the language that uses it most from which a trigram is contained; least count.
 FAIR_SHARE, LEAST = 0.2, 2
 #: Characters that are counted together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _letters: np.ndarray | None = None
 
@@ -94,7 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size[lang] += len(grams)
             if size[lang] > CHUNK:
                 fold(lang)
-        if sum(len(g) for g, _ in sums.values()) > 4 * CHUNK:  # bounded memory for scripts with very many trigrams
+        if sum(len(g) for g, _ in sums.values()) > 16 * CHUNK:  # bounded memory for scripts with very many trigrams
             yield from flush()
     yield from flush()
 

@@ -33,7 +33,7 @@ from lodestrata.llm.common import cut, text_batches, text_or_empty
 #: Bounds of the fit: labelled rows, forms with a vector, forms of one text that the word vectors learn from.
 SAMPLE_DOCS, FORMS, FORMS_PER_TEXT = 8000, 20_000, 4000
 DIMENSIONS, NONZERO, NEAR, HIDDEN, EPOCHS, SEED = 128, 8, 2, 32, 60, 17
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 CAPITALS, REPEATED, OTHER = "<capitals>", "<repeated>", "<other>"
 _PARTS = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
 
