@@ -8,6 +8,7 @@ so a lost executor never takes the only copy of a result with it.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -59,6 +60,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark for broadcast if its counted rows are few enough, else leave the join to the shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -10,9 +10,11 @@ whether or not that earlier line is itself removed.
 3. Prefix filter: two sets within the limit share a word among the rarest |x| - ceil(t |x|) + 1 of each (of the smaller
    set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  Classes are dealt out by these words.  Among the classes of a
    word, the length filter, the positional filter and a bit signature (which bounds the symmetric difference from
-   below) leave the likely pairs; a class names its likeliest earlier one only, so pairs of a group are never listed.
-4. That pair is verified on all words.  A class that fails, and has other likely partners (or a word with more than
-   ``CROWD`` classes, of which only the first ``AHEAD`` were looked at), is joined with all earlier classes.
+   below) leave the likely pairs; a class names its ``NAMED`` likeliest earlier ones only, so pairs of a group are
+   never listed.
+4. The pairs are verified on all words.  A class without a similar one that has more likely partners than it named (or
+   a word with more than ``CROWD`` classes, of which only the first ``AHEAD`` were looked at) is joined with all
+   earlier classes.
 5. These pairs are verified too.
 
 The sets are made in Arrow batches: in DataFrame functions they cost about 450 CPU seconds a GB (see the README).
@@ -33,13 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, small, text_batches
+from lodestrata.llm.common import cut, release, small, text_batches
 
 SIMILARITY, BUCKETS = 0.8, 65_536
 #: Bits of the hash in a word's key; above them is the rank of its bucket.
 LOW_BITS = 46
 #: Classes of one word up to which all are compared with each other; beyond, with so many of the first only.
 CROWD, AHEAD = 4096, 256
+#: Earlier classes that a class names for each of its words.
+NAMED = 4
 #: Words whose keys a task remembers.
 CACHED_WORDS = 300_000
 _SLACK = 1e-9
@@ -60,13 +64,19 @@ def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(BUCKETS, np.int64)
+    sums, words = np.zeros(BUCKETS, np.int64), Counter()
+
+    def fold() -> None:
+        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
+        sums[:] += np.bincount(bucket, np.fromiter(words.values(), np.int64, len(words)), BUCKETS).astype(np.int64)
+        words.clear()
+
     for batch in batches:
-        words: Counter = Counter()
         for text in batch.column("_t").to_pylist():
             words.update(text.lower().encode().split())
-        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
-        sums += np.bincount(bucket, np.fromiter(words.values(), np.int64, len(words)), BUCKETS).astype(np.int64)
+        if len(words) > CACHED_WORDS:
+            fold()
+    fold()
     at = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["b", "n"])
 
@@ -94,32 +104,39 @@ def _classes_of(spread, t: float):
             return k
 
         for batch in batches:
-            first: dict[bytes, tuple] = {}
+            docs, numbers, sizes, words = [], [], [], []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("_t").to_pylist(), strict=True):
                 for line, body in enumerate(text.lower().encode().split(b"\n")):
-                    words = set(body.split())
-                    if not words:
-                        continue
-                    own = np.array([keys.get(w) or key(w) for w in words], np.int64)
-                    own.sort()
-                    if len(own) > 1 and (own[1:] == own[:-1]).any():
-                        own = np.unique(own)
-                    name = xxhash.xxh3_128_digest(own.tobytes())
-                    old = first.get(name)
-                    if old is None or (doc, line) < old[:2]:
-                        first[name] = (doc, line, own)
-            n = len(first)
+                    if own := body.split():
+                        docs.append(doc)
+                        numbers.append(line)
+                        sizes.append(len(own))
+                        words += own
+            # all sets of the batch at once: keys sorted within their lines, repeats dropped
+            flat = np.fromiter((keys.get(w) or key(w) for w in words), np.int64, len(words))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, owner))
+            flat, owner = flat[order], owner[order]
+            new = np.ones(len(flat), bool)
+            new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+            flat, owner = flat[new], owner[new]
+            size = np.bincount(owner, minlength=len(sizes))
+            ends = np.cumsum(size)
+            raw = flat.tobytes()
+            first: dict[bytes, int] = {}
+            for i, (e, n) in enumerate(zip(ends.tolist(), size.tolist(), strict=True)):
+                name = xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e])
+                old = first.get(name)
+                if old is None or (docs[i], numbers[i]) < (docs[old], numbers[old]):
+                    first[name] = i
+            kept = np.fromiter(first.values(), np.int64, len(first))
             ids = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
-            sets = [x[2] for x in first.values()]
-            sizes = np.fromiter(map(len, sets), np.int32, n)
-            ends = np.cumsum(sizes)
-            flat = np.concatenate(sets) if n else np.zeros(0, np.int64)
-            sig = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) & np.uint64(63)), ends - sizes).view(np.int64) if n else np.zeros(0, np.int64)
-            lengths = np.array([s - ceil(t * s) + 1 for s in sizes.tolist()], np.int32)
-            heads = [x[:k] for x, k in zip(sets, lengths.tolist(), strict=True)]
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.concatenate(heads) if n else flat))
+            sig = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) & np.uint64(63)), ends - size).view(np.int64) if len(flat) else flat
+            lengths = size[kept] - np.ceil(t * size[kept] - _SLACK).astype(np.int64) + 1
+            at = np.repeat((ends - size)[kept] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(flat[at]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array([x[0] for x in first.values()], pa.int64()), pa.array([x[1] for x in first.values()], pa.int32()), pa.array(sizes), pa.array(sig), prefix],
+                [pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(np.array(docs, np.int64)[kept]), pa.array(np.array(numbers, np.int32)[kept]), pa.array(size[kept].astype(np.int32)), pa.array(sig[kept]), prefix],
                 ["id", "id2", "doc", "line", "size", "sig", "prefix"],
             )
 
@@ -161,16 +178,20 @@ def _likely_in_task(t: float):
         n = len(c["key"])
         edge = np.flatnonzero(np.diff(c["key"])) + 1
         starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [n]))
-        best, who, many = np.full(n, 255, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        best, who, many = np.full((NAMED, n), 255, np.int64), np.zeros((NAMED, n), np.int64), np.zeros(n, bool)
         sizes = ends - starts
 
         def note(i: np.ndarray, j: np.ndarray) -> None:
+            """Puts each j among the nearest of its i; no i twice."""
             d = _near({k: v[i] for k, v in c.items()}, {k: v[j] for k, v in c.items()}, t)
             hit = d < 255
             i, j, d = i[hit], j[hit], d[hit]
-            many[i] |= best[i] < 255
-            better = d < best[i]
-            best[i[better]], who[i[better]] = d[better], j[better]
+            for k in range(NAMED):
+                worse = d < best[k, i]
+                rows = i[worse]
+                best[k, rows], d[worse] = d[worse], best[k, rows]
+                who[k, rows], j[worse] = j[worse], who[k, rows]
+            many[i[d < 255]] = True  # one was pushed out
 
         modest = (sizes > 1) & (sizes <= CROWD)
         inside = np.zeros(n + 1, np.int64)
@@ -192,14 +213,17 @@ def _likely_in_task(t: float):
             for j in own[order[:AHEAD]]:
                 note(own, np.full(len(own), j))
             many[own] = True
-        hit = np.flatnonzero((best < 255) | many)
-        if not len(hit):
+        rank, hit = np.nonzero(best < 255)
+        y = who[rank, hit]
+        lone = np.flatnonzero(many & (best[0] == 255))
+        x = np.concatenate((hit, lone))
+        if not len(x):
             return None
-        none = best[hit] == 255
-        y = who[hit]
+        none = np.arange(len(x)) >= len(hit)
+        y = np.concatenate((y, np.zeros(len(lone), np.int64)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c["doc"][hit]), pa.array(c["line"][hit]), pa.array(best[hit]), pa.array(c["doc"][y], mask=none), pa.array(c["line"][y], mask=none), pa.array(many[hit])],
-            ["x_doc", "x_line", "distance", "y_doc", "y_line", "many"],
+            [pa.array(c["doc"][x]), pa.array(c["line"][x]), pa.array(c["doc"][y], mask=none), pa.array(c["line"][y], mask=none), pa.array(many[x])],
+            ["x_doc", "x_line", "y_doc", "y_line", "many"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +291,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """doc, line of the pairs' later lines whose sets are similar, by all their words (as 64-bit hashes)."""
     asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
     wanted = cut(asked.groupBy("doc").agg(F.collect_list("line").alias("lines")), "wanted")  # lines of one document
-    sets = cut(rows.join(small(wanted, wanted.count()), "doc").select("doc", "_t", "lines").mapInArrow(_asked_sets, "doc long, line int, words array<long>").dropDuplicates(["doc", "line"]), "sets")
+    sets = cut(rows.join(small(wanted, wanted.count()), "doc").select("doc", "_t", "lines").mapInArrow(_asked_sets, "doc long, line int, words array<long>"), "sets")
     x = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
     y = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
@@ -280,20 +304,19 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
     rows = _known(docs, id_col, text_col)
     found = cut(classes(docs, id_col, text_col, similarity), "classes")
-    hits = _index(found).mapInArrow(_likely_in_task(similarity), "x_doc long, x_line int, distance long, y_doc long, y_line int, many boolean")
-    best = F.min(F.struct("distance", "y_doc", "y_line")).alias("m")
-    likely = cut(hits.groupBy("x_doc", "x_line").agg(best, (F.bool_or("many") | (F.count_distinct("y_doc", "y_line") > 1)).alias("many")), "likely")
-    first = likely.where("m.y_doc is not null").select("x_doc", "x_line", "m.y_doc", "m.y_line")
-    done = _verified(first, rows, similarity)
-    open_ = likely.where("many").select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).join(done, ["doc", "line"], "left_anti")
-    gone = done
-    again = cut(open_, "open")
+    release(docs.sparkSession)
+    hits = cut(_index(found).mapInArrow(_likely_in_task(similarity), "x_doc long, x_line int, y_doc long, y_line int, many boolean").groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.bool_or("many").alias("many")), "likely")
+    release(docs.sparkSession)
+    gone = _verified(hits.where("y_doc is not null").drop("many"), rows, similarity)
+    release(docs.sparkSession)
+    again = cut(hits.where("many").select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct().join(gone, ["doc", "line"], "left_anti"), "open")
     n_open = again.count()
     if n_open:
         index = found.select("first.doc", "first.line", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
         sided = lambda df, side: df.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS])
-        pairs = sided(index.join(small(again, n_open), ["doc", "line"], "left_semi"), "x").join(sided(index, "y"), "key").where(_close(similarity))
-        gone = done.union(_verified(cut(pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct(), "pairs"), rows, similarity))
+        asked = cut(sided(index.join(small(again, n_open), ["doc", "line"], "left_semi"), "x"), "asked")
+        pairs = sided(index, "y").join(small(asked, asked.count()), "key").where(_close(similarity)).select("x_doc", "x_line", "y_doc", "y_line").distinct()
+        gone = gone.union(_verified(cut(pairs, "pairs"), rows, similarity))
     stay = found.select("first.doc", "first.line").join(gone, ["doc", "line"], "left_anti")
     return stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept"))
 
