@@ -12,7 +12,8 @@ whether or not that earlier line is itself removed.
    word, the length filter, the positional filter and a bit signature (which bounds the symmetric difference from
    below) leave the likely pairs; a class names its ``NAMED`` likeliest earlier ones only, so pairs of a group are
    never listed.
-4. The pairs are verified on all words.  A class without a similar one that has more likely partners than it named (or
+4. A wide signature of each class (``WIDE`` longs) drops most pairs that aren't similar, and the rest are verified on
+   all words.  A class without a similar one that has more likely partners than it named (or
    a word with more than ``CROWD`` classes, of which only the first ``AHEAD`` were looked at) is joined with all
    earlier classes.
 5. These pairs are verified too.
@@ -42,12 +43,15 @@ SIMILARITY, BUCKETS = 0.8, 65_536
 LOW_BITS = 46
 #: Classes of one word up to which all are compared with each other; beyond, with so many of the first only.
 CROWD, AHEAD = 4096, 256
+#: Longs of the wide signature, by which named pairs are looked at again before their words are.
+WIDE = 8
 #: Earlier classes that a class names for each of its words.
 NAMED = 4
 #: Words whose keys a task remembers.
 CACHED_WORDS = 300_000
 _SLACK = 1e-9
 _FIELDS = ("doc", "line", "size", "sig", "pos")
+_WIDE = tuple(f"w{k}" for k in range(WIDE))
 
 
 def ceil(x: float) -> int:
@@ -132,24 +136,28 @@ def _classes_of(spread, t: float):
             kept = np.fromiter(first.values(), np.int64, len(first))
             ids = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
             sig = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) & np.uint64(63)), ends - size).view(np.int64) if len(flat) else flat
+            bit = (flat >> 6).astype(np.uint64) % np.uint64(64 * WIDE)
+            spread_bits = np.zeros((len(flat), WIDE), np.uint64)
+            spread_bits[np.arange(len(flat)), (bit >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (bit & np.uint64(63))
+            wide = np.bitwise_or.reduceat(spread_bits, ends - size, axis=0).view(np.int64)[kept] if len(flat) else np.zeros((0, WIDE), np.int64)
             lengths = size[kept] - np.ceil(t * size[kept] - _SLACK).astype(np.int64) + 1
             at = np.repeat((ends - size)[kept] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(flat[at]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(np.array(docs, np.int64)[kept]), pa.array(np.array(numbers, np.int32)[kept]), pa.array(size[kept].astype(np.int32)), pa.array(sig[kept]), prefix],
-                ["id", "id2", "doc", "line", "size", "sig", "prefix"],
+                [pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(np.array(docs, np.int64)[kept]), pa.array(np.array(numbers, np.int32)[kept]), pa.array(size[kept].astype(np.int32)), pa.array(sig[kept]), *(pa.array(wide[:, k].copy()) for k in range(WIDE)), prefix],
+                ["id", "id2", "doc", "line", "size", "sig", *_WIDE, "prefix"],
             )
 
     return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per distinct set: first (doc, line), size, sig, prefix (the keys of its rarest words, rarest first)."""
+    """One row per distinct set: first (doc, line), size, sig, w0 ... (the wide signature), prefix (the keys of its rarest words, rarest first)."""
     text_batches(docs.sparkSession)
     rows = _known(docs, id_col, text_col)
-    made = rows.mapInArrow(_classes_of(docs.sparkSession.sparkContext.broadcast(_places(rows)), similarity), "id long, id2 long, doc long, line int, size int, sig long, prefix array<long>")
-    found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    return found.select("first", "size", "sig", "prefix")
+    made = rows.mapInArrow(_classes_of(docs.sparkSession.sparkContext.broadcast(_places(rows)), similarity), f"id long, id2 long, doc long, line int, size int, sig long, {', '.join(w + ' long' for w in _WIDE)}, prefix array<long>")
+    found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"), *[F.first(w).alias(w) for w in _WIDE], F.first("prefix").alias("prefix"))
+    return found.select("first", "size", "sig", *_WIDE, "prefix")
 
 
 def _index(found: DataFrame) -> DataFrame:
@@ -287,6 +295,15 @@ def _asked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "line", "words"])
 
 
+def _wide_filter(pairs: DataFrame, found: DataFrame, t: float) -> DataFrame:
+    """The pairs whose wide signatures differ by no more than similar sets can."""
+    x, y = (found.select(F.col("first.doc").alias(f"{s}_doc"), F.col("first.line").alias(f"{s}_line"), F.col("size").alias(f"{s}_size"), *[F.col(w).alias(f"{s}_{w}") for w in _WIDE]) for s in "xy")
+    total = F.col("x_size") + F.col("y_size")
+    distance = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in _WIDE[1:]), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
+    near = distance <= total - F.ceil(total * (t / (1 + t)) - F.lit(_SLACK)) * 2
+    return cut(pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"]).where(near).select("x_doc", "x_line", "y_doc", "y_line"), "near")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """doc, line of the pairs' later lines whose sets are similar, by all their words (as 64-bit hashes)."""
     asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
@@ -307,7 +324,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(docs.sparkSession)
     hits = cut(_index(found).mapInArrow(_likely_in_task(similarity), "x_doc long, x_line int, y_doc long, y_line int, many boolean").groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.bool_or("many").alias("many")), "likely")
     release(docs.sparkSession)
-    gone = _verified(hits.where("y_doc is not null").drop("many"), rows, similarity)
+    gone = _verified(_wide_filter(hits.where("y_doc is not null").drop("many"), found, similarity), rows, similarity)
     release(docs.sparkSession)
     again = cut(hits.where("many").select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct().join(gone, ["doc", "line"], "left_anti"), "open")
     n_open = again.count()
@@ -316,7 +333,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sided = lambda df, side: df.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS])
         asked = cut(sided(index.join(small(again, n_open), ["doc", "line"], "left_semi"), "x"), "asked")
         pairs = sided(index, "y").join(small(asked, asked.count()), "key").where(_close(similarity)).select("x_doc", "x_line", "y_doc", "y_line").distinct()
-        gone = gone.union(_verified(cut(pairs, "pairs"), rows, similarity))
+        gone = gone.union(_verified(_wide_filter(pairs, found, similarity), rows, similarity))
     stay = found.select("first.doc", "first.line").join(gone, ["doc", "line"], "left_anti")
     return stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept"))
 
