@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import classify, ind
 from lodestrata.operators import ontology as O
-from lodestrata.plans import align, generate, relations
+from lodestrata.plans import align, generate, realvalues, relations
 from lodestrata.plans.r2rml import Mapping
 from lodestrata.sources.catalog import Catalog
 
@@ -29,6 +29,7 @@ class Config:
     real_values: bool = True
     low_confidence_tables: int = 1_000
     inferred_relations: bool = True
+    accept_tentative: bool = False
     base: str = "http://example.com/"
 
 
@@ -59,8 +60,8 @@ class State:
 class Pipeline:
     """Stages in a fixed order; ``run(until=...)`` stops after one.  Each stage's outcome can be kept as JSON."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, selector: align.Selector | None = None, keep: str | None = None):
-        self.spark, self.config, self.selector, self.keep = spark, config or Config(), selector, keep
+    def __init__(self, spark: SparkSession, config: Config | None = None, selector: align.Selector | None = None, keep: str | None = None, reviewer: align.Selector | None = None):
+        self.spark, self.config, self.selector, self.keep, self.reviewer = spark, config or Config(), selector, keep, reviewer
         self.stages: list[tuple[str, Callable[[State], None]]] = [("keys", self.keys), ("patterns", self.patterns), ("alignment", self.alignment), ("real_values", self.real_values), ("relations", self.relations), ("mapping", self.mapping)]
 
     def run(self, catalog: Catalog, ontology: O.Ontology, until: str | None = None) -> State:
@@ -108,7 +109,7 @@ class Pipeline:
 
     def real_values(self, s: State) -> None:
         if self.config.real_values:
-            align.assert_types(s.catalog, s.alignment, s.ontology)
+            realvalues.assert_all(self.spark, s.catalog, s.alignment, s.ontology, self.reviewer, self.config.accept_tentative)
 
     def relations(self, s: State) -> None:
         s.decisions = relations.decide(self.spark, s.ontology, relations.tasks(s.catalog, s.alignment, s.inferred), self.selector)
