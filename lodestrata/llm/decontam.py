@@ -37,7 +37,7 @@ WINDOW, RUN, SHORTEST = 8, 6, 4
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 32_000_000
 #: Word forms that a worker remembers.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 NUMBER, UNIT, NAME, MEASURE = "<number>", "<unit>", "<name>", "<number><unit>"
 #: Fixed list of units.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l dl gal s sec min h hr hrs ms v kv w kw kwh mw hz khz mhz ghz j kj cal kcal n pa kpa bar psi k c f mph kmh kph % $ € £ usd eur gbp meter meters metre metres mile miles inch inches foot feet yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split())
