@@ -163,9 +163,14 @@ def align(catalog: Catalog, patterns: dict[str, str], onto: O.Ontology, selector
             picked = options[0].uri if sure.get(t) == "high" else selector.choose("class", t, options)
             a.class_uri = picked if picked in {o.uri for o in options} else (options[0].uri if options else None)
         a.class_confidence = sure.get(t, "low")
-        a.columns = {c: ColumnAlignment(c, r, sql_type=catalog.types(t)[c]) for c, r in roles(catalog, t, a.pattern).items()}
+        own = roles(catalog, t, a.pattern)
+        if a.value_attr:  # (entity, value): the value is an attribute of the entity, whatever the key says
+            own |= {c: "data_attr" for c in own if c not in {x for k in catalog.fks_of(t) for x in k.columns}}
+        a.columns = {c: ColumnAlignment(c, r, sql_type=catalog.types(t)[c]) for c, r in own.items()}
         out[t] = a
-    wanted = [(f"{t}.{c.column}", c.column, a.class_uri, T.family(c.sql_type)) for t, a in out.items() for c in a.columns.values() if c.role == "data_attr"]
+    owner = {t: out[k.ref_table].class_uri for t, a in out.items() if a.value_attr for k in catalog.fks_of(t) if k.ref_table in out}
+    # a table of values is named for what it says; its column may be called anything
+    wanted = [(f"{t}.{c.column}", t if a.value_attr else c.column, owner.get(t, a.class_uri), T.family(c.sql_type)) for t, a in out.items() for c in a.columns.values() if c.role == "data_attr"]
     if wanted:
         scored = ranking.rank_datatype_properties(datatype_scores(spark, onto, wanted), top_k).cache()
         choices, sure = _by_name(scored), _confidences(scored)

@@ -68,9 +68,11 @@ def _relation(catalog: Catalog, alignment: dict[str, TableAlignment], d: Decisio
     subject = template_of(catalog, alignment, d.task.subject_table, d.task.source_columns, base)
     if not subject:
         return None
-    if d.task.kind == "value_attr" or not d.task.target:
+    if not d.task.target:
         column = d.task.subject_columns[0]
-        o = ObjectMap(column, datatype=T.xsd_of(catalog.types(d.task.table)[column]))
+        if d.task.kind == "value_iri" and d.reverse:  # the stored IRI is the subject
+            return TriplesMap(name, d.task.table, "{" + column + "}", (), (PredicateObject(d.property, ObjectMap(template=subject)),), subject_is_iri_column=True, pattern="SR")
+        o = ObjectMap(column, iri=True) if d.task.kind == "value_iri" else ObjectMap(column, datatype=T.xsd_of(catalog.types(d.task.table)[column]))
         return TriplesMap(name, d.task.table, subject, (), (PredicateObject(d.property, o),), pattern="SR")
     target = template_of(catalog, alignment, d.task.target, d.task.subject_columns, base)
     if not target:

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import classify, ind
+from lodestrata.operators import classify, ind, profile
 from lodestrata.operators import ontology as O
 from lodestrata.plans import align, generate, realvalues, relations
 from lodestrata.plans.r2rml import Mapping
@@ -112,7 +112,11 @@ class Pipeline:
             realvalues.assert_all(self.spark, s.catalog, s.alignment, s.ontology, self.reviewer, self.config.accept_tentative)
 
     def relations(self, s: State) -> None:
-        s.decisions = relations.decide(self.spark, s.ontology, relations.tasks(s.catalog, s.alignment, s.inferred), self.selector)
+        iris = set()
+        for t in sorted(s.value_attrs & set(s.alignment)):
+            columns = [c.column for c in s.alignment[t].columns.values() if c.role == "data_attr"]
+            iris |= {(t, r["column"]) for r in profile.iri_ratio(s.catalog.tables[t], columns).where("is_iri").collect()}
+        s.decisions = relations.decide(self.spark, s.ontology, relations.tasks(s.catalog, s.alignment, s.inferred, iris), self.selector)
 
     def mapping(self, s: State) -> None:
         s.mapping = generate.generate(s.catalog, s.alignment, s.decisions, self.config.base)

@@ -16,7 +16,7 @@ from lodestrata.sources.catalog import Catalog, ForeignKey
 
 @dataclass(frozen=True)
 class Task:
-    kind: str  # fk, composite_fk, sr, value_attr, inferred_sr
+    kind: str  # fk, composite_fk, sr, value_iri, inferred_sr
     key: str
     table: str
     source_columns: tuple[str, ...]
@@ -37,8 +37,8 @@ class Decision:
     score: float
 
 
-def tasks(catalog: Catalog, alignment: dict[str, TableAlignment], inferred: list[dict] = ()) -> list[Task]:
-    """Foreign keys of entities and subtypes (identity keys are consumed), the two ends of relation tables, and inferred relations."""
+def tasks(catalog: Catalog, alignment: dict[str, TableAlignment], inferred: list[dict] = (), iri_columns: set[tuple[str, str]] = frozenset()) -> list[Task]:
+    """Foreign keys of entities and subtypes (identity keys are consumed), the two ends of relation tables, value tables whose values are IRIs, and inferred relations."""
     out = []
     uri = lambda t: alignment[t].class_uri if t in alignment else None
     for t, a in sorted(alignment.items()):
@@ -53,7 +53,9 @@ def tasks(catalog: Catalog, alignment: dict[str, TableAlignment], inferred: list
             continue
         if a.value_attr:
             other = tuple(c for c in catalog.types(t) if c not in fks[0].columns)
-            out.append(Task("value_attr", t, t, fks[0].columns, "", (), uri(fks[0].ref_table), None, t, fks[0].ref_table, other))
+            if (t, *other) not in iri_columns:
+                continue  # literals belong to a datatype property
+            out.append(Task("value_iri", t, t, fks[0].columns, "", (), uri(fks[0].ref_table), None, t, fks[0].ref_table, other))
             continue
         for k in fks:
             if is_identity(catalog, alignment, k):

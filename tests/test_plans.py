@@ -177,6 +177,21 @@ def test_pipeline_answers_queries(state, conference):
     assert count("SELECT (COUNT(*) AS ?n) WHERE { ?r a :Review ; :hasReviewer ?p . ?p :email ?e }") == 5
 
 
+def test_value_tables_become_literals_or_iris(spark):
+    ttl = TTL + ":hasEmail a owl:DatatypeProperty ; rdfs:domain :Person ; rdfs:range xsd:string . :linksTo a owl:ObjectProperty ; rdfs:domain :Person ."
+    onto = ontology.read(turtle.triples_frame(spark, turtle.parse(ttl)))
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    c = Catalog(
+        {"person": t([(1,), (2,)], "ID int"), "has_email": t([(1, "a@x"), (1, "b@x")], "person int, VALUE string"), "links_to": t([(1, "http://a.org/1"), (2, "urn:x:1")], "person int, target string")},
+        {"person": ("ID",), "has_email": ("person", "VALUE"), "links_to": ("person", "target")},
+        [ForeignKey("has_email", ("person",), "person", ("ID",)), ForeignKey("links_to", ("person",), "person", ("ID",))],
+    )
+    s = pipeline.Pipeline(spark, pipeline.Config(ind="off")).run(c, onto)
+    assert s.value_attrs == {"has_email", "links_to"}
+    graph = {(r.p, r.o, r.o_kind) for r in materialize.triples(c, s.mapping).where(F.col("p") != materialize.TYPE).collect()}
+    assert {(X + "hasEmail", "a@x", "literal"), (X + "hasEmail", "b@x", "literal"), (X + "linksTo", "http://a.org/1", "iri"), (X + "linksTo", "urn:x:1", "iri")} <= graph
+
+
 def test_stages_are_kept_and_until_stops(spark, conference, tmp_path):
     import json
 
