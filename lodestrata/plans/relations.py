@@ -109,7 +109,7 @@ def endpoint_evidence(spark: SparkSession, onto: O.Ontology, work: list[Task], b
 
 
 def decide(spark: SparkSession, onto: O.Ontology, work: list[Task], selector: Selector | None = None) -> list[Decision]:
-    """The property of each task: by the selector among all candidates if there is one, else by the strongest evidence that isn't weak."""
+    """The property of each task: by the selector among all candidates if there is one, else by the strongest evidence that isn't weak (one end and a name are enough for stored IRIs)."""
     if not work:
         return []
     bad = O.incompatible(onto.disjoint, onto.closed)
@@ -126,7 +126,9 @@ def decide(spark: SparkSession, onto: O.Ontology, work: list[Task], selector: Se
             if hit:
                 out.append(Decision(by_key[key], hit[0].uri, hit[1] == "reverse", hit[0].score))
         return out
-    for r in ranking.deterministic_property(found.where("not weak")).orderBy("task").collect():  # a row for each task
+    alone = [t.key for t in work if t.kind == "value_iri"]  # an IRI has no table, so only one end can be known
+    strong = found.where(~F.col("weak") | F.col("task").isin(*alone)) if alone else found.where("not weak")
+    for r in ranking.deterministic_property(strong).orderBy("task").collect():  # a row for each task
         out.append(Decision(by_key[r["task"]], r["uri"], r["direction"] == "reverse", r["score"]))
     return out
 
