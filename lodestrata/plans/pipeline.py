@@ -16,7 +16,7 @@ from lodestrata.operators import classify, ind, profile
 from lodestrata.operators import ontology as O
 from lodestrata.plans import align, generate, realvalues, relations
 from lodestrata.plans.r2rml import Mapping
-from lodestrata.sources.catalog import Catalog
+from lodestrata.sources.catalog import Catalog, ForeignKey
 
 
 @dataclass(frozen=True)
@@ -64,12 +64,19 @@ class Pipeline:
         self.spark, self.config, self.selector, self.keep, self.reviewer = spark, config or Config(), selector, keep, reviewer
         self.stages: list[tuple[str, Callable[[State], None]]] = [("keys", self.keys), ("patterns", self.patterns), ("alignment", self.alignment), ("real_values", self.real_values), ("relations", self.relations), ("mapping", self.mapping)]
 
-    def run(self, catalog: Catalog, ontology: O.Ontology, until: str | None = None) -> State:
-        state = State(catalog, ontology)
+    def run(self, catalog: Catalog, ontology: O.Ontology, until: str | None = None, resume: bool = False) -> State:
+        """With ``resume``, stages whose outcome is kept under the same signature are read instead of run, up to the first that isn't."""
+        state, mark = State(catalog, ontology), signature(catalog, self.config)
         for name, stage in self.stages:
-            stage(state)
-            if self.keep:
-                write_json(Path(self.keep) / f"{name}.json", {"signature": signature(catalog, self.config), "outcome": self._outcome(name, state)})
+            path = Path(self.keep) / f"{name}.json" if self.keep else None
+            kept = json.loads(path.read_text()) if resume and path and path.is_file() else None
+            if kept and kept["signature"] == mark and name != "mapping":
+                self._restore(name, state, kept["outcome"])
+            else:
+                resume = False
+                stage(state)
+                if path:
+                    write_json(path, {"signature": mark, "outcome": self._outcome(name, state)})
             if name == until:
                 break
         return state
@@ -77,13 +84,32 @@ class Pipeline:
     def _outcome(self, name: str, s: State):
         return {
             "keys": [asdict(k) for k in s.catalog.foreign_keys],
-            "patterns": s.patterns,
+            "patterns": {"patterns": s.patterns, "value_attrs": sorted(s.value_attrs), "key_only": sorted(s.key_only), "inferred": s.inferred},
             "alignment": {t: asdict(a) for t, a in s.alignment.items()},
             "real_values": {t: [asdict(x) for x in a.assertions] for t, a in s.alignment.items()},
             "relations": [asdict(d) for d in s.decisions],
             "mapping": asdict(s.mapping) if s.mapping else None,
         }[name]
 
+    def _restore(self, name: str, s: State, kept) -> None:
+        if name == "keys":
+            if not s.catalog.primary_keys:
+                s.catalog = s.catalog.infer_keys()
+            s.catalog = replace(s.catalog, foreign_keys=[ForeignKey(k["table"], tuple(k["columns"]), k["ref_table"], tuple(k["ref_columns"]), k["name"], k["source"]) for k in kept])
+        elif name == "patterns":
+            s.patterns, s.value_attrs, s.key_only, s.inferred = kept["patterns"], set(kept["value_attrs"]), set(kept["key_only"]), kept["inferred"]
+        elif name == "alignment":
+            for t, a in kept.items():
+                columns = {c: align.ColumnAlignment(**x | {"candidates": [align.Choice(**o) for o in x["candidates"]]}) for c, x in a["columns"].items()}
+                s.alignment[t] = align.TableAlignment(**a | {"columns": columns, "assertions": []})
+            s.report = align.trim(align.low_confidence(s.alignment), self.config.low_confidence_tables)
+        elif name == "real_values":
+            for t, xs in kept.items():
+                s.alignment[t].assertions = [align.TypeAssertion(**x) for x in xs]
+        elif name == "relations":
+            lists = ("source_columns", "target_columns", "subject_columns")
+            s.decisions = [relations.Decision(relations.Task(**d["task"] | {f: tuple(d["task"][f]) for f in lists}), d["property"], d["reverse"], d["score"]) for d in kept]
+
     def keys(self, s: State) -> None:
         if not s.catalog.primary_keys:  # plain files declare none; a schema with some means what it says
             s.catalog = s.catalog.infer_keys()

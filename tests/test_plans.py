@@ -198,7 +198,20 @@ def test_stages_are_kept_and_until_stops(spark, conference, tmp_path):
     s = pipeline.Pipeline(spark, pipeline.Config(ind="off"), keep=str(tmp_path)).run(*conference, until="patterns")
     assert s.mapping is None and not s.alignment
     kept = json.loads((tmp_path / "patterns.json").read_text())
-    assert kept["outcome"]["paper"] == "SH" and kept["signature"] == pipeline.signature(s.catalog, pipeline.Config(ind="off")) and not list(tmp_path.glob("*.tmp"))
+    assert kept["outcome"]["patterns"]["paper"] == "SH" and kept["signature"] == pipeline.signature(s.catalog, pipeline.Config(ind="off")) and not list(tmp_path.glob("*.tmp"))
+
+
+def test_resuming_reads_what_is_kept_and_only_under_the_same_signature(spark, conference, tmp_path, monkeypatch):
+    config = pipeline.Config(ind="off")
+    first = pipeline.Pipeline(spark, config, keep=str(tmp_path)).run(*conference)
+    again = pipeline.Pipeline(spark, config, keep=str(tmp_path))
+    again.stages = [(n, f if n == "mapping" else (lambda s: pytest.fail("a kept stage ran"))) for n, f in again.stages]
+    assert again.run(*conference, resume=True).mapping == first.mapping
+    ran = []
+    other = pipeline.Pipeline(spark, pipeline.Config(ind="off", top_k=4), keep=str(tmp_path))
+    other.stages = [(n, lambda s, n=n: ran.append(n)) for n, _ in other.stages[:2]]
+    other.run(*conference, resume=True)
+    assert ran == ["keys", "patterns"]
 
 
 def test_missing_keys_are_found_by_inclusion(spark, conference):
