@@ -2,9 +2,11 @@
 
 Words are reduced to templates: lower case, no outer punctuation, and a typed placeholder for a number, a unit or a
 name (a capitalised word inside a sentence).  Windows of template words are joined by hash with those of the benchmark.
-The windows of one item that match along one alignment (same distance between the positions) must agree on the slots:
-each value of the item stands for one value of the text, and different values of a type for different ones.  So a
-question with other numbers or names is caught, and a text that merely has placeholders in the same places isn't.
+Windows of one item that match along one alignment (same distance between the positions) must agree on the slots: each
+value of the item stands for one value of the text, and different names for different ones; different quantities may
+become equal.  So a question with other numbers or names is caught, and a text that merely has placeholders in the same
+places isn't.  Agreement is asked of windows in succession, and the longest such run counts; a window without slots, or
+with the item's own values, counts whatever the slots of others say.
 
 A text is contaminated by an item if at least ``RUN`` windows of one alignment match consistently (all of them, if the
 item has fewer): 13 words in a row, or as many apart from a change.  A window counts only if most of its words are
@@ -21,7 +23,7 @@ treated like any other; of several items the smallest id is named.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,6 +41,7 @@ BLOCK_CHARS = 32_000_000
 #: Word forms that a worker remembers.
 CACHED_WORDS = 400_000
 NUMBER, UNIT, NAME, MEASURE = "<number>", "<unit>", "<name>", "<number><unit>"
+QUANTITIES = {NUMBER, UNIT, MEASURE}
 #: Fixed list of units.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l dl gal s sec min h hr hrs ms v kv w kw kwh mw hz khz mhz ghz j kj cal kcal n pa kpa bar psi k c f mph kmh kph % $ € £ usd eur gbp meter meters metre metres mile miles inch inches foot feet yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split())
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
@@ -64,13 +67,17 @@ def template(raw: str) -> tuple[str, bool, bool]:
     return low, bare[:1].isupper() and bare[1:2] != bare[1:2].upper(), ends
 
 
+def _bare(word: str) -> str:
+    return _EDGES.sub("", word).lower() or word
+
+
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """Template words and, beside them, the words that they stand for."""
     out, raw, fresh, number = [], [], True, False
     for word in text.split():
         t, capital, ends = template(word)
         if t:
-            low = _EDGES.sub("", word).lower() or word
+            low = _bare(word)
             if capital and not fresh:
                 t = NAME
             elif number and low in UNITS:
@@ -83,57 +90,146 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
     return out, raw
 
 
-_SLOTS = {NUMBER, UNIT, NAME, MEASURE}
+KINDS = (NUMBER, UNIT, NAME, MEASURE)  # the first indices of the words
+_SLOTS = set(KINDS)
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def hashes(ids: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each width that fits, a hash of every window of it."""
+    x = (ids + 2).astype(np.uint64) * _STEP
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    x ^= x >> np.uint64(29)
+    h = x
+    for width in range(1, min(max(widths, default=0), len(ids)) + 1):
+        if width > 1:
+            h = h[:-1] * _STEP + x[width - 1 :]
+        if width in widths:
+            yield width, h ^ (h >> np.uint64(31)) ^ np.uint64(width)
+
+
+def in_all(flags: np.ndarray, width: int) -> np.ndarray:
+    """For every window, how many flags are set in it."""
+    sums = np.concatenate(([0], np.cumsum(flags)))
+    return sums[width:] - sums[:-width]
 
 
 class Windows(NamedTuple):
-    words: dict[str, int]  # template words of the block's items
-    table: dict[tuple[int, ...], list[tuple[int, int]]]  # window -> (index of the item, position)
+    words: dict[str, int]  # template words and raw words of the block's items
+    keys: np.ndarray  # sorted hashes of windows
+    places: np.ndarray  # beside them: index of the item, position
     widths: list[int]
-    items: list[tuple[int, list[str], list[str], int]]  # id, template words, raw words, number of its windows that count
+    names: list[int]  # of the items: their ids,
+    edges: np.ndarray  # where their words begin,
+    templates: np.ndarray  # the words' templates
+    raw: np.ndarray  # and the words themselves,
+    counting: list[int]  # number of their windows that count
+
+
+def _least(width: int) -> int:
+    return max(SHORTEST, width // 2 + 1)
 
 
 def windows_of(items: list[tuple[int, str | None]], window: int = WINDOW) -> Windows:
-    words: dict[str, int] = {}
-    table: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-    kept, widths = [], set()
-    for item, text in items:
-        t, raw = canonical(text or "")
-        width, n = min(window, len(t)), 0
-        least = max(SHORTEST, width // 2 + 1)
-        for at in range(len(t) - width + 1):
-            part = t[at : at + width]
-            if sum(x not in _SLOTS for x in part) >= least:
-                table[tuple(words.setdefault(x, len(words)) for x in part)].append((len(kept), at))
-                widths.add(width)
-                n += 1
-        kept.append((item, t, raw, n))
-    return Windows(words, dict(table), sorted(widths), kept)
-
-
-def consistent(pairs: set[tuple[str, str, str]]) -> bool:
-    """Over (type, value in the item, value in the text): values correspond one to one."""
-    there, back = defaultdict(set), defaultdict(set)
-    for kind, a, b in pairs:
-        there[kind, a].add(b)
-        back[kind, b].add(a)
-    return all(len(x) == 1 for x in there.values()) and all(len(x) == 1 for x in back.values())
+    words = {k: i for i, k in enumerate(KINDS)}
+    keys, places, widths, counting = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)], set(), []
+    edges, templates, raws = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, (_, text) in enumerate(items):
+        t, raw = (np.array([words.setdefault(x, len(words)) for x in xs], np.int64) for xs in canonical(text or ""))
+        width = min(window, len(t))
+        counts = in_all(t >= len(KINDS), width) >= _least(width) if width else np.zeros(0, bool)
+        at = np.flatnonzero(counts)
+        if len(at):
+            widths.add(width)
+            keys.append(next(h for _, h in hashes(t, [width]))[at])
+            places.append(np.stack((np.full(len(at), i), at), 1))
+        counting.append(len(at))
+        edges.append(edges[-1] + len(t))
+        templates.append(t)
+        raws.append(raw)
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.argsort(key, kind="stable")
+    return Windows(words, key[order], place[order], sorted(widths), [x for x, _ in items], np.array(edges), np.concatenate(templates), np.concatenate(raws), counting)
+
+
+def consistent(pairs: set[tuple]) -> bool:
+    """Over (type, value in the item, value in the text): a value stands for one value, and different names for different ones; quantities may coincide."""
+    return longest([pairs]) == 1
+
+
+def longest(parts: list[set[tuple]]) -> int:
+    """The most sets of pairs in succession that are consistent together."""
+    tables: dict[tuple, Counter] = defaultdict(Counter)
+    bad = first = best = 0
+
+    def put(part: set[tuple], step: int) -> int:
+        change = 0
+        for kind, a, b in part:
+            for key, value in (((0, kind, a), b), ((1, kind, b), a)):
+                if key[0] and kind in QUANTITIES:
+                    continue
+                seen = tables[key]
+                change -= len(seen) > 1
+                seen[value] += step
+                if not seen[value]:
+                    del seen[value]
+                change += len(seen) > 1
+        return change
+
+    for last, part in enumerate(parts):
+        bad += put(part, 1)
+        while bad:
+            bad += put(parts[first], -1)
+            first += 1
+        best = max(best, last + 1 - first)
+    return best
 
 
 class Matcher:
     def __init__(self, windows: Windows, run: int = RUN):
         self.w, self.run, self.forms = windows, run, {}
-        self.slots = {windows.words[s]: s for s in _SLOTS if s in windows.words}
+        bits = max(10, len(windows.keys).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, bool)  # few hashes of a text pass this and need a search
+        self.maybe[windows.keys >> self.shift] = True
 
     def _form(self, raw: str) -> int:
-        """Bits: 0 counts as a word, 1 capitalised, 2 ends a sentence, 3 number, 4 the word is a unit's sign; from 5: the template's index + 1, 0 if no item has it."""
+        """Bits: 0 counts as a word, 1 capitalised, 2 ends a sentence, 3 number, 4 the word is a unit's sign; from 5 and from 34: the indices + 1 of template and word, 0 if no item has it."""
         t, capital, ends = template(raw)
-        low = _EDGES.sub("", raw).lower() or raw
-        return bool(t) | capital << 1 | ends << 2 | (t == NUMBER) << 3 | (low in UNITS) << 4 | (self.w.words.get(t, -1) + 1) << 5
+        low = _bare(raw)
+        return bool(t) | capital << 1 | ends << 2 | (t == NUMBER) << 3 | (low in UNITS) << 4 | (self.w.words.get(t, -1) + 1) << 5 | (self.w.words.get(low, -1) + 1) << 34
+
+    def _seeds(self, ids: np.ndarray) -> set[tuple[int, int]]:
+        """(item, alignment) of all windows that the items have too."""
+        found, w = set(), self.w
+        for _, h in hashes(ids, w.widths):
+            at = np.flatnonzero(self.maybe[h >> self.shift])
+            if len(at):
+                lo, hi = (np.searchsorted(w.keys, h[at], side) for side in ("left", "right"))
+                for s, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                    found.update((item, s - p) for item, p in w.places[a:b].tolist())
+        return found
+
+    def _matched(self, item: int, shift: int, ids: np.ndarray, own: np.ndarray, word_at) -> int:
+        """Windows that match along the alignment, 0 if too few."""
+        w = self.w
+        lo, hi = int(w.edges[item]), int(w.edges[item + 1])
+        width, a, b = min(WINDOW, hi - lo), max(0, -shift), min(hi - lo, len(ids) - shift)
+        if b - a < width:
+            return 0
+        t, raw = w.templates[lo + a : lo + b], w.raw[lo + a : lo + b]
+        slot, same = t < len(KINDS), raw == own[a + shift : b + shift]
+        agree = t == ids[a + shift : b + shift]
+        hit = (in_all(agree, width) == width) & (in_all(~slot, width) >= _least(width))
+        verbatim = hit & (in_all(same, width) == width)
+        pairs = {p: (KINDS[t[p]], int(raw[p]), word_at(a + shift + p)) for p in np.flatnonzero(slot & agree).tolist()}
+        others = [{pairs[p] for p in range(s, s + width) if p in pairs} for s in np.flatnonzero(hit & ~verbatim).tolist()]
+        n = int(verbatim.sum()) + longest(others)
+        return n if n and n >= min(self.run, w.counting[item]) else 0
 
     def match(self, text: str) -> tuple[int | None, int]:
         """The smallest id of an item that the text contains, and how many windows of it matched along the best alignment."""
-        if not self.w.table:
+        if not len(self.w.keys):
             return None, 0
         raw = text.split()
         forms = self.forms
@@ -153,30 +249,20 @@ class Matcher:
         before = ended[places] - ((codes[places] >> 2) & 1)  # sentence ends before the word
         fresh = np.concatenate(([True], before[1:] > before[:-1]))
         codes = codes[places]
-        ids = (codes >> 5) - 1
-        name = ((codes & 2) > 0) & ~fresh
-        after = np.concatenate(([False], ((codes[:-1] & 8) > 0) & ~name[:-1])) & ((codes & 16) > 0) & ~name
-        ids = np.where(name, self.w.words.get(NAME, -1), np.where(after, self.w.words.get(UNIT, -1), ids))
-        known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        listed = None
-        for width in self.w.widths:
-            if len(ids) < width:
-                continue
-            starts = np.flatnonzero(known[width:] - known[:-width] == width)
-            if len(starts) and listed is None:
-                listed = ids.tolist()
-            for s in starts.tolist():
-                for item, at in self.w.table.get(tuple(listed[s : s + width]), ()):
-                    found[item, s - at].append((s, width))
+        own = (codes >> 34) - 1
+
+        def templates(fresh: np.ndarray) -> np.ndarray:
+            name = ((codes & 2) > 0) & ~fresh
+            after = np.concatenate(([False], ((codes[:-1] & 8) > 0) & ~name[:-1])) & ((codes & 16) > 0) & ~name
+            return np.where(name, KINDS.index(NAME), np.where(after, KINDS.index(UNIT), ((codes >> 5) & (1 << 29) - 1) - 1))
+
+        ids = templates(fresh)
+        seeds = self._seeds(ids)
         best: tuple[int | None, int] = (None, 0)
-        for (item, shift), hits in found.items():
-            name_of, t, values, n = self.w.items[item]
-            if len(hits) < min(self.run, n):
-                continue
-            pairs = {(t[p - shift], values[p - shift], _EDGES.sub("", raw[places[p]]).lower() or raw[places[p]]) for s, width in hits for p in range(s, s + width) if t[p - shift] in _SLOTS}
-            if consistent(pairs) and (best[0] is None or (name_of, -len(hits)) < (best[0], -best[1])):
-                best = name_of, len(hits)
+        for item, shift in seeds:
+            n, name_of = self._matched(item, shift, ids, own, lambda p: _bare(raw[places[p]])), self.w.names[item]
+            if n and (best[0] is None or (name_of, -n) < (best[0], -best[1])):
+                best = name_of, n
         return best
 
 
