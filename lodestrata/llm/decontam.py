@@ -9,14 +9,15 @@ places isn't.  Agreement is asked of windows in succession, and the longest such
 with the item's own values, counts whatever the slots of others say.
 
 A text is contaminated by an item if at least ``RUN`` windows of one alignment match consistently (all of them, if the
-item has fewer): 13 words in a row, or as many apart from a change.  A window counts only if most of its words are
-literal.
+item has fewer): 13 words in a row, or as many apart from a change.  A window counts as a template if most of its words
+are literal; any other counts as it stands, word for word, unless it has fewer than ``SHORTEST`` different words or is
+numbers in even steps (1 2 3 ...).  Scripts without blanks are split by character.
 
 The benchmark is read in blocks of bounded size; each block's windows are a table that the tasks hold, and every text
 passes every block.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than ``WINDOW`` words is one window of
-its own length, and one with fewer than ``SHORTEST`` literal words is never matched.  Items or texts that repeat are
+its own length, and one with fewer than ``SHORTEST`` different words is never matched.  Items or texts that repeat are
 treated like any other; of several items the smallest id is named.
 """
 
@@ -50,6 +51,10 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _END = re.compile(r"[.!?:][\"')\]]*$")
 
 
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = re.compile("[\u0e01-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17dd\u3005-\u3007\u3041-\u3096\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
 def template(raw: str) -> tuple[str, bool, bool]:
     """The word's template ('' if it has no letter or digit), whether it is capitalised, whether it ends a sentence."""
     ends = bool(_END.search(raw))
@@ -71,10 +76,15 @@ def _bare(word: str) -> str:
     return _EDGES.sub("", word).lower() or word
 
 
+def split(text: str) -> list[str]:
+    """Words between blanks; of scripts that are written without blanks, every character."""
+    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
+
+
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """Template words and, beside them, the words that they stand for."""
     out, raw, fresh, number = [], [], True, False
-    for word in text.split():
+    for word in split(text):
         t, capital, ends = template(word)
         if t:
             low = _bare(word)
@@ -123,33 +133,49 @@ class Windows(NamedTuple):
     edges: np.ndarray  # where their words begin,
     templates: np.ndarray  # the words' templates
     raw: np.ndarray  # and the words themselves,
-    counting: list[int]  # number of their windows that count
+    literal: np.ndarray  # whether the window from there counts as it stands (all zeros behind an item's last window)
+    counting: list[tuple[int, int]]  # number of their windows that count as templates, and as templates or as they stand
 
 
 def _least(width: int) -> int:
     return max(SHORTEST, width // 2 + 1)
 
 
+def specific(raw: list[str], width: int) -> np.ndarray:
+    """Of each window: whether its words are telling as they stand; not few different ones, and not numbers in even steps."""
+    out = np.zeros(max(0, len(raw) - width + 1), bool)
+    for at in range(len(out)):
+        part = raw[at : at + width]
+        if len(set(part)) >= SHORTEST:
+            steps = {int(b) - int(a) for a, b in zip(part, part[1:], strict=False)} if all(x.isdecimal() and len(x) < 19 for x in part) else set()
+            out[at] = len(steps) != 1
+    return out
+
+
 def windows_of(items: list[tuple[int, str | None]], window: int = WINDOW) -> Windows:
     words = {k: i for i, k in enumerate(KINDS)}
     keys, places, widths, counting = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)], set(), []
-    edges, templates, raws = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    edges, templates, raws, literal = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for i, (_, text) in enumerate(items):
-        t, raw = (np.array([words.setdefault(x, len(words)) for x in xs], np.int64) for xs in canonical(text or ""))
+        both = canonical(text or "")
+        t, raw = (np.array([words.setdefault(x, len(words)) for x in xs], np.int64) for xs in both)
         width = min(window, len(t))
         counts = in_all(t >= len(KINDS), width) >= _least(width) if width else np.zeros(0, bool)
-        at = np.flatnonzero(counts)
-        if len(at):
-            widths.add(width)
-            keys.append(next(h for _, h in hashes(t, [width]))[at])
-            places.append(np.stack((np.full(len(at), i), at), 1))
-        counting.append(len(at))
+        stands = counts | specific(both[1], width) if width else counts
+        for ids, of in ((t, counts), (raw, stands & (in_all(t != raw, width) > 0) if width else stands)):
+            at = np.flatnonzero(of)
+            if len(at):
+                widths.add(width)
+                keys.append(next(h for _, h in hashes(ids, [width]))[at])
+                places.append(np.stack((np.full(len(at), i), at), 1))
+        counting.append((int(counts.sum()), int(stands.sum())))
+        literal.append(np.concatenate((stands, np.zeros(len(t) - len(stands), bool))))
         edges.append(edges[-1] + len(t))
         templates.append(t)
         raws.append(raw)
     key, place = np.concatenate(keys), np.concatenate(places)
     order = np.argsort(key, kind="stable")
-    return Windows(words, key[order], place[order], sorted(widths), [x for x, _ in items], np.array(edges), np.concatenate(templates), np.concatenate(raws), counting)
+    return Windows(words, key[order], place[order], sorted(widths), [x for x, _ in items], np.array(edges), np.concatenate(templates), np.concatenate(raws), np.concatenate(literal), counting)
 
 
 def consistent(pairs: set[tuple]) -> bool:
@@ -219,19 +245,21 @@ class Matcher:
             return 0
         t, raw = w.templates[lo + a : lo + b], w.raw[lo + a : lo + b]
         slot, same = t < len(KINDS), raw == own[a + shift : b + shift]
-        agree = t == ids[a + shift : b + shift]
-        hit = (in_all(agree, width) == width) & (in_all(~slot, width) >= _least(width))
-        verbatim = hit & (in_all(same, width) == width)
+        agree = same | (t == ids[a + shift : b + shift])
+        counts = in_all(~slot, width) >= _least(width)
+        hit, as_it_stands = (in_all(agree, width) == width) & counts, (in_all(same, width) == width) & w.literal[lo + a : lo + b - width + 1]
         pairs = {p: (KINDS[t[p]], int(raw[p]), word_at(a + shift + p)) for p in np.flatnonzero(slot & agree).tolist()}
-        others = [{pairs[p] for p in range(s, s + width) if p in pairs} for s in np.flatnonzero(hit & ~verbatim).tolist()]
-        n = int(verbatim.sum()) + longest(others)
-        return n if n and n >= min(self.run, w.counting[item]) else 0
+        others = [{pairs[p] for p in range(s, s + width) if p in pairs} for s in np.flatnonzero(hit & ~as_it_stands).tolist()]
+        by_template = int((as_it_stands & counts).sum()) + longest(others)
+        n = by_template + int((as_it_stands & ~counts).sum())
+        templates, all_of_it = w.counting[item]
+        return n if n and (n >= min(self.run, all_of_it) or by_template and by_template >= min(self.run, templates)) else 0
 
     def match(self, text: str) -> tuple[int | None, int]:
         """The smallest id of an item that the text contains, and how many windows of it matched along the best alignment."""
         if not len(self.w.keys):
             return None, 0
-        raw = text.split()
+        raw = split(text)
         forms = self.forms
         try:
             codes = np.fromiter(map(forms.__getitem__, raw), np.int64, len(raw))
@@ -257,7 +285,7 @@ class Matcher:
             return np.where(name, KINDS.index(NAME), np.where(after, KINDS.index(UNIT), ((codes >> 5) & (1 << 29) - 1) - 1))
 
         ids = templates(fresh)
-        seeds = self._seeds(ids)
+        seeds = self._seeds(ids) | self._seeds(own)
         best: tuple[int | None, int] = (None, 0)
         for item, shift in seeds:
             n, name_of = self._matched(item, shift, ids, own, lambda p: _bare(raw[places[p]])), self.w.names[item]

@@ -119,3 +119,13 @@ def test_one_edited_slot_does_not_save_a_copy():
     short = "a farmer buys 3 sheep and then 4 goats for the old stable by the river"
     m = D.Matcher(D.windows_of([(2, short)]))
     assert m.match(short.replace("3", "5").replace("4", "5"))[0] == 2
+
+
+@pytest.mark.parametrize("item", ["12 + 7 = 19 , 15 + 8 = 23", "Tom 5 kg Anna 7 kg Ben 9 km Eve 12 km Max 14 cm", "小明有十二个苹果又买了五个", "猫有几条腿", "แมวมีสี่ขา"])
+def test_items_of_values_and_unspaced_scripts_are_found_word_for_word(item):
+    m = D.Matcher(D.windows_of([(1, item)]))
+    assert m.match(f"{FILL} {item} {FILL}")[0] == 1
+    assert m.match(FILL) == (None, 0)
+    assert m.match("13 + 8 = 21 , 16 + 9 = 25")[0] is None
+    if item[0] > "　":
+        assert m.match(f"前文{item}后文")[0] == 1
