@@ -13,6 +13,10 @@ item has fewer): 13 words in a row, or as many apart from a change.  A window co
 are literal; any other counts as it stands, word for word, unless it has fewer than ``SHORTEST`` different words or is
 numbers in even steps (1 2 3 ...).  Scripts without blanks are split by character.
 
+Whether a capitalised word is a name depends on what comes before it.  So alignments are looked for with line breaks
+within sentences and with line breaks as their ends, with an item's first word as a literal and as a name, and by the
+words as they stand; along an alignment, words agree if they are the same in lower case or have the same placeholder.
+
 The benchmark is read in blocks of bounded size; each block's windows are a table that the tasks hold, and every text
 passes every block.
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -81,10 +86,17 @@ def split(text: str) -> list[str]:
     return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """Template words and, beside them, the words that they stand for."""
-    out, raw, fresh, number = [], [], True, False
-    for word in split(text):
+def line_starts(text: str) -> list[int]:
+    """Indices of the words that begin a line."""
+    sizes = [len(split(line)) for line in text.splitlines()]
+    return [at - n for at, n in zip(accumulate(sizes), sizes, strict=True) if n]
+
+
+def canonical(text: str, lines: bool = False, fresh: bool = True) -> tuple[list[str], list[str]]:
+    """Template words and, beside them, the words that they stand for; whether a line's end ends a sentence and the text begins one."""
+    out, raw, number, starts = [], [], False, set(line_starts(text) if lines else ())
+    for i, word in enumerate(split(text)):
+        fresh = fresh or i in starts
         t, capital, ends = template(word)
         if t:
             low = _bare(word)
@@ -158,12 +170,13 @@ def windows_of(items: list[tuple[int, str | None]], window: int = WINDOW) -> Win
     edges, templates, raws, literal = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for i, (_, text) in enumerate(items):
         both = canonical(text or "")
-        t, raw = (np.array([words.setdefault(x, len(words)) for x in xs], np.int64) for xs in both)
+        readings = canonical(text or "", lines=True)[0], canonical(text or "", fresh=False)[0]  # of capitalised words
+        t, raw, *others = (np.array([words.setdefault(x, len(words)) for x in xs], np.int64) for xs in (*both, *readings))
         width = min(window, len(t))
         counts = in_all(t >= len(KINDS), width) >= _least(width) if width else np.zeros(0, bool)
         stands = counts | specific(both[1], width) if width else counts
-        for ids, of in ((t, counts), (raw, stands & (in_all(t != raw, width) > 0) if width else stands)):
-            at = np.flatnonzero(of)
+        for ids, of in ((t, counts), (raw, stands), *((x, counts) for x in others)) if width else ():
+            at = np.flatnonzero(of & (in_all(ids != t, width) > 0) if ids is not t else of)
             if len(at):
                 widths.add(width)
                 keys.append(next(h for _, h in hashes(ids, [width]))[at])
@@ -286,6 +299,13 @@ class Matcher:
 
         ids = templates(fresh)
         seeds = self._seeds(ids) | self._seeds(own)
+        if "\n" in text or len(text.splitlines()) > 1:
+            starts = np.zeros(len(raw) + 1, np.int64)
+            starts[line_starts(text)] = 1
+            lines = np.cumsum(starts)[places]
+            by_line = templates(fresh | np.concatenate(([True], lines[1:] > lines[:-1])))
+            if (by_line != ids).any():
+                seeds |= self._seeds(by_line)
         best: tuple[int | None, int] = (None, 0)
         for item, shift in seeds:
             n, name_of = self._matched(item, shift, ids, own, lambda p: _bare(raw[places[p]])), self.w.names[item]

@@ -129,3 +129,15 @@ def test_items_of_values_and_unspaced_scripts_are_found_word_for_word(item):
     assert m.match("13 + 8 = 21 , 16 + 9 = 25")[0] is None
     if item[0] > "　":
         assert m.match(f"前文{item}后文")[0] == 1
+
+
+def test_headings_line_breaks_and_lower_case_copies():
+    short, other = "If Tom has 12 apples and buys pears", "If Sara has 30 apples and buys pears"
+    m = D.Matcher(D.windows_of([(1, short), (2, "Compare ripe apples with green pears"), (3, ITEMS[0][1])]))
+    for text in (f"Q 12\n{short}", f"Exercise {short}", f"Q 12\n{other}", f"Exercise {other}", short.lower(), f"Chapter\n{short} again"):
+        assert m.match(text)[0] == 1, text
+    assert m.match("Some Heading\nCompare ripe apples with green pears")[0] == 2
+    assert m.match("x " + ITEMS[0][1].lower())[0] == 3
+    wrapped = ITEMS[0][1].replace("12", "40").replace("Tom", "Mia").replace("from Anna", "from\nBen").replace("Anna", "Ben")
+    assert m.match(wrapped)[0] == 3  # a name at a line's beginning
+    assert m.match("Q 12\nIf Sara had 30 apples and buys pears")[0] is None
