@@ -81,21 +81,22 @@ def _bare(word: str) -> str:
     return _EDGES.sub("", word).lower() or word
 
 
-def split(text: str) -> list[str]:
-    """Words between blanks; of scripts that are written without blanks, every character."""
-    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
+def spaced(text: str) -> str:
+    """Of scripts that are written without blanks, every character is a word."""
+    return text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)
 
 
 def line_starts(text: str) -> list[int]:
     """Indices of the words that begin a line."""
-    sizes = [len(split(line)) for line in text.splitlines()]
+    sizes = [len(line.split()) for line in text.splitlines()]
     return [at - n for at, n in zip(accumulate(sizes), sizes, strict=True) if n]
 
 
 def canonical(text: str, lines: bool = False, fresh: bool = True) -> tuple[list[str], list[str]]:
     """Template words and, beside them, the words that they stand for; whether a line's end ends a sentence and the text begins one."""
+    text = spaced(text)
     out, raw, number, starts = [], [], False, set(line_starts(text) if lines else ())
-    for i, word in enumerate(split(text)):
+    for i, word in enumerate(text.split()):
         fresh = fresh or i in starts
         t, capital, ends = template(word)
         if t:
@@ -117,17 +118,15 @@ _SLOTS = set(KINDS)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def hashes(ids: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each width that fits, a hash of every window of it."""
+def hashes(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window that begins there."""
     x = (ids + 2).astype(np.uint64) * _STEP
     x = (x ^ (x >> np.uint64(32))) * _MIX
     x ^= x >> np.uint64(29)
-    h = x
-    for width in range(1, min(max(widths, default=0), len(ids)) + 1):
-        if width > 1:
-            h = h[:-1] * _STEP + x[width - 1 :]
-        if width in widths:
-            yield width, h ^ (h >> np.uint64(31)) ^ np.uint64(width)
+    h = np.full(len(at), width, np.uint64)
+    for k in range(width):
+        h = h * _STEP + x[at + k]
+    return h ^ (h >> np.uint64(31))
 
 
 def in_all(flags: np.ndarray, width: int) -> np.ndarray:
@@ -179,7 +178,7 @@ def windows_of(items: list[tuple[int, str | None]], window: int = WINDOW) -> Win
             at = np.flatnonzero(of & (in_all(ids != t, width) > 0) if ids is not t else of)
             if len(at):
                 widths.add(width)
-                keys.append(next(h for _, h in hashes(ids, [width]))[at])
+                keys.append(hashes(ids, at, width))
                 places.append(np.stack((np.full(len(at), i), at), 1))
         counting.append((int(counts.sum()), int(stands.sum())))
         literal.append(np.concatenate((stands, np.zeros(len(t) - len(stands), bool))))
@@ -238,15 +237,25 @@ class Matcher:
         low = _bare(raw)
         return bool(t) | capital << 1 | ends << 2 | (t == NUMBER) << 3 | (low in UNITS) << 4 | (self.w.words.get(t, -1) + 1) << 5 | (self.w.words.get(low, -1) + 1) << 34
 
-    def _seeds(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, alignment) of all windows that the items have too."""
+    def _seeds(self, ids: np.ndarray, other: np.ndarray | None = None) -> set[tuple[int, int]]:
+        """(item, alignment) of all windows that the items have too; of those only that differ from the other reading."""
         found, w = set(), self.w
-        for _, h in hashes(ids, w.widths):
-            at = np.flatnonzero(self.maybe[h >> self.shift])
-            if len(at):
-                lo, hi = (np.searchsorted(w.keys, h[at], side) for side in ("left", "right"))
-                for s, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                    found.update((item, s - p) for item, p in w.places[a:b].tolist())
+        unknown, changed = ids < 0, None if other is None else ids != other
+        if changed is not None and not changed.any():
+            return found
+        for width in w.widths:
+            if len(ids) < width:
+                continue
+            fit = in_all(unknown, width) == 0
+            at = np.flatnonzero(fit if changed is None else fit & (in_all(changed, width) > 0))
+            if not len(at):
+                continue
+            h = hashes(ids, at, width)
+            likely = self.maybe[h >> self.shift]
+            at, h = at[likely], h[likely]
+            lo, hi = (np.searchsorted(w.keys, h, side) for side in ("left", "right"))
+            for s, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                found.update((item, s - p) for item, p in w.places[a:b].tolist())
         return found
 
     def _matched(self, item: int, shift: int, ids: np.ndarray, own: np.ndarray, word_at) -> int:
@@ -272,7 +281,8 @@ class Matcher:
         """The smallest id of an item that the text contains, and how many windows of it matched along the best alignment."""
         if not len(self.w.keys):
             return None, 0
-        raw = split(text)
+        text = spaced(text)
+        raw = text.split()
         forms = self.forms
         try:
             codes = np.fromiter(map(forms.__getitem__, raw), np.int64, len(raw))
@@ -298,14 +308,13 @@ class Matcher:
             return np.where(name, KINDS.index(NAME), np.where(after, KINDS.index(UNIT), ((codes >> 5) & (1 << 29) - 1) - 1))
 
         ids = templates(fresh)
-        seeds = self._seeds(ids) | self._seeds(own)
-        if "\n" in text or len(text.splitlines()) > 1:
-            starts = np.zeros(len(raw) + 1, np.int64)
-            starts[line_starts(text)] = 1
-            lines = np.cumsum(starts)[places]
-            by_line = templates(fresh | np.concatenate(([True], lines[1:] > lines[:-1])))
-            if (by_line != ids).any():
-                seeds |= self._seeds(by_line)
+        seeds = self._seeds(ids) | self._seeds(own, ids)
+        starts = np.zeros(len(raw) + 1, np.int64)
+        starts[line_starts(text)] = 1
+        lines = np.cumsum(starts)[places]
+        begins = np.concatenate(([True], lines[1:] > lines[:-1]))
+        if (begins & ~fresh & ((codes & 2) > 0)).any():
+            seeds |= self._seeds(templates(fresh | begins), ids)
         best: tuple[int | None, int] = (None, 0)
         for item, shift in seeds:
             n, name_of = self._matched(item, shift, ids, own, lambda p: _bare(raw[places[p]])), self.w.names[item]
