@@ -7,7 +7,9 @@ language; the filters are bit-sliced: cell p holds one word whose bit i says tha
 the k cells of a trigram is the mask of all languages that contain it.  A text's hits per language are the popcounts of
 its trigrams' masks, corrected for the filter's false-positive rate, and the largest count decides.
 
-The counts are summed in Spark; the driver gets the cells of the filters only, at most ``MAX_CELLS``.
+The counts are summed in Spark; the driver gets the cells of the filters only, at most ``MAX_CELLS``.  Where a language
+contains too many trigrams for filters of that size, there are no filters: the contained trigrams stay a table, and the
+texts' trigrams are joined to it, which gives the same hits without false positives.
 
 Defined results: ``und`` with score 0 if the text is null or has no letters, or if there was nothing to learn from.
 The score is the winner's share of all languages' corrected hits.  Ties go to the language with more training
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from lodestrata.llm.common import cut, fold_bucket, text_batches, text_or_empty
 
-#: Hash functions; bits of filter per contained trigram of the largest language; most cells; languages per cell word.
+#: Hash functions; bits of filter per contained trigram of the largest language; most cells of a filter that is broadcast; languages per cell word.
 HASHES, BITS_PER_GRAM, MAX_CELLS, PER_WORD = 4, 12, 1 << 22, 62
 #: Share of its share in the language that uses it most from which a trigram is contained; least count.
 FAIR_SHARE, LEAST = 0.2, 2
@@ -104,6 +106,7 @@ class Model(NamedTuple):
     bits: int
     masks: list[np.ndarray]  # one array of cells for every PER_WORD languages
     false_rate: np.ndarray
+    table: DataFrame | None = None  # instead of the filters: gram, lang (its place in langs)
 
 
 def _cells_of(bits: int):
@@ -125,22 +128,24 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     langs = sorted(totals, key=lambda x: (-totals[x][0], x))
     if not langs:
         return Model([], 1, [], np.zeros(0))
-    bits = min(MAX_CELLS.bit_length() - 1, max(10, (BITS_PER_GRAM * max(k for _, k in totals.values())).bit_length()))
-    known = docs.sparkSession.createDataFrame([(x, totals[x][0], i // PER_WORD, 1 << (i % PER_WORD)) for i, x in enumerate(langs)], "lang string, total long, word int, bit long")
+    bits = max(10, (BITS_PER_GRAM * max(k for _, k in totals.values())).bit_length())
+    known = docs.sparkSession.createDataFrame([(x, totals[x][0], i, i // PER_WORD, 1 << (i % PER_WORD)) for i, x in enumerate(langs)], "lang string, total long, i int, word int, bit long")
     shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total"))
-    top = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("word", "bit", "share", "n")).alias("uses"))  # an entry for each language
+    top = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("i", "word", "bit", "share", "n")).alias("uses"))  # an entry for each language
     contained = top.select("gram", F.explode(F.filter("uses", lambda u: (u["share"] >= FAIR_SHARE * F.col("top")) & (u["n"] >= LEAST))).alias("u"))
+    if 1 << bits > MAX_CELLS:
+        return Model(langs, bits, [], np.zeros(len(langs)), cut(contained.select("gram", F.col("u.i").alias("lang")), "contained"))
     masks = contained.groupBy("gram", F.col("u.word").alias("word")).agg(F.bit_or("u.bit").alias("mask"))
     filled = masks.mapInArrow(_cells_of(bits), "cell long, word int, mask long").groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toPandas()
     out = [np.zeros(1 << bits, np.int64) for _ in range(-(-len(langs) // PER_WORD))]
     for word, own in filled.groupby("word"):
         out[word][own["cell"].to_numpy()] = own["mask"].to_numpy()
     fill = [np.count_nonzero(out[i // PER_WORD] & (1 << (i % PER_WORD))) / (1 << bits) for i in range(len(langs))]
-    return Model(langs, bits, out, np.minimum(np.array(fill) ** HASHES, 0.5))
+    return Model(langs, bits, out, np.array(fill) ** HASHES)
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float, float]:
-    """Language, score, and the share of the text's trigrams that the language contains."""
+    """Language, score, and the share of the text's trigrams that the language contains; of a model with filters."""
     grams = trigrams(text or "")
     if not len(grams) or not model.langs:
         return "und", 0.0, 0.0
@@ -169,10 +174,33 @@ def _predictor(spread):
     return run
 
 
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, text in zip(batch.column("_key").to_pylist(), batch.column("_t").to_pylist(), strict=True):
+            every = trigrams(text)
+            grams, n = np.unique(every, return_counts=True)
+            if len(grams):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), key)), pa.array(grams), pa.array(n), pa.array(np.full(len(grams), len(every)))], ["_key", "gram", "n", "all"])
+
+
+def _joined(rows: DataFrame, model: Model) -> DataFrame:
+    """What ``predict`` says, by a join of the texts' trigrams to the table of the contained ones."""
+    rows = cut(rows.withColumn("_key", F.monotonically_increasing_id()), "texts")
+    grams = rows.select("_key", "_t").mapInArrow(_text_grams, "_key long, gram long, n long, all long")
+    hits = grams.join(model.table, "gram", "left").groupBy("_key", "lang").agg(F.sum("n").alias("n"), F.max("all").alias("all"))
+    found = F.col("lang").isNotNull()
+    best = hits.groupBy("_key").agg(F.max(F.when(found, F.struct("n", (-F.col("lang")).alias("back")))).alias("best"), F.sum(F.when(found, F.col("n"))).alias("sum"), F.max("all").alias("all"))
+    names = F.array(*[F.lit(x) for x in model.langs])
+    named = best.select("_key", F.element_at(names, 1 - F.coalesce("best.back", F.lit(0))).alias("lang_pred"), F.coalesce(F.col("best.n") / F.col("sum"), F.lit(0.0)).alias("score"), F.coalesce(F.col("best.n") / F.col("all"), F.lit(0.0)).alias("coverage"))
+    return rows.join(named, "_key", "left").select("_row", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """_row (all columns of ``docs``), lang_pred, score, coverage."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty(text_col).alias("_t"))
+    if model.table is not None:
+        return _joined(rows, model)
     found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())]
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), T.StructType([rows.schema["_row"], *found]))
 

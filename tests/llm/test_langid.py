@@ -78,3 +78,19 @@ def test_the_stage_keeps_clean_rows_and_columns(corpus):
 def test_trigrams_set_words_apart():
     decode = lambda g: "".join(chr(g >> s & 0x1FFFFF) for s in (0, 21, 42))
     assert [decode(g) for g in L.trigrams("Ab, 7c").tolist()] == [" ab", "ab ", "b c", " c "]
+
+
+def test_more_trigrams_than_a_filter_holds(corpus, monkeypatch, spark):
+    """Joined to a table: the languages of a filter of sufficient size, and foreign text isn't covered."""
+    foreign = spark.createDataFrame([(2000, "xyqw wvxq qqxw jjxv", None, "s", 0), (2001, None, None, "s", 0)], corpus.schema)
+    rows = corpus.unionByName(foreign)
+    want = {(r._row.doc_id, r.lang_pred, round(r.coverage, 1)) for r in L.identify(rows, L.train(corpus)).collect() if r._row.doc_id != 2000}
+    monkeypatch.setattr(L, "MAX_CELLS", 1 << 6)
+    got = L.identify(rows, L.train(corpus)).collect()
+    assert len(got) == rows.count()
+    by_id = {r._row.doc_id: r for r in got}
+    assert by_id[2000].coverage == 0 and by_id[2001].lang_pred == "und"
+    exact = {(r._row.doc_id, r.lang_pred) for r in got if r._row.doc_id != 2000}
+    assert exact == {x[:2] for x in want}
+    assert all(0 <= r.score <= 1 and 0 <= r.coverage <= 1 for r in got)
+    assert 2000 not in {r.doc_id for r in L.keep_identified(rows).collect()}
