@@ -87,3 +87,9 @@ def test_branch_and_bound_finds_the_optimum_where_best_fit_fails():
 
 def test_empty_table(empty):
     assert P.pack(empty, *tokenizer()).count() == 0
+
+
+def test_the_search_goes_on_until_the_bound_is_reached():
+    # 4,000 nodes with 1,000 for a filling end with 14 bins
+    sizes = {16: 2, 21: 2, 34: 2, 19: 1, 27: 3, 12: 3, 35: 2, 13: 2, 15: 1, 22: 3, 28: 3, 23: 1, 31: 1, 29: 1, 36: 2, 18: 2, 26: 1, 14: 1}
+    assert sum(n for _, n in P.plan(sizes, 60)) == 13
