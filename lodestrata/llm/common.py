@@ -11,6 +11,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -53,11 +55,38 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as two underscores) for the time of a job, put back afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later jobs start from the files."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: later jobs start from the files.
+
+    The shuffle files of the job that writes it go when it ends.  ``drop`` removes the table after its last reader.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and no later step reads."""
+    for table in tables:
+        remove(table.sparkSession, table._written_to)
 
 
 def release(spark: SparkSession) -> None:

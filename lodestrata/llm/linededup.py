@@ -1,341 +1,175 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its words (lower-cased, set apart by blanks and control characters).  A line is removed if an
 earlier line (by doc_id, then line number) of any document has a Jaccard similarity of ``SIMILARITY`` or more with it,
 whether or not that earlier line is itself removed.
 
-1. Words are ordered by rarity: by the corpus count of their hash bucket (of ``BUCKETS``), then by their hash.  Any
-   order that all lines share makes the filters exact; this one needs a table of fixed size only.
+1. Words are ordered by rarity: by the magnitude of the corpus count of their hash bucket (of ``BUCKETS``), then by
+   their hash.  Any order that all lines share makes the filters exact; this one needs a table of fixed size only.
 2. Equal sets collapse to a class with its first occurrence; all but the first go.
 3. Prefix filter: two sets within the limit share a word among the rarest |x| - ceil(t |x|) + 1 of each (of the smaller
-   set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  Classes are dealt out by these words.  Among the classes of a
-   word, the length filter, the positional filter and a bit signature (which bounds the symmetric difference from
-   below) leave the likely pairs; a class names its ``NAMED`` likeliest earlier ones only, so pairs of a group are
-   never listed.
-4. A wide signature of each class (``WIDE`` longs) drops most pairs that aren't similar, and the rest are verified on
-   all words.  A class without a similar one that has more likely partners than it named (or
-   a word with more than ``CROWD`` classes, of which only the first ``AHEAD`` were looked at) is joined with all
-   earlier classes.
-5. These pairs are verified too.
-
-The sets are made in Arrow batches: in DataFrame functions they cost about 450 CPU seconds a GB (see the README).
-
-Defined results: lines without words stay.  A null text has no lines that could match, and stays null.  Rows without an
-id neither remove lines nor lose any.  Rows that repeat an id are taken for one document: what one keeps, all keep.
+   set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  These words are the join key.  The length filter, the positional
+   filter and two parity signatures (whose differing bits can't exceed the words in which two sets differ) are
+   conditions of the join, so pairs that fail never leave it.  Sets too small to be similar to any but an equal one
+   stay out of the index.
+4. Classes of a word with up to ``CROWD`` of them are compared with each other at once: a word makes no more than
+   CROWD / 2 pairs a row.  In a crowded word a class is first compared with the earliest one; in a group of near copies
+   that settles nearly all, so the pairs of a group are never listed.  Classes that neither step settles are joined
+   with all earlier ones of their crowded words, by word and size, which spreads one word over many keys.
+5. The pairs of each step are verified on the hashes of all words.
+
+Defined results: lines without words stay.  A null text has no lines that could match, and stays null; an empty text is
+one line without words; an empty table gives no rows.  A very long text is split into its lines where it is read, and a
+very long line is one set.  Rows without an id neither remove lines nor lose any.  Rows that repeat an id are taken for
+one document: what one keeps, all keep.  Ties can't occur: of equal sets the first stays.  Further columns, whatever
+their names, are carried in a struct and come back as they were.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, release, small, text_batches
-
-SIMILARITY, BUCKETS = 0.8, 65_536
-#: Bits of the hash in a word's key; above them is the rank of its bucket.
-LOW_BITS = 46
-#: Classes of one word up to which all are compared with each other; beyond, with so many of the first only.
-CROWD, AHEAD = 4096, 256
-#: Longs of the wide signature, by which named pairs are looked at again before their words are.
-WIDE = 8
-#: Earlier classes that a class names for each of its words.
-NAMED = 4
-#: Words whose keys a task remembers.
-CACHED_WORDS = 300_000
-_SLACK = 1e-9
-_FIELDS = ("doc", "line", "size", "sig", "pos")
-_WIDE = tuple(f"w{k}" for k in range(WIDE))
-
+from lodestrata.llm.common import cut, drop, small
 
-def ceil(x: float) -> int:
-    return math.ceil(x - _SLACK)
+SIMILARITY, BUCKETS = 0.8, 1 << 18
+#: Bits of the hash in a word's key; above them is the magnitude of its bucket's count.
+LOW_BITS = 57
+#: Classes of one word up to which all are compared with each other at once.
+CROWD = 64
+_SLACK = 1e-9
+_FIELDS = ("doc", "line", "size", "sig", "sig2", "pos")
+_BREAKS = "\t\r\x0b\x0c"
 
 
 def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def word_hashes(line: Column) -> Column:
+    """The hashes of the distinct words of a line whose breaks are blanks and whose letters are small."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.when(w != "", F.xxhash64(w)))
+    return F.array_distinct(F.array_compact(hashes))
+
+
+def _plain(text: Column) -> Column:
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), _BREAKS, " " * len(_BREAKS)))
+
+
 def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents with an id; of rows that repeat one, every text counts."""
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums, words = np.zeros(BUCKETS, np.int64), Counter()
-
-    def fold() -> None:
-        bucket = np.fromiter((xxhash.xxh64_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
-        sums[:] += np.bincount(bucket, np.fromiter(words.values(), np.int64, len(words)), BUCKETS).astype(np.int64)
-        words.clear()
-
-    for batch in batches:
-        for text in batch.column("_t").to_pylist():
-            words.update(text.lower().encode().split())
-        if len(words) > CACHED_WORDS:
-            fold()
-    fold()
-    at = np.flatnonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["b", "n"])
-
-
-def _places(rows: DataFrame) -> np.ndarray:
-    """For each hash bucket, its place when buckets are ordered by their words' count; a table of fixed size."""
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in rows.select("_t").mapInArrow(_tally, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        counts[r["b"]] = r["n"]
-    place = np.empty(BUCKETS, np.int64)
-    place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
-    return place
-
-
-def _classes_of(spread, t: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = spread.value.tolist()
-        low, keys = (1 << LOW_BITS) - 1, {}
-
-        def key(word: bytes) -> int:
-            h = xxhash.xxh64_intdigest(word)
-            k = place[h % BUCKETS] << LOW_BITS | (h >> 16) & low
-            if len(keys) < CACHED_WORDS:
-                keys[word] = k
-            return k
-
-        for batch in batches:
-            docs, numbers, sizes, words = [], [], [], []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                for line, body in enumerate(text.lower().encode().split(b"\n")):
-                    if own := body.split():
-                        docs.append(doc)
-                        numbers.append(line)
-                        sizes.append(len(own))
-                        words += own
-            # all sets of the batch at once: keys sorted within their lines, repeats dropped
-            flat = np.fromiter((keys.get(w) or key(w) for w in words), np.int64, len(words))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((flat, owner))
-            flat, owner = flat[order], owner[order]
-            new = np.ones(len(flat), bool)
-            new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-            flat, owner = flat[new], owner[new]
-            size = np.bincount(owner, minlength=len(sizes))
-            ends = np.cumsum(size)
-            raw = flat.tobytes()
-            first: dict[bytes, int] = {}
-            for i, (e, n) in enumerate(zip(ends.tolist(), size.tolist(), strict=True)):
-                name = xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e])
-                old = first.get(name)
-                if old is None or (docs[i], numbers[i]) < (docs[old], numbers[old]):
-                    first[name] = i
-            kept = np.fromiter(first.values(), np.int64, len(first))
-            ids = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
-            sig = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) & np.uint64(63)), ends - size).view(np.int64) if len(flat) else flat
-            bit = (flat >> 6).astype(np.uint64) % np.uint64(64 * WIDE)
-            spread_bits = np.zeros((len(flat), WIDE), np.uint64)
-            spread_bits[np.arange(len(flat)), (bit >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (bit & np.uint64(63))
-            wide = np.bitwise_or.reduceat(spread_bits, ends - size, axis=0).view(np.int64)[kept] if len(flat) else np.zeros((0, WIDE), np.int64)
-            lengths = size[kept] - np.ceil(t * size[kept] - _SLACK).astype(np.int64) + 1
-            at = np.repeat((ends - size)[kept] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(flat[at]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(np.array(docs, np.int64)[kept]), pa.array(np.array(numbers, np.int32)[kept]), pa.array(size[kept].astype(np.int32)), pa.array(sig[kept]), *(pa.array(wide[:, k].copy()) for k in range(WIDE)), prefix],
-                ["id", "id2", "doc", "line", "size", "sig", *_WIDE, "prefix"],
-            )
-
-    return run
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _plain(F.col(text_col)).alias("_t"))
+
+
+def _magnitudes(rows: DataFrame) -> Column:
+    """For each hash bucket the binary logarithm of its words' count, as a constant array: a table of fixed size."""
+    words = rows.select(F.explode(F.split(F.translate("_t", "\n", " "), " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    all_buckets = counts.union(rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
+    magnitude = F.floor(F.log2(F.col("n") + 1)).cast("string")
+    blocks = all_buckets.groupBy(F.shiftright("b", 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("b", magnitude.alias("m")))).alias("x"))
+    parts = blocks.select("block", F.array_join("x.m", ",").alias("m")).orderBy("block").collect()  # BUCKETS / 1024 rows
+    return F.split(F.lit(",".join(r["m"] for r in parts)), ",").cast("array<tinyint>")  # folded to a constant once
+
+
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - (BUCKETS - 1).bit_length()).cast("int")
+
+
+def _ceil(x: Column) -> Column:
+    return F.ceil(x - F.lit(_SLACK)).cast("int")
+
+
+def _parity(keys: Column, shift: int) -> Column:
+    """A bit for each value of six bits of the keys: whether an odd number of them has it."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per distinct set: first (doc, line), size, sig, w0 ... (the wide signature), prefix (the keys of its rarest words, rarest first)."""
-    text_batches(docs.sparkSession)
+    """One row per distinct set: first (doc, line), size, sig, sig2, prefix (the keys of its rarest words, rarest first)."""
     rows = _known(docs, id_col, text_col)
-    made = rows.mapInArrow(_classes_of(docs.sparkSession.sparkContext.broadcast(_places(rows)), similarity), f"id long, id2 long, doc long, line int, size int, sig long, {', '.join(w + ' long' for w in _WIDE)}, prefix array<long>")
-    found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"), *[F.first(w).alias(w) for w in _WIDE], F.first("prefix").alias("prefix"))
-    return found.select("first", "size", "sig", *_WIDE, "prefix")
-
-
-def _index(found: DataFrame) -> DataFrame:
-    rows = found.select("first.doc", "first.line", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
-    return rows.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-
-
-def _near(x: dict, y: dict, t: float) -> np.ndarray:
-    """Distance of the signatures where y is earlier than x and all filters pass, else 255; x and y broadcast."""
-    total = x["size"] + y["size"]
-    need = np.ceil(total * (t / (1 + t)) - _SLACK)
-    short, long_ = np.minimum(x["size"], y["size"]), np.maximum(x["size"], y["size"])
-    ok = (y["doc"] < x["doc"]) | ((y["doc"] == x["doc"]) & (y["line"] < x["line"]))
-    ok = ok & (short >= np.ceil(long_ * t - _SLACK))
-    ok &= np.where(x["size"] <= y["size"], x["pos"], y["pos"]) <= short - np.ceil(short * (2 * t / (1 + t)) - _SLACK)
-    ok &= np.minimum(x["size"] - x["pos"], y["size"] - y["pos"]) >= need - np.minimum(x["pos"], y["pos"])
-    distance = np.bitwise_count((x["sig"] ^ y["sig"]).view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's
-    return np.where(ok & (distance <= total - 2 * need), distance, 255)
-
-
-def _likely_in_task(t: float):
-    """Rows come sorted by word; at most one word's classes and one batch are held."""
-
-    def solve(c: dict) -> pa.RecordBatch | None:
-        """All pairs within each word, by their distance in the order of the rows."""
-        n = len(c["key"])
-        edge = np.flatnonzero(np.diff(c["key"])) + 1
-        starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [n]))
-        best, who, many = np.full((NAMED, n), 255, np.int64), np.zeros((NAMED, n), np.int64), np.zeros(n, bool)
-        sizes = ends - starts
-
-        def note(i: np.ndarray, j: np.ndarray) -> None:
-            """Puts each j among the nearest of its i; no i twice."""
-            d = _near({k: v[i] for k, v in c.items()}, {k: v[j] for k, v in c.items()}, t)
-            hit = d < 255
-            i, j, d = i[hit], j[hit], d[hit]
-            for k in range(NAMED):
-                worse = d < best[k, i]
-                rows = i[worse]
-                best[k, rows], d[worse] = d[worse], best[k, rows]
-                who[k, rows], j[worse] = j[worse], who[k, rows]
-            many[i[d < 255]] = True  # one was pushed out
-
-        modest = (sizes > 1) & (sizes <= CROWD)
-        inside = np.zeros(n + 1, np.int64)
-        np.add.at(inside, starts[modest], 1)
-        np.add.at(inside, ends[modest], -1)
-        rows = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        last = np.repeat(ends, sizes)
-        step = 1
-        while len(rows):
-            rows = rows[rows + step < last[rows]]
-            if len(rows):
-                note(rows, rows + step)
-                note(rows + step, rows)
-            step += 1
-        for s, e in zip(starts[sizes > CROWD], ends[sizes > CROWD], strict=True):
-            own = np.arange(s, e)
-            many[own] = True
-            order = np.lexsort((c["line"][own], c["doc"][own]))
-            for j in own[order[:AHEAD]]:
-                note(own, np.full(len(own), j))
-            many[own] = True
-        rank, hit = np.nonzero(best < 255)
-        y = who[rank, hit]
-        lone = np.flatnonzero(many & (best[0] == 255))
-        x = np.concatenate((hit, lone))
-        if not len(x):
-            return None
-        none = np.arange(len(x)) >= len(hit)
-        y = np.concatenate((y, np.zeros(len(lone), np.int64)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c["doc"][x]), pa.array(c["line"][x]), pa.array(c["doc"][y], mask=none), pa.array(c["line"][y], mask=none), pa.array(many[x])],
-            ["x_doc", "x_line", "y_doc", "y_line", "many"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"key": np.int64, "doc": np.int64, "line": np.int32, "size": np.int64, "sig": np.int64, "pos": np.int64}
-        held, waiting = {k: np.zeros(0, v) for k, v in kinds.items()}, []
-
-        def join() -> dict:
-            return {k: np.concatenate([held[k], *(b.column(k).to_numpy().astype(v, copy=False) for b in waiting)]) for k, v in kinds.items()}
-
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            size += batch.num_rows
-            if size < max(100_000, len(held["key"])):
-                continue
-            c = join()
-            waiting, size = [], 0
-            cut_at = int(np.searchsorted(c["key"], c["key"][-1]))
-            if cut_at:
-                out = solve({k: v[:cut_at] for k, v in c.items()})
-                if out is not None:
-                    yield out
-            held = {k: v[cut_at:] for k, v in c.items()}
-        c = join()
-        if len(c["key"]):
-            out = solve(c)
-            if out is not None:
-                yield out
-
-    return run
+    place = _magnitudes(rows)
+    key = lambda h: F.shiftleft(F.get(place, _bucket(h)).cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+    lines = rows.select("doc", F.posexplode(F.split("_t", "\n")).alias("line", "_text"))
+    sets = lines.select("doc", "line", F.sort_array(F.transform(word_hashes(F.col("_text")), key)).alias("_keys")).where(F.size("_keys") > 0)
+    size = F.size("_keys")
+    made = sets.select("doc", "line", size.alias("size"), _parity(F.col("_keys"), 0).alias("sig"), _parity(F.col("_keys"), 6).alias("sig2"), F.xxhash64("_keys").alias("id"), F.xxhash64(F.lit(1), F.col("_keys")).alias("id2"), F.slice("_keys", F.lit(1), size - _ceil(size * similarity) + 1).alias("prefix"))
+    found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sig", "sig2", "prefix")])
+    return found.select("first.doc", "first.line", "size", "sig", "sig2", "prefix")
+
+
+def _index(found: DataFrame, t: float) -> DataFrame:
+    """A row for each word of a prefix; without classes whose size only equal sets could match."""
+    matchable = (F.floor(F.col("size") / t + F.lit(_SLACK)) > F.col("size")) | (_ceil(F.col("size") * t) < F.col("size"))
+    return found.where(matchable).select("doc", "line", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "key"))
+
+
+def _side(index: DataFrame, side: str, *more: str) -> DataFrame:
+    return index.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS], *more)
 
 
 def _close(t: float) -> Column:
-    """The same filters between the sides x and y of a join."""
+    """The filters between the sides x and y of a join, y the earlier one."""
     c = F.col
-    up = lambda x: F.ceil(x - F.lit(_SLACK))
     total = c("x_size") + c("y_size")
-    need = up(total * (t / (1 + t)))
+    need = _ceil(total * (t / (1 + t)))
     short, long_ = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
+    apart = total - need * 2
+    signatures = (F.bit_count(c("x_sig").bitwiseXOR(c("y_sig"))) <= apart) & (F.bit_count(c("x_sig2").bitwiseXOR(c("y_sig2"))) <= apart)
     positions = F.least(c("x_size") - c("x_pos"), c("y_size") - c("y_pos")) >= need - F.least("x_pos", "y_pos")
     smaller = F.when(c("x_size") <= c("y_size"), c("x_pos")).otherwise(c("y_pos"))
-    earlier = F.struct("y_doc", "y_line") < F.struct("x_doc", "x_line")
-    signature = F.bit_count(c("x_sig").bitwiseXOR(c("y_sig"))) <= total - need * 2
-    return (short >= up(long_ * t)) & (smaller <= short - up(short * (2 * t / (1 + t)))) & positions & signature & earlier
-
-
-def _asked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, numbers, sets = [], [], []
-        for doc, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc", "_t", "lines")), strict=True):
-            body = text.lower().encode().split(b"\n")
-            for k in set(lines):
-                if k < len(body) and (words := set(body[k].split())):
-                    docs.append(doc)
-                    numbers.append(k)
-                    sets.append(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64))
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "line", "words"])
-
-
-def _wide_filter(pairs: DataFrame, found: DataFrame, t: float) -> DataFrame:
-    """The pairs whose wide signatures differ by no more than similar sets can."""
-    x, y = (found.select(F.col("first.doc").alias(f"{s}_doc"), F.col("first.line").alias(f"{s}_line"), F.col("size").alias(f"{s}_size"), *[F.col(w).alias(f"{s}_{w}") for w in _WIDE]) for s in "xy")
-    total = F.col("x_size") + F.col("y_size")
-    distance = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in _WIDE[1:]), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
-    near = distance <= total - F.ceil(total * (t / (1 + t)) - F.lit(_SLACK)) * 2
-    return cut(pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"]).where(near).select("x_doc", "x_line", "y_doc", "y_line"), "near")
+    earlier = (c("y_doc") < c("x_doc")) | ((c("y_doc") == c("x_doc")) & (c("y_line") < c("x_line")))
+    return earlier & signatures & (short >= _ceil(long_ * t)) & (smaller <= short - _ceil(short * (2 * t / (1 + t)))) & positions
+
+
+_PAIR = ("x_doc", "x_line", "y_doc", "y_line")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
-    """doc, line of the pairs' later lines whose sets are similar, by all their words (as 64-bit hashes)."""
+    """doc, line of the pairs' later lines whose sets are similar, by the hashes of all their words."""
     asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
-    wanted = cut(asked.groupBy("doc").agg(F.collect_list("line").alias("lines")), "wanted")  # lines of one document
-    sets = cut(rows.join(small(wanted, wanted.count()), "doc").select("doc", "_t", "lines").mapInArrow(_asked_sets, "doc long, line int, words array<long>"), "sets")
-    x = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
-    y = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
+    wanted = cut(asked.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")  # lines of one document
+    picked = rows.join(small(wanted, wanted.count()), "doc").select("doc", F.explode("lines").alias("line"), F.split("_t", "\n").alias("_all")).where(F.col("line") < F.size("_all"))
+    sets = cut(picked.select("doc", "line", word_hashes(F.col("_all")[F.col("line")]).alias("words")).where(F.size("words") > 0).dropDuplicates(), "sets")
+    x, y = (sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "words")]) for s in "xy")
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
     common = F.size(F.array_intersect("x_words", "y_words"))
     alike = common >= (F.size("x_words") + F.size("y_words") - common) * t - _SLACK
-    return cut(both.where(alike).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct(), "alike")
+    out = cut(both.where(alike).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct(), "alike")
+    drop(wanted, sets)
+    return out
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
-    rows = _known(docs, id_col, text_col)
-    found = cut(classes(docs, id_col, text_col, similarity), "classes")
-    release(docs.sparkSession)
-    hits = cut(_index(found).mapInArrow(_likely_in_task(similarity), "x_doc long, x_line int, y_doc long, y_line int, many boolean").groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.bool_or("many").alias("many")), "likely")
-    release(docs.sparkSession)
-    gone = _verified(_wide_filter(hits.where("y_doc is not null").drop("many"), found, similarity), rows, similarity)
-    release(docs.sparkSession)
-    again = cut(hits.where("many").select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct().join(gone, ["doc", "line"], "left_anti"), "open")
-    n_open = again.count()
-    if n_open:
-        index = found.select("first.doc", "first.line", "size", "sig", F.posexplode("prefix").alias("pos", "key"))
-        sided = lambda df, side: df.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS])
-        asked = cut(sided(index.join(small(again, n_open), ["doc", "line"], "left_semi"), "x"), "asked")
-        pairs = sided(index, "y").join(small(asked, asked.count()), "key").where(_close(similarity)).select("x_doc", "x_line", "y_doc", "y_line").distinct()
-        gone = gone.union(_verified(_wide_filter(pairs, found, similarity), rows, similarity))
-    stay = found.select("first.doc", "first.line").join(gone, ["doc", "line"], "left_anti")
-    return stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept"))
+    t, rows = similarity, _known(docs, id_col, text_col)
+    found = cut(classes(docs, id_col, text_col, t), "classes")
+    index = _index(found, t)
+    crowded = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
+    n_crowded = crowded.count()
+    crowd = small(crowded, n_crowded)
+    modest = index.join(crowd, "key", "left_anti") if n_crowded else index
+    pairs = cut(_side(modest, "x").join(_side(modest, "y"), "key").where(_close(t)).select(*_PAIR).distinct(), "pairs")
+    done = [pairs, crowded]
+    if n_crowded:
+        many = cut(index.join(crowd, "key", "left_semi"), "many")
+        first = many.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("y")).select("key", *[F.col(f"y.{n}").alias(f"y_{n}") for n in _FIELDS])
+        with_first = cut(_side(many, "x").join(small(first, n_crowded), "key").where(_close(t)).select(*_PAIR).distinct(), "first")
+        gone = _verified(pairs.union(with_first).distinct(), rows, t)
+        sizes = F.explode(F.sequence(_ceil(F.col("x_size") * t), F.floor(F.col("x_size") / t + F.lit(_SLACK)).cast("int")))
+        open_ = _side(many.join(gone, ["doc", "line"], "left_anti"), "x").select("*", sizes.alias("y_size"))
+        rest = cut(open_.join(_side(many, "y"), ["key", "y_size"]).where(_close(t)).select(*_PAIR).distinct(), "rest")
+        gone = gone.union(_verified(rest, rows, t))
+        done += [many, with_first, rest]
+    else:
+        gone = _verified(pairs, rows, t)
+    stay = found.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
+    kept = cut(stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept")), "kept")  # lines of one document
+    drop(found, *done)
+    return kept
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -349,7 +183,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _blank(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""
+    return F.trim(F.translate(line, _BREAKS, " " * len(_BREAKS))) == ""
 
 
 def _empty(lines: Column) -> Column:
@@ -359,8 +193,9 @@ def _empty(lines: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, their texts without the removed lines."""
-    kept = kept_lines(docs, id_col, text_col, similarity).withColumnRenamed("_id", "_kept_id").withColumnRenamed("kept", "_kept")
-    numbers = F.coalesce("_kept", F.array().cast("array<int>"))
+    kept = kept_lines(docs, id_col, text_col, similarity)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(kept, "_id", "left")
+    numbers = F.coalesce("kept", F.array().cast("array<int>"))
     stays = lambda x, i: F.array_contains(numbers, i) | _blank(x)
-    text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split_lines(F.col(text_col)), stays), "\n"))
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left").withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col("_id").isNull() | F.col("_t").isNull(), F.col("_t")).otherwise(F.array_join(F.filter(split_lines(F.col("_t")), stays), "\n"))
+    return rows.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])

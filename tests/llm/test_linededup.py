@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import linededup as L
 
@@ -79,17 +80,49 @@ def test_a_near_copy_group_lists_no_pairs_within_it(spark, make):
     assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
 
 
-def test_crowded_words_go_on_to_the_join(spark, rows, monkeypatch):
-    """Tasks import the module, so the limits are put into the function that they get."""
-    import types
+@pytest.mark.parametrize("crowd", [1, 2, 5])
+def test_crowded_words_go_on_to_the_join(spark, rows, monkeypatch, crowd):
+    monkeypatch.setattr(L, "CROWD", crowd)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
+
 
-    f = L._likely_in_task
-    tight = types.FunctionType(f.__code__, {**f.__globals__, "CROWD": 2, "AHEAD": 1}, f.__name__, f.__defaults__, f.__closure__)
-    monkeypatch.setattr(L, "_likely_in_task", tight)
+def test_chains_of_near_copies_in_a_crowded_word(spark, make, monkeypatch):
+    """Lines that drift away from the first, each like the one before: the first settles few of them."""
+    monkeypatch.setattr(L, "CROWD", 4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(["shared", *words[i : i + 20]])) for i in range(40)] + [(50, "shared")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
 
 
+def test_no_python_in_the_plans(spark, rows, capsys, tmp_path):
+    """Native: neither the classes nor the join nor the decisions run Python code."""
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    for made in (L.classes(df), L.line_decisions(df), L.dedup_lines(df)):
+        made.explain("formatted")
+        assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_very_long_text_and_line(spark, make):
+    rng = random.Random(4)
+    long_line = make(rng, 20_000)
+    text = "\n".join(make(rng, 5) for _ in range(3_000))
+    rows = [(1, text), (2, long_line), (3, text), (4, long_line + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r._id: r for r in L.line_decisions(df).collect()}
+    assert found[3].n_removed == 3_000 and found[4].n_removed == 1 and found[2].n_removed == 0
+
+
+def test_columns_with_names_used_inside(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 1, [1]), (2, "a b c", "y", 2, [2])], "doc_id long, text string, _kept string, _id int, kept array<int>").withColumn("a.b", F.lit(3))
+    out = L.dedup_lines(df)
+    assert out.columns == df.columns
+    assert sorted(out.collect())[1].asDict() == {"doc_id": 2, "text": "", "_kept": "y", "_id": 2, "kept": [2], "a.b": 3}
+    assert sorted((r._id, r.n_removed) for r in L.line_decisions(df).collect()) == [(1, 0), (2, 1)]
+
+
 def test_empty_table(empty):
     assert L.line_decisions(empty).count() == 0
     assert L.dedup_lines(empty).count() == 0
