@@ -4,8 +4,9 @@ A line is the set of its words (lower-cased, set apart by blanks and control cha
 earlier line (by doc_id, then line number) of any document has a Jaccard similarity of ``SIMILARITY`` or more with it,
 whether or not that earlier line is itself removed.
 
-1. Words are ordered by rarity: by the magnitude of the corpus count of their hash bucket (of ``BUCKETS``), then by
-   their hash.  Any order that all lines share makes the filters exact; this one needs a table of fixed size only.
+1. Each line's words are written once, as a set of ``HASH_BITS``-bit hashes.  They are ordered by rarity: by the
+   magnitude of the corpus count of their hash bucket (of ``BUCKETS``), then by their hash.  Any order that all lines
+   share makes the filters exact; this one needs a table of fixed size only.
 2. Equal sets collapse to a class with its first occurrence; all but the first go.
 3. Prefix filter: two sets within the limit share a word among the rarest |x| - ceil(t |x|) + 1 of each (of the smaller
    set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  These words are the join key.  The length filter, the positional
@@ -32,16 +33,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, drop, small
+from lodestrata.llm.common import any_of, cut, drop, small
 
 SIMILARITY, BUCKETS = 0.8, 1 << 18
+#: Bits of a word's hash; two of the words of two lines of 50 have the same with a chance of 2e-11.
+HASH_BITS = 48
 #: Bits of the hash in a word's key; above them is the magnitude of its bucket's count.
 LOW_BITS = 57
 #: Classes of one word up to which all are compared with each other at once.
-CROWD = 64
+CROWD = 256
 _SLACK = 1e-9
 _FIELDS = ("doc", "line", "size", "sig", "sig2", "pos")
 _BREAKS = "\t\r\x0b\x0c"
+#: Fixed value: the hash of the empty text.
+_NO_WORD = (-7444071767201028348 & (1 << 64) - 1) >> (64 - HASH_BITS)
 
 
 def split_lines(text: Column) -> Column:
@@ -50,12 +55,17 @@ def split_lines(text: Column) -> Column:
 
 def word_hashes(line: Column) -> Column:
     """The hashes of the distinct words of a line whose breaks are blanks and whose letters are small."""
-    hashes = F.transform(F.split(line, " "), lambda w: F.when(w != "", F.xxhash64(w)))
-    return F.array_distinct(F.array_compact(hashes))
+    hashes = F.transform(F.split(line, " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+    return F.array_remove(F.array_distinct(hashes), _NO_WORD)
+
+
+def _blanks(text: Column) -> Column:
+    """With blanks for the other breaks; few texts have any, and looking costs much less than translating."""
+    return F.when(any_of([F.contains(text, F.lit(b)) for b in _BREAKS]), F.translate(text, _BREAKS, " " * len(_BREAKS))).otherwise(text)
 
 
 def _plain(text: Column) -> Column:
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), _BREAKS, " " * len(_BREAKS)))
+    return F.lower(_blanks(F.coalesce(text, F.lit(""))))
 
 
 def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,40 +73,42 @@ def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _plain(F.col(text_col)).alias("_t"))
 
 
-def _magnitudes(rows: DataFrame) -> Column:
+def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, line, words (hashes) of every line with words."""
+    lines = _known(docs, id_col, text_col).select("doc", F.posexplode(F.split("_t", "\n")).alias("line", "_text"))
+    return lines.where(F.trim("_text") != "").select("doc", "line", word_hashes(F.col("_text")).alias("words"))  # a condition on the sets would make them twice
+
+
+def _magnitudes(sets: DataFrame) -> Column:
     """For each hash bucket the binary logarithm of its words' count, as a constant array: a table of fixed size."""
-    words = rows.select(F.explode(F.split(F.translate("_t", "\n", " "), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    all_buckets = counts.union(rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
+    counts = sets.select(F.explode("words").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    all_buckets = counts.union(sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
     magnitude = F.floor(F.log2(F.col("n") + 1)).cast("string")
     blocks = all_buckets.groupBy(F.shiftright("b", 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("b", magnitude.alias("m")))).alias("x"))
     parts = blocks.select("block", F.array_join("x.m", ",").alias("m")).orderBy("block").collect()  # BUCKETS / 1024 rows
-    return F.split(F.lit(",".join(r["m"] for r in parts)), ",").cast("array<tinyint>")  # folded to a constant once
+    return F.split(F.lit(",".join(r["m"] for r in parts)), ",").cast("array<bigint>")  # folded to a constant once
 
 
 def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - (BUCKETS - 1).bit_length()).cast("int")
+    return F.shiftrightunsigned(h, HASH_BITS - (BUCKETS - 1).bit_length()).cast("int")
 
 
 def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(_SLACK)).cast("int")
 
 
-def _parity(keys: Column, shift: int) -> Column:
-    """A bit for each value of six bits of the keys: whether an odd number of them has it."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(keys: Column, half: int) -> Column:
+    """Of the words with this bit: a bit for each value of six other bits, whether an odd number of words has it."""
+    mine = (lambda k: k.bitwiseAND(F.lit(1))) if half else (lambda k: F.bitwise_not(k).bitwiseAND(F.lit(1)))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", mine(k), F.shiftright(k, 1).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per distinct set: first (doc, line), size, sig, sig2, prefix (the keys of its rarest words, rarest first)."""
-    rows = _known(docs, id_col, text_col)
-    place = _magnitudes(rows)
-    key = lambda h: F.shiftleft(F.get(place, _bucket(h)).cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
-    lines = rows.select("doc", F.posexplode(F.split("_t", "\n")).alias("line", "_text"))
-    sets = lines.select("doc", "line", F.sort_array(F.transform(word_hashes(F.col("_text")), key)).alias("_keys")).where(F.size("_keys") > 0)
+    place = _magnitudes(sets)
+    keyed = sets.select("doc", "line", F.sort_array(F.transform("words", lambda h: F.shiftleft(F.get(place, _bucket(h)), LOW_BITS).bitwiseOR(h))).alias("_keys"))
     size = F.size("_keys")
-    made = sets.select("doc", "line", size.alias("size"), _parity(F.col("_keys"), 0).alias("sig"), _parity(F.col("_keys"), 6).alias("sig2"), F.xxhash64("_keys").alias("id"), F.xxhash64(F.lit(1), F.col("_keys")).alias("id2"), F.slice("_keys", F.lit(1), size - _ceil(size * similarity) + 1).alias("prefix"))
+    made = keyed.select("doc", "line", size.alias("size"), _parity(F.col("_keys"), 0).alias("sig"), _parity(F.col("_keys"), 1).alias("sig2"), F.xxhash64("_keys").alias("id"), F.xxhash64(F.lit(1), F.col("_keys")).alias("id2"), F.slice("_keys", F.lit(1), size - _ceil(size * similarity) + 1).alias("prefix"))
     found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sig", "sig2", "prefix")])
     return found.select("first.doc", "first.line", "size", "sig", "sig2", "prefix")
 
@@ -118,7 +130,7 @@ def _close(t: float) -> Column:
     need = _ceil(total * (t / (1 + t)))
     short, long_ = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
     apart = total - need * 2
-    signatures = (F.bit_count(c("x_sig").bitwiseXOR(c("y_sig"))) <= apart) & (F.bit_count(c("x_sig2").bitwiseXOR(c("y_sig2"))) <= apart)
+    signatures = F.bit_count(c("x_sig").bitwiseXOR(c("y_sig"))) + F.bit_count(c("x_sig2").bitwiseXOR(c("y_sig2"))) <= apart
     positions = F.least(c("x_size") - c("x_pos"), c("y_size") - c("y_pos")) >= need - F.least("x_pos", "y_pos")
     smaller = F.when(c("x_size") <= c("y_size"), c("x_pos")).otherwise(c("y_pos"))
     earlier = (c("y_doc") < c("x_doc")) | ((c("y_doc") == c("x_doc")) & (c("y_line") < c("x_line")))
@@ -128,44 +140,43 @@ def _close(t: float) -> Column:
 _PAIR = ("x_doc", "x_line", "y_doc", "y_line")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """doc, line of the pairs' later lines whose sets are similar, by the hashes of all their words."""
-    asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
-    wanted = cut(asked.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")  # lines of one document
-    picked = rows.join(small(wanted, wanted.count()), "doc").select("doc", F.explode("lines").alias("line"), F.split("_t", "\n").alias("_all")).where(F.col("line") < F.size("_all"))
-    sets = cut(picked.select("doc", "line", word_hashes(F.col("_all")[F.col("line")]).alias("words")).where(F.size("words") > 0).dropDuplicates(), "sets")
-    x, y = (sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "words")]) for s in "xy")
+    asked = cut(pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct(), "asked")
+    found = cut(sets.join(small(asked, asked.count()), ["doc", "line"], "left_semi").dropDuplicates(), "sets")
+    x, y = (found.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "words")]) for s in "xy")
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
     common = F.size(F.array_intersect("x_words", "y_words"))
     alike = common >= (F.size("x_words") + F.size("y_words") - common) * t - _SLACK
     out = cut(both.where(alike).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct(), "alike")
-    drop(wanted, sets)
+    drop(asked, found)
     return out
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
-    t, rows = similarity, _known(docs, id_col, text_col)
-    found = cut(classes(docs, id_col, text_col, t), "classes")
+    t, sets = similarity, cut(line_sets(docs, id_col, text_col), "words")
+    found = cut(classes(sets, t), "classes")
     index = _index(found, t)
-    crowded = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
+    maybe = F.shiftright("key", LOW_BITS) >= (CROWD + 1).bit_length() - 1  # of rarer buckets no word can have as many classes
+    crowded = cut(index.where(maybe).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
     n_crowded = crowded.count()
     crowd = small(crowded, n_crowded)
     modest = index.join(crowd, "key", "left_anti") if n_crowded else index
     pairs = cut(_side(modest, "x").join(_side(modest, "y"), "key").where(_close(t)).select(*_PAIR).distinct(), "pairs")
-    done = [pairs, crowded]
+    done = [sets, pairs, crowded]
     if n_crowded:
         many = cut(index.join(crowd, "key", "left_semi"), "many")
         first = many.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("y")).select("key", *[F.col(f"y.{n}").alias(f"y_{n}") for n in _FIELDS])
         with_first = cut(_side(many, "x").join(small(first, n_crowded), "key").where(_close(t)).select(*_PAIR).distinct(), "first")
-        gone = _verified(pairs.union(with_first).distinct(), rows, t)
+        gone = _verified(pairs.union(with_first).distinct(), sets, t)
         sizes = F.explode(F.sequence(_ceil(F.col("x_size") * t), F.floor(F.col("x_size") / t + F.lit(_SLACK)).cast("int")))
         open_ = _side(many.join(gone, ["doc", "line"], "left_anti"), "x").select("*", sizes.alias("y_size"))
         rest = cut(open_.join(_side(many, "y"), ["key", "y_size"]).where(_close(t)).select(*_PAIR).distinct(), "rest")
-        gone = gone.union(_verified(rest, rows, t))
+        gone = gone.union(_verified(rest, sets, t))
         done += [many, with_first, rest]
     else:
-        gone = _verified(pairs, rows, t)
+        gone = _verified(pairs, sets, t)
     stay = found.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     kept = cut(stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept")), "kept")  # lines of one document
     drop(found, *done)
@@ -183,7 +194,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _blank(line: Column) -> Column:
-    return F.trim(F.translate(line, _BREAKS, " " * len(_BREAKS))) == ""
+    return F.trim(_blanks(line)) == ""
 
 
 def _empty(lines: Column) -> Column:

@@ -100,7 +100,7 @@ def test_no_python_in_the_plans(spark, rows, capsys, tmp_path):
     """Native: neither the classes nor the join nor the decisions run Python code."""
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
     df = spark.read.parquet(f"{tmp_path}/docs")
-    for made in (L.classes(df), L.line_decisions(df), L.dedup_lines(df)):
+    for made in (L.classes(L.line_sets(df, "doc_id", "text")), L.line_decisions(df), L.dedup_lines(df)):
         made.explain("formatted")
         assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
