@@ -1,7 +1,7 @@
 """What the text operators share: the cluster's shared folder, cut lineage, connected components.
 
 Nothing here keeps state on one machine.  Intermediate tables go to the folder named by
-``spark.checkpoint.dir`` (set to a temporary folder only when the session names none, as in tests),
+``spark.checkpoint.dir`` (set to a temporary folder only when a local session names none, as in tests),
 so a lost executor never takes the only copy of a result with it.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of narrow rows (keys and a few numbers) is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: And bytes of such a table's texts.
+BROADCAST_BYTES = 32_000_000
 
 _roots: dict[str, str] = {}
 
@@ -29,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, below which this process keeps its tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/lodestrata"
         spark.conf.set("spark.checkpoint.dir", base)
     if base not in _roots:
@@ -95,9 +100,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark for broadcast if its counted rows are few enough, else leave the join to the shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, width: int = 0) -> DataFrame:
+    """Mark for broadcast if its counted rows, of up to ``width`` bytes beside some numbers, are few enough; else leave the join to the shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * width <= BROADCAST_BYTES else df
 
 
 def text_batches(spark: SparkSession, rows: int = 500) -> None:

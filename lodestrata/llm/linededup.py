@@ -4,13 +4,13 @@ A line is the set of its words (lower-cased, set apart by blanks and control cha
 earlier line (by doc_id, then line number) of any document has a Jaccard similarity of ``SIMILARITY`` or more with it,
 whether or not that earlier line is itself removed.
 
-1. Each line's words are written once, as a set of ``HASH_BITS``-bit hashes.  They are ordered by rarity: by the
+1. Each line's words are written, as a set of ``HASH_BITS``-bit hashes.  They are ordered by rarity: by the
    magnitude of the corpus count of their hash bucket (of ``BUCKETS``), then by their hash.  Any order that all lines
    share makes the filters exact; this one needs a table of fixed size only.
 2. Equal sets collapse to a class with its first occurrence; all but the first go.
 3. Prefix filter: two sets within the limit share a word among the rarest |x| - ceil(t |x|) + 1 of each (of the smaller
    set |y| - ceil(2t / (1 + t) |y|) + 1 are enough).  These words are the join key.  The length filter, the positional
-   filter and two parity signatures (whose differing bits can't exceed the words in which two sets differ) are
+   filter and parity signatures (whose differing bits can't exceed the words in which two sets differ) are
    conditions of the join, so pairs that fail never leave it.  Sets too small to be similar to any but an equal one
    stay out of the index.
 4. Classes of a word with up to ``CROWD`` of them are compared with each other at once: a word makes no more than
@@ -42,6 +42,8 @@ HASH_BITS = 48
 LOW_BITS = 57
 #: Classes of one word up to which all are compared with each other at once.
 CROWD = 256
+#: Words from which a set has a second signature.
+LONG = 64
 _SLACK = 1e-9
 _FIELDS = ("doc", "line", "size", "sig", "sig2", "pos")
 _BREAKS = "\t\r\x0b\x0c"
@@ -97,10 +99,10 @@ def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(_SLACK)).cast("int")
 
 
-def _parity(keys: Column, half: int) -> Column:
-    """Of the words with this bit: a bit for each value of six other bits, whether an odd number of words has it."""
-    mine = (lambda k: k.bitwiseAND(F.lit(1))) if half else (lambda k: F.bitwise_not(k).bitwiseAND(F.lit(1)))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", mine(k), F.shiftright(k, 1).bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(keys: Column, half: bool) -> Column:
+    """A bit for each value of six bits of the keys: whether an odd number of the words (or of those with a seventh bit) has it."""
+    one = (lambda k: k.bitwiseAND(F.lit(1))) if half else (lambda k: F.lit(1).cast("long"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one(k), F.shiftright(k, 1).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -108,7 +110,7 @@ def classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     place = _magnitudes(sets)
     keyed = sets.select("doc", "line", F.sort_array(F.transform("words", lambda h: F.shiftleft(F.get(place, _bucket(h)), LOW_BITS).bitwiseOR(h))).alias("_keys"))
     size = F.size("_keys")
-    made = keyed.select("doc", "line", size.alias("size"), _parity(F.col("_keys"), 0).alias("sig"), _parity(F.col("_keys"), 1).alias("sig2"), F.xxhash64("_keys").alias("id"), F.xxhash64(F.lit(1), F.col("_keys")).alias("id2"), F.slice("_keys", F.lit(1), size - _ceil(size * similarity) + 1).alias("prefix"))
+    made = keyed.select("doc", "line", size.alias("size"), _parity(F.col("_keys"), False).alias("sig"), F.when(size > LONG, _parity(F.col("_keys"), True)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.xxhash64("_keys").alias("id"), F.xxhash64(F.lit(1), F.col("_keys")).alias("id2"), F.slice("_keys", F.lit(1), size - _ceil(size * similarity) + 1).alias("prefix"))
     found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sig", "sig2", "prefix")])
     return found.select("first.doc", "first.line", "size", "sig", "sig2", "prefix")
 
@@ -130,7 +132,8 @@ def _close(t: float) -> Column:
     need = _ceil(total * (t / (1 + t)))
     short, long_ = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
     apart = total - need * 2
-    signatures = F.bit_count(c("x_sig").bitwiseXOR(c("y_sig"))) + F.bit_count(c("x_sig2").bitwiseXOR(c("y_sig2"))) <= apart
+    one, two = c("x_sig").bitwiseXOR(c("y_sig")), c("x_sig2").bitwiseXOR(c("y_sig2"))
+    signatures = (F.bit_count(one) <= apart) & ((c("x_size") <= LONG) | (c("y_size") <= LONG) | (F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two) <= apart))
     positions = F.least(c("x_size") - c("x_pos"), c("y_size") - c("y_pos")) >= need - F.least("x_pos", "y_pos")
     smaller = F.when(c("x_size") <= c("y_size"), c("x_pos")).otherwise(c("y_pos"))
     earlier = (c("y_doc") < c("x_doc")) | ((c("y_doc") == c("x_doc")) & (c("y_line") < c("x_line")))
@@ -140,23 +143,28 @@ def _close(t: float) -> Column:
 _PAIR = ("x_doc", "x_line", "y_doc", "y_line")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """doc, line of the pairs' later lines whose sets are similar, by the hashes of all their words."""
-    asked = cut(pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct(), "asked")
-    found = cut(sets.join(small(asked, asked.count()), ["doc", "line"], "left_semi").dropDuplicates(), "sets")
+    asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
+    wanted = cut(asked.groupBy("doc").agg(F.collect_list("line").alias("lines")), "wanted")  # lines of one document
+    split = rows.join(small(wanted, wanted.count()), "doc").select("doc", "lines", F.split("_t", "\n").alias("_all"))
+    picked = split.select("doc", F.explode(F.transform("lines", lambda k: F.struct(k.alias("line"), F.get("_all", k).alias("text")))).alias("x"))
+    found = cut(picked.where("trim(x.text) <> ''").select("doc", "x.line", word_hashes(F.col("x.text")).alias("words")).dropDuplicates(), "sets")
     x, y = (found.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "words")]) for s in "xy")
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
     common = F.size(F.array_intersect("x_words", "y_words"))
     alike = common >= (F.size("x_words") + F.size("y_words") - common) * t - _SLACK
     out = cut(both.where(alike).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct(), "alike")
-    drop(asked, found)
+    drop(wanted, found)
     return out
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
-    t, sets = similarity, cut(line_sets(docs, id_col, text_col), "words")
+    t, rows = similarity, _known(docs, id_col, text_col)
+    sets = cut(line_sets(docs, id_col, text_col), "words")
     found = cut(classes(sets, t), "classes")
+    drop(sets)
     index = _index(found, t)
     maybe = F.shiftright("key", LOW_BITS) >= (CROWD + 1).bit_length() - 1  # of rarer buckets no word can have as many classes
     crowded = cut(index.where(maybe).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
@@ -164,19 +172,19 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowd = small(crowded, n_crowded)
     modest = index.join(crowd, "key", "left_anti") if n_crowded else index
     pairs = cut(_side(modest, "x").join(_side(modest, "y"), "key").where(_close(t)).select(*_PAIR).distinct(), "pairs")
-    done = [sets, pairs, crowded]
+    done = [pairs, crowded]
     if n_crowded:
         many = cut(index.join(crowd, "key", "left_semi"), "many")
         first = many.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("y")).select("key", *[F.col(f"y.{n}").alias(f"y_{n}") for n in _FIELDS])
         with_first = cut(_side(many, "x").join(small(first, n_crowded), "key").where(_close(t)).select(*_PAIR).distinct(), "first")
-        gone = _verified(pairs.union(with_first).distinct(), sets, t)
+        gone = _verified(pairs.union(with_first).distinct(), rows, t)
         sizes = F.explode(F.sequence(_ceil(F.col("x_size") * t), F.floor(F.col("x_size") / t + F.lit(_SLACK)).cast("int")))
         open_ = _side(many.join(gone, ["doc", "line"], "left_anti"), "x").select("*", sizes.alias("y_size"))
         rest = cut(open_.join(_side(many, "y"), ["key", "y_size"]).where(_close(t)).select(*_PAIR).distinct(), "rest")
-        gone = gone.union(_verified(rest, sets, t))
+        gone = gone.union(_verified(rest, rows, t))
         done += [many, with_first, rest]
     else:
-        gone = _verified(pairs, sets, t)
+        gone = _verified(pairs, rows, t)
     stay = found.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     kept = cut(stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept")), "kept")  # lines of one document
     drop(found, *done)
