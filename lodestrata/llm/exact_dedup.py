@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.common import BROADCAST_ROWS, cut, text_batches
+from lodestrata.llm.common import cut, small, text_batches
 
 #: First prefix in bytes; each level multiplies it.
 FIRST_WIDTH, WIDER = 8, 8
@@ -114,11 +114,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         over = cut(counts.where((F.col("_n") > bucket_rows) | ((F.col("_b") > bucket_bytes) & (F.col("_n") > 1))), "radix")
         n_over, n_open = over.agg(F.count(F.lit(1)), F.count_if(~F.col("_ended"))).first()
         if n_over:
-            levels.append((width, F.broadcast(over) if n_over <= BROADCAST_ROWS else over))
+            levels.append((width, small(over, n_over, width)))
         if not n_open:
             break
         opened = over.where("not _ended").select("_p")
-        below = below.withColumn("_p", prefix(width)).join(F.broadcast(opened) if n_open <= BROADCAST_ROWS else opened, "_p", "left_semi").where(F.length("_t") > width).select("_id", "_t")
+        below = below.withColumn("_p", prefix(width)).join(small(opened, n_open, width), "_p", "left_semi").where(F.length("_t") > width).select("_id", "_t")
         width *= WIDER
 
     rows = src.withColumn("text_sha256", F.sha2("_t", 256))
@@ -141,10 +141,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     solved = dealt.mapInArrow(_in_task, T.StructType([*fits.select(*keep).schema.fields, *found]))
     if not levels:
         return solved
-    whole = rows.where("group_size is not null").select(*keep, "keep_id", "group_size")
+    whole = rows.where("group_size is not null").select(*keep, "_t", "keep_id", "group_size")
     best = F.col("_id").eqNullSafe(F.col("keep_id"))
-    once = F.row_number().over(Window.partitionBy("text_sha256", "_id").orderBy(F.lit(1))) == 1  # only the rows that hold a group's largest id
-    return solved.unionByName(whole.where(~best).withColumn("kept", F.lit(False))).unionByName(whole.where(best).withColumn("kept", once))
+    once = F.row_number().over(Window.partitionBy("_t", "_id").orderBy(F.lit(1))) == 1  # only the rows that hold a group's largest id
+    return solved.unionByName(whole.where(~best).drop("_t").withColumn("kept", F.lit(False))).unionByName(whole.where(best).withColumn("kept", once).drop("_t"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

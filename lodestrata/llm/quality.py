@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lodestrata.llm.common import cut, text_batches, text_or_empty
 
 #: Bounds of the fit: labelled rows, forms with a vector, forms of one text that the word vectors learn from.
-SAMPLE_DOCS, FORMS, FORMS_PER_TEXT = 8000, 20_000, 4000
+SAMPLE_DOCS, FORMS = 8000, 20_000
 DIMENSIONS, NONZERO, NEAR, HIDDEN, EPOCHS, SEED = 128, 8, 2, 32, 60, 17
 CACHED_WORDS = 200_000
 CAPITALS, REPEATED, OTHER = "<capitals>", "<repeated>", "<other>"
@@ -75,8 +75,7 @@ def _encode(spread):
             rows = []
             for text in batch.column("_t").to_pylist():
                 s = [index.get(x, index[OTHER]) for x in _sequence(text)]
-                step = -(-len(s) // FORMS_PER_TEXT) or 1
-                head = np.array([x for i in range(0, len(s), 100 * step) for x in s[i : i + 100]], np.uint16)  # stretches from all of a long text
+                head = np.array(s, np.uint16)
                 rows.append((head.tobytes(), Counter(s)))
             ids = [np.array(list(c), np.uint16).tobytes() for _, c in rows]
             numbers = [np.array(list(c.values()), np.uint32).tobytes() for _, c in rows]

@@ -11,6 +11,10 @@ from lodestrata.llm import decontam, exact_dedup, langid, linededup, lm, packing
 from lodestrata.llm.common import fold_bucket
 
 
+#: Bytes of a shard: small, so that the directory splits at every size of the tables.
+OP6_LIMIT = 64 << 10
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -49,7 +53,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.assign_shards(_read(spark, sf_dir, "documents"))
+    found = sharding.assign_shards(_read(spark, sf_dir, "documents"), OP6_LIMIT)
     return found.select(F.col("_key").alias("doc_id"), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
 
 
@@ -87,7 +91,7 @@ WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_b
            FROM d, range(0, 61) r(depth) WINDOW w AS (PARTITION BY depth, h >> (60 - depth)))
 SELECT doc_id, n_bytes, substr(lpad(bin(h >> (60 - depth)), 60, '0'), (61 - depth)::BIGINT) AS shard,
        depth, shard_bytes::BIGINT AS shard_bytes, shard_docs
-FROM b WHERE shard_bytes <= {sharding.LIMIT_BYTES} OR shard_docs = 1
+FROM b WHERE shard_bytes <= {OP6_LIMIT} OR shard_docs = 1
 QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
 """
 

@@ -85,6 +85,9 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES, key_col: str = "doc
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, key_col: str = "doc_id", text_col: str = "text") -> None:
-    """A folder ``shard=<bits>`` for each shard; a shard's rows meet in one task, which the limit bounds."""
-    rows = assign_shards(docs, limit, key_col, text_col, carry=True).select(F.concat(F.lit("s"), "shard").alias("_shard"), "_row")
-    rows.repartition(F.col("_shard")).select("_shard", "_row.*").write.partitionBy("_shard").parquet(path)
+    """A folder ``shard=s<bits>`` for each shard (with underscores before it if ``docs`` has a column of that name); a shard's rows meet in one task, which the limit bounds."""
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    rows = assign_shards(docs, limit, key_col, text_col, carry=True).select(F.concat(F.lit("s"), "shard").alias(name), "_row")
+    rows.repartition(F.col(name)).select(name, "_row.*").write.partitionBy(name).parquet(path)

@@ -200,6 +200,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every component the row with the smallest id stays (of rows that repeat that id, all: they can't be told apart); rows without an id stay."""
-    known = components(docs, id_col, text_col).where(F.col("_id") == F.col("component_id")).select(F.col("_id").alias("_keep")).distinct()
-    kept = docs.join(known, F.col(id_col) == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = components(docs, id_col, text_col).where("_id is not null")
+    gone = cut(found.groupBy("_id").agg(F.bool_or(F.col("_id") == F.col("component_id")).alias("stays")).where("not stays").select("_id"), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    return rows.join(small(gone, gone.count()), "_id", "left_anti").select("_row.*")
