@@ -5,6 +5,7 @@ The order of the tests is part of the rule: boolean, temporal, numeric, binary,
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,14 +19,15 @@ FAMILIES = (
     ("binary", ("bytea", "binary", "blob")),
     ("text", ("char", "text", "string", "json", "xml", "uuid")),
 )
-#: Families of XSD types by local name.
-XSD_FAMILIES = {
+#: XSD types by family, in lower case; they are compared without regard to case.
+XSD_FAMILY_NAMES = {
     "boolean": "boolean",
-    "date": "temporal", "dateTime": "temporal", "time": "temporal", "gYear": "temporal",
-    "int": "numeric", "integer": "numeric", "decimal": "numeric", "float": "numeric", "double": "numeric", "long": "numeric",
-    "short": "numeric", "nonNegativeInteger": "numeric", "positiveInteger": "numeric", "unsignedInt": "numeric", "unsignedLong": "numeric",
-    "string": "text", "anyURI": "text", "normalizedString": "text", "token": "text",
-}
+    "temporal": "date datetime time duration",
+    "numeric": "byte decimal double float int integer long negativeinteger nonnegativeinteger nonpositiveinteger positiveinteger short unsignedbyte unsignedint unsignedlong unsignedshort",
+    "binary": "base64binary hexbinary",
+    "text": "anyuri language name ncname normalizedstring qname string token",
+}
+XSD_FAMILIES = {name: kind for kind, names in XSD_FAMILY_NAMES.items() for name in names.split()}
 XSD = "http://www.w3.org/2001/XMLSchema#"
 #: Types of columns that are never the source of an inclusion dependency, and such columns' names.
 IND_EXCLUDED_TYPES = frozenset({"boolean", "date", "timestamp", "double precision", "double", "float"})
@@ -47,7 +49,7 @@ def family_column(sql_type: Column) -> Column:
 
 
 def xsd_family(uri: str | None) -> str:
-    return XSD_FAMILIES.get((uri or "").rpartition("#")[2], "unknown")
+    return XSD_FAMILIES.get(re.split("[#/:]", uri or "")[-1].lower(), "unknown")
 
 
 def admits(sql_type: str | None, range_uris: list[str]) -> bool:
@@ -69,7 +71,9 @@ def xsd_of(sql_type: str | None, range_uris: list[str] | tuple = ()) -> str:
         if uri.startswith(XSD):
             return "xsd:" + uri.removeprefix(XSD)
     low = (sql_type or "").lower()
-    for part, target in (("int", "int"), ("timestamp", "dateTime"), ("date", "date"), ("float", "decimal"), ("double", "decimal"), ("numeric", "decimal"), ("decimal", "decimal"), ("bool", "boolean")):
+    if low == "date":
+        return "xsd:date"
+    for part, target in (("int", "int"), ("timestamp", "dateTime"), ("datetime", "dateTime"), ("float", "decimal"), ("double", "decimal"), ("numeric", "decimal"), ("decimal", "decimal"), ("bool", "boolean")):
         if part in low:
             return "xsd:" + target
     return "xsd:string"

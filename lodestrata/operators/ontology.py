@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,16 +17,22 @@ RDFS, OWL = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/
 THING = OWL + "Thing"
 #: Scores of a hint against a declared endpoint.
 EXACT, RELATED, SIMILAR, UNDECLARED = 1.0, 0.85, 0.5, 0.3
+#: Edges up to which a closure is made on the driver: at most a million pairs.
+SMALL_GRAPH = 1000
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_rounds: int = 64) -> DataFrame:
     """child, ancestor, distance: all pairs joined by a path, with the shortest length; a node on a cycle reaches itself.
 
     Semi-naive with squared steps: each round joins the pairs found so far with themselves, so a chain of length n
-    takes about log2 n rounds; a cycle ends when no pair is new or shorter.
+    takes about log2 n rounds; a cycle ends when no pair is new or shorter.  Up to ``SMALL_GRAPH`` edges, as ontologies
+    have, the paths are walked on the driver instead.
     """
     spark = edges.sparkSession
     step = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).dropna().distinct().withColumn("distance", F.lit(1))
+    few = step.select("child", "ancestor").limit(SMALL_GRAPH + 1).collect()
+    if len(few) <= SMALL_GRAPH:
+        return spark.createDataFrame(_walked([tuple(r) for r in few]), step.schema)
     known, before = _checkpointed(step), -1
     for _ in range(max_rounds):
         size = known.agg(F.count(F.lit(1)), F.sum("distance")).first()
@@ -37,12 +45,29 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_
     raise RuntimeError(f"no fixed point after {max_rounds} rounds on {spark.sparkContext.applicationId}")
 
 
+def _walked(edges: list[tuple]) -> list[tuple]:
+    up: dict = {}
+    for a, b in edges:
+        up.setdefault(a, []).append(b)
+    out = []
+    for start in up:
+        far, front, distance = {}, up[start], 0
+        while front:
+            distance += 1
+            front = [x for x in dict.fromkeys(front) if x not in far]
+            far |= dict.fromkeys(front, distance)
+            front = [y for x in front for y in up.get(x, ())]
+        out += [(start, x, n) for x, n in far.items()]
+    return out
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lodestrata-checkpoints")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or f"{tempfile.gettempdir()}/lodestrata-checkpoints")
     return df.checkpoint()
 
 

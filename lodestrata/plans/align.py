@@ -133,7 +133,7 @@ def datatype_scores(spark: SparkSession, onto: O.Ontology, columns: list[tuple[s
 
 def _xsd_family(uri):
     table = F.create_map(*[x for k, v in T.XSD_FAMILIES.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(table, F.substring_index(uri, "#", -1)), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(table, F.lower(F.substring_index(uri, "#", -1))), F.lit("unknown"))
 
 
 def object_scores(spark: SparkSession, onto: O.Ontology, relations: list[tuple[str, str, str | None, str | None]]) -> DataFrame:

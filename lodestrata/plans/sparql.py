@@ -4,22 +4,29 @@ SELECT of variables or COUNT; basic graph patterns with ``;`` and ``,`` lists, b
 prefixed names; OPTIONAL, FILTER with comparisons, arithmetic, && and ||, and FILTER NOT EXISTS.
 
 Patterns are planned against a mapping where one is given: the patterns that share a subject are answered by one scan
-of each map whose rows are unique in its subject (a star needs no join), and a variable that stands for IRIs of one
-template is joined on the template's columns, not on built strings.  Where that isn't sound, and for plain graphs,
-patterns read triples, filtered by predicate.
+of each map whose rows are unique in its subject (a star needs no join).  A variable that stands for IRIs of one
+template is carried as the template's columns: joins, DISTINCT and COUNT work on these, an IRI in the query becomes a
+condition on them that reaches the scan, and IRIs are built in the last projection.  Where that isn't sound (another
+template, columns that are neither integers nor texts, joined objects, variable predicates), and for plain graphs,
+values are the IRIs themselves and patterns read triples, filtered by predicate.
+
+Solutions are compatible as the standard says: a variable that an OPTIONAL left unbound agrees with any value and takes
+it.  A filter on an unbound variable isn't true.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.iri import template_columns
+from lodestrata.functions.iri import encode, expand, template_columns
 from lodestrata.plans import materialize
 from lodestrata.plans.r2rml import Mapping, TriplesMap
 from lodestrata.sources.catalog import Catalog
@@ -261,12 +268,68 @@ def parse(text: str) -> Query:
 NUMERIC = ("int", "integer", "decimal", "double", "float", "long", "short", "nonNegativeInteger", "unsignedInt", "unsignedLong")
 
 
+Shape = tuple[tuple[str, ...], tuple[str, ...]]  # a template's fixed parts and the kinds of its columns
+
+
 @dataclass
-class Solutions:
-    """Bindings: a column for each variable.  Literals of numeric type are numbers where a mapping says so."""
+class Rows:
+    """Solutions: a column for each variable, or, for IRIs of one template, one for each column of it (``name/0`` ...)."""
 
     df: DataFrame
-    variables: list[str]
+    terms: dict[str, Shape | None]
+    loose: set[str] = field(default_factory=set)  # variables that may be unbound
+
+    def cells(self, name: str) -> list[str]:
+        shape = self.terms[name]
+        return [name] if shape is None else [f"{name}/{i}" for i in range(len(shape[1]))]
+
+    def value(self, name: str) -> Column:
+        """The variable as one column; null if unbound."""
+        if name not in self.terms:
+            return F.lit(None).cast("string")
+        shape = self.terms[name]
+        return F.col(_column(name)) if shape is None else build(shape, [F.col(_column(c)) for c in self.cells(name)])
+
+    def plain(self, names: set[str]) -> Rows:
+        """With these variables as single columns."""
+        if not any(self.terms.get(n) for n in names):
+            return self
+        keep = [self.value(n).alias(n) if n in names else F.col(_column(c)) for n in self.terms for c in ([n] if n in names else self.cells(n))]
+        return Rows(self.df.select(*keep), {n: None if n in names else t for n, t in self.terms.items()}, self.loose)
+
+
+def build(shape: Shape, columns: list[Column]) -> Column:
+    """The IRIs."""
+    parts = [F.lit(shape[0][0])]
+    for column, fixed in zip(columns, shape[0][1:], strict=True):
+        parts += [encode(column), F.lit(fixed)]
+    return F.concat(*parts)
+
+
+def shape_of(df: DataFrame, template: str) -> Shape | None:
+    """None unless all columns are integers or texts: of these, equal IRIs mean equal values."""
+    kinds = {"byte": "integer", "short": "integer", "integer": "integer", "long": "integer", "string": "text"}
+    found = [kinds.get(df.schema[c].dataType.typeName()) for c in template_columns(template)]
+    return None if not found or None in found else (tuple(re.split(r"\{[^{}]+\}", template)), tuple(found))
+
+
+_CODED = re.compile("[/#?:]")  # never in an encoded value
+
+
+def disjoint(a: Shape, b: Shape) -> bool:
+    """Whether no IRI fits both templates."""
+    (short, _), (long_, _) = sorted((a, b), key=lambda x: len(x[0][0]))
+    if not long_[0].startswith(short[0]):
+        return True
+    return bool(_CODED.search(long_[0][len(short[0]) :])) and not any(map(_CODED.search, short[1:]))
+
+
+def values_in(shape: Shape, uri: str) -> list[int | str] | None:
+    """The columns' values for which the template gives this IRI, or None; of several texts only where no other split fits."""
+    forms = {"integer": r"(0|-?[1-9]\d{0,18})", "text": r"((?:[A-Za-z0-9_.~-]|%[0-9A-F]{2})*)"}
+    pattern = re.escape(shape[0][0]) + "".join(forms[k] + re.escape(p) for k, p in zip(shape[1], shape[0][1:], strict=True))
+    m = re.fullmatch(pattern, uri)
+    return [int(x) if k == "integer" else unquote(x) for k, x in zip(shape[1], m.groups(), strict=True)] if m else None
 
 
 class Graph:
@@ -278,11 +341,11 @@ class Graph:
     def predicate_family(self, uri: str) -> list[str]:
         return [uri]
 
-    def star(self, subject: Node, patterns: list[Pattern]) -> DataFrame | None:
+    def star(self, subject: Node, patterns: list[Pattern]) -> Rows | None:
         """All patterns of one subject at once, or None."""
         return None
 
-    def pattern(self, pattern: Pattern) -> DataFrame:
+    def pattern(self, pattern: Pattern) -> Rows:
         raise NotImplementedError
 
 
@@ -305,7 +368,7 @@ class TripleGraph(Graph):
 
     predicate_family = class_family
 
-    def pattern(self, pattern: Pattern) -> DataFrame:
+    def pattern(self, pattern: Pattern) -> Rows:
         t = self.triples
         more = False
         if isinstance(pattern.p, Const):
@@ -327,7 +390,7 @@ class TripleGraph(Graph):
                     seen[node.name] = side
                     cells.append(F.col(side).alias(node.name))
         out = t.select(*cells) if cells else t.select(F.lit(1).alias("_there")).limit(1)
-        return out.distinct() if more or not cells else out
+        return Rows(out.distinct() if more and cells else out, dict.fromkeys(seen))
 
 
 class MappedGraph(Graph):
@@ -348,66 +411,80 @@ class MappedGraph(Graph):
         wanted = set(self.predicate_family(p.value))
         return [m for m in self.mapping.maps if any(po.predicate in wanted for po in m.properties)]
 
-    def star(self, subject: Node, patterns: list[Pattern]) -> DataFrame | None:
+    def star(self, subject: Node, patterns: list[Pattern]) -> Rows | None:
         """One scan of the one map that has all the patterns: its rows are unique in the subject, and no other map speaks of them."""
-        if not isinstance(subject, Var) or any(isinstance(p.p, Var) for p in patterns):
+        if any(isinstance(p.p, Var) for p in patterns):
             return None
         only = {id(m): m for p in patterns for m in self._maps_with(p.p, p.o)}
         if len(only) != 1:
             return None
         m = next(iter(only.values()))
-        if not m.key or set(template_columns(m.subject)) != set(m.key):
+        if not _keyed(m):
+            return None
+        scan = _Scan(materialize.rows_of(self.catalog, m))
+        if not scan.subject(subject, m):
             return None
-        df = materialize.rows_of(self.catalog, m)
-        cells, conditions, seen = [materialize.subject_of(m).alias(subject.name)], [], {subject.name}
         for p in patterns:
             if p.p.value == TYPE:
                 if isinstance(p.o, Var):
                     return None
                 continue
             objects = [po for po in m.properties if po.predicate in self.predicate_family(p.p.value)]
-            if len(objects) != 1 or objects[0].object.parent:
-                return None
-            value, kind = self._value(df, objects[0].object)
-            if isinstance(p.o, Const):
-                conditions.append(value.cast("string") == p.o.value)
-            elif p.o.name in seen:
+            if len(objects) != 1 or objects[0].object.parent or isinstance(p.o, Var) and p.o.name in scan.terms:
                 return None
-            else:
-                seen.add(p.o.name)
-                cells.append(value.alias(p.o.name))
-        out = df.select(*cells, *[c.alias(f"_if{i}") for i, c in enumerate(conditions)])
-        for i in range(len(conditions)):
-            out = out.where(f"_if{i}")
-        names = [n for n in out.columns if not n.startswith("_if")]
-        return out.select(*[_column(n) for n in names]).dropna(subset=names)
-
-    def _value(self, df: DataFrame, o) -> tuple[Column, str]:
-        value, kind, datatype = materialize._term(df, o)
-        if kind == "literal" and datatype.removeprefix(XSD) in NUMERIC:
-            return F.col(_column(o.column)), kind
-        return value, kind
-
-    def pattern(self, pattern: Pattern) -> DataFrame:
+            scan.object(p.o, objects[0].object)
+        return scan.rows()
+
+    def pattern(self, pattern: Pattern) -> Rows:
+        """Scans of the maps that have the pattern, put together by the templates of their terms."""
         maps = self._maps_with(pattern.p, pattern.o)
+        names = list(dict.fromkeys(n.name for n in (pattern.s, pattern.p, pattern.o) if isinstance(n, Var)))
         if not maps:
-            names = [n.name for n in (pattern.s, pattern.p, pattern.o) if isinstance(n, Var)]
             spark = next(iter(self.catalog.tables.values())).sparkSession
-            return spark.createDataFrame([], ", ".join(f"`{n}` string" for n in dict.fromkeys(names)) or "_there int")
-        keep = self.predicate_family(pattern.p.value) if isinstance(pattern.p, Const) and pattern.p.value != TYPE else None
+            return Rows(spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names) or "_there int"), dict.fromkeys(names))
+        typed = isinstance(pattern.p, Const) and pattern.p.value == TYPE
+        family = None if isinstance(pattern.p, Var) or typed else self.predicate_family(pattern.p.value)
+        objects = [(m, po.object) for m in maps for po in m.properties if family and po.predicate in family]
+        plain = isinstance(pattern.p, Const) and names and not (typed and isinstance(pattern.o, Var)) and not (isinstance(pattern.s, Var) and pattern.s == pattern.o) and not any(o.parent for _, o in objects)
+        if not plain:
+            return self._from_triples(pattern, maps, family)
+        number = self._number_type(maps, family) if self._all_numeric(maps, family) else None
+        groups: dict[tuple, list[tuple[Rows, bool]]] = {}
+        for m, o in [(m, None) for m in maps] if typed else objects:
+            scan = _Scan(materialize.rows_of(self.catalog, m), number)
+            if not scan.subject(pattern.s, m):
+                continue  # the IRI is not of this map's template
+            if o is not None:
+                scan.object(pattern.o, o)
+            rows = scan.rows()
+            groups.setdefault(tuple(rows.terms.values()), []).append((rows, _keyed(m)))
+        if not groups:
+            return self.pattern(Pattern(pattern.s, Const("urn:none"), pattern.o))
+        made = []
+        for same in groups.values():
+            df = reduce(DataFrame.unionByName, [r.df for r, _ in same])
+            unique = len(same) == 1 and same[0][1]
+            made.append(Rows(df if unique else df.distinct(), same[0][0].terms))
+        if len(made) == 1:
+            return made[0]
+        apart = lambda a, b: any(x and y and disjoint(x, y) for x, y in zip(a.terms.values(), b.terms.values(), strict=True))
+        every = all(apart(a, b) for i, a in enumerate(made) for b in made[:i])
+        df = reduce(DataFrame.unionByName, [r.plain(set(names)).df for r in made])
+        return Rows(df if every else df.distinct(), dict.fromkeys(names))
+
+    def _from_triples(self, pattern: Pattern, maps: list[TriplesMap], keep: list[str] | None) -> Rows:
         parts = []
         for m in maps:
-            own = tuple(po for po in m.properties if keep is not None and po.predicate in keep) if keep is not None else () if isinstance(pattern.p, Const) else m.properties
+            own = tuple(po for po in m.properties if po.predicate in keep) if keep is not None else () if isinstance(pattern.p, Const) else m.properties
             classes = m.classes if keep is None else ()
             slim = TriplesMap(m.name, m.table, m.subject, classes, own, m.condition, m.subject_is_iri_column, m.key)
             parts.append(materialize.map_triples(self.catalog, self.mapping, slim))
         t = reduce(DataFrame.unionByName, parts)
-        single = len(maps) == 1 and maps[0].key and set(template_columns(maps[0].subject)) == set(maps[0].key) and len(parts) == 1
-        graph = TripleGraph(t if single else t.distinct())
+        graph = TripleGraph(t if len(maps) == 1 and _keyed(maps[0]) else t.distinct())
         graph.below = self.families.below
         out = graph.pattern(pattern)
-        if isinstance(pattern.o, Var) and self._all_numeric(maps, keep) and pattern.o.name in out.columns:
-            out = out.withColumn(pattern.o.name, F.col(_column(pattern.o.name)).cast(self._number_type(maps, keep)))
+        if isinstance(pattern.o, Var) and self._all_numeric(maps, keep) and pattern.o.name in out.terms:
+            out.df = out.df.withColumn(pattern.o.name, F.col(_column(pattern.o.name)).cast(self._number_type(maps, keep)))
         return out
 
     def _objects(self, maps: list[TriplesMap], keep: list[str] | None) -> list:
@@ -422,52 +499,134 @@ class MappedGraph(Graph):
         return kinds.pop() if len(kinds) == 1 else "double"
 
 
-def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
-    if left is None:
-        return right
-    shared = [c for c in right.columns if c in left.columns]
-    if not shared:
-        return left.join(right, F.lit(True), how) if how != "inner" else left.join(F.broadcast(right) if right.isLocal() else right, F.lit(True))
-    return left.join(right, shared, how)
+def _keyed(m: TriplesMap) -> bool:
+    """Whether no two rows of the map have the same subject."""
+    return bool(m.key) and set(template_columns(m.subject)) == set(m.key)
+
 
+class _Scan:
+    """Columns and conditions on the rows of one map."""
 
-def _group(graph: Graph, g: Group) -> DataFrame:
-    out: DataFrame | None = None
+    def __init__(self, df: DataFrame, number: str | None = None):
+        self.df, self.number = df, number
+        self.cells: list[Column] = []
+        self.terms: dict[str, Shape | None] = {}
+        self.conditions: list[Column] = []
+
+    def _template(self, node: Node, template: str) -> bool:
+        shape = shape_of(self.df, template)
+        columns = [F.col(_column(c)) for c in template_columns(template)]
+        if isinstance(node, Var):
+            self.terms[node.name] = shape
+            if shape is None:
+                self.cells.append(expand(template).alias(node.name))
+            else:
+                self.cells += [(c.cast("long") if k == "integer" else c).alias(f"{node.name}/{i}") for i, (c, k) in enumerate(zip(columns, shape[1], strict=True))]
+            return True
+        if shape is None or shape[1].count("text") > 1:
+            self.conditions.append(expand(template) == node.value)
+            return True
+        values = values_in(shape, node.value)
+        self.conditions += [c == v for c, v in zip(columns, values or [], strict=False)] if values else [F.lit(False)]
+        return values is not None
+
+    def subject(self, node: Node, m: TriplesMap) -> bool:
+        """False if no row of the map can have this subject."""
+        if not m.subject_is_iri_column:
+            return self._template(node, m.subject)
+        self._column(node, materialize.subject_of(m))
+        return True
+
+    def object(self, node: Node, o) -> None:
+        if isinstance(node, Const) and node.literal != bool(o.column and not o.iri):
+            self.conditions.append(F.lit(False))
+        elif o.template:
+            self._template(node, o.template)
+        else:
+            value, kind, datatype = materialize._term(self.df, o)
+            if kind == "literal" and isinstance(node, Var) and (self.number or datatype.removeprefix(XSD) in NUMERIC):
+                value = F.col(_column(o.column))
+            self._column(node, value.cast(self.number) if self.number and isinstance(node, Var) else value)
+
+    def _column(self, node: Node, value: Column) -> None:
+        if isinstance(node, Var):
+            self.terms[node.name] = None
+            self.cells.append(value.alias(node.name))
+        else:
+            self.conditions.append(value.cast("string") == node.value)
+
+    def rows(self) -> Rows:
+        df = reduce(DataFrame.where, self.conditions, self.df)
+        if not self.cells:
+            return Rows(df.select(F.lit(1).alias("_there")).limit(1), {})
+        df = df.select(*self.cells)
+        return Rows(df.dropna(subset=[_column(c) if "." in c else c for c in df.columns]), self.terms)
+
+
+def _join(left: Rows | None, right: Rows, how: str = "inner", filters: tuple | list = ()) -> Rows:
+    """Compatible solutions for which the filters hold; unbound variables are compatible with anything."""
+    if left is None:
+        return right
+    shared = [n for n in right.terms if n in left.terms]
+    unlike = {n for n in shared if left.terms[n] != right.terms[n]}
+    left, right = left.plain(unlike), right.plain(unlike)
+    loose = {n for n in shared if n in left.loose or n in right.loose}
+    if not shared and not filters and how == "inner" and left.terms and right.terms:
+        warnings.warn("patterns without a common variable: their solutions are multiplied", stacklevel=2)
+    twin = {c: f"_r/{c}" for n in shared for c in right.cells(n)}
+    there = right.df.select(*[F.col(_column(c)).alias(twin.get(c, c)) for c in right.df.columns if c != "_there"] or [F.lit(1).alias("_there_too")])
+    conditions = []
+    for n in shared:
+        same = reduce(lambda a, b: a & b, [F.col(_column(c)) == F.col(_column(twin[c])) for c in right.cells(n)])
+        unbound = lambda names: F.col(_column(names[0])).isNull()
+        conditions.append(same | unbound(left.cells(n)) | unbound([twin[c] for c in right.cells(n)]) if n in loose else same)
+
+    def value(name: str) -> Column:
+        if name in loose:
+            mine = Rows(left.df, {name: left.terms[name]}).value(name)
+            shape = right.terms[name]
+            other = [F.col(_column(twin[c])) for c in right.cells(name)]
+            return F.coalesce(mine, other[0] if shape is None else build(shape, other))
+        return left.value(name) if name in left.terms else right.value(name)
+
+    conditions += [expression(f, value) for f in filters]
+    out = left.df.join(there, reduce(lambda a, b: a & b, conditions, F.lit(True)) if conditions else F.lit(True), how)
+    if how == "left_anti":
+        return Rows(out, left.terms, left.loose)
+    terms = left.terms | {n: t for n, t in right.terms.items() if n not in left.terms}
+    filled = {c: F.coalesce(F.col(_column(c)), F.col(_column(twin[c]))) for n in loose for c in right.cells(n)}
+    cells = [c for n in terms for c in Rows(out, terms).cells(n)]
+    out = out.select(*[filled.get(c, F.col(_column(c))).alias(c) for c in cells] or [F.lit(1).alias("_there")])
+    if how == "left":
+        return Rows(out, terms, left.loose | {n for n in right.terms if n not in left.terms})
+    return Rows(out, terms, {n for n in left.loose | right.loose if n not in shared or n in left.loose and n in right.loose})
+
+
+def _group(graph: Graph, g: Group) -> Rows:
+    out: Rows | None = None
     by_subject: dict[Node, list[Pattern]] = {}
     for p in g.patterns:
         by_subject.setdefault(p.s, []).append(p)
-    units: list[DataFrame] = []
+    units: list[Rows] = []
     for subject, patterns in by_subject.items():
         whole = graph.star(subject, patterns) if len(patterns) > 1 or isinstance(patterns[0].p, Const) else None
         units += [whole] if whole is not None else [graph.pattern(p) for p in patterns]
     while units:  # connected patterns first
-        at = next((i for i, u in enumerate(units) if out is None or set(u.columns) & set(out.columns)), 0)
+        at = next((i for i, u in enumerate(units) if out is None or set(u.terms) & set(out.terms)), 0)
         out = _join(out, units.pop(at))
-    for o in g.optionals:
-        inner = _group(graph, Group(o.patterns, o.optionals, [], o.absent))
-        if o.filters:  # a condition may name outer variables: it belongs to the join
-            out = _optional(out, inner, o.filters)
-        else:
-            out = _join(out, inner, "left")
+    for o in g.optionals:  # a condition may name outer variables: it belongs to the join
+        out = _join(out, _group(graph, Group(o.patterns, o.optionals, [], o.absent)), "left", o.filters)
     for f in g.filters:
-        out = out.where(expression(f))
+        out = Rows(out.df.where(expression(f, out.value)), out.terms, out.loose)
     for a in g.absent:
-        inner = _group(graph, a)
-        out = _join(out, inner.dropDuplicates([c for c in inner.columns if c in out.columns]), "left_anti")
+        out = _join(out, _group(graph, Group(a.patterns, a.optionals, [], a.absent)), "left_anti", a.filters)
     return out
 
 
-def _optional(out: DataFrame, inner: DataFrame, filters: list[tuple]) -> DataFrame:
-    shared = [c for c in inner.columns if c in out.columns]
-    right = inner.select(*[F.col(_column(c)).alias(f"_o_{c}" if c in shared else c) for c in inner.columns])
-    condition = reduce(lambda a, b: a & b, [F.col(_column(c)) == F.col(_column(f"_o_{c}")) for c in shared] + [expression(f) for f in filters])
-    return out.join(right, condition, "left").drop(*[f"_o_{c}" for c in shared])
-
-
-def expression(e: tuple) -> Column:
+def expression(e: tuple, value: Callable[[str], Column]) -> Column:
     kind = e[0]
     if kind == "var":
-        return F.col(_column(e[1]))
+        return value(e[1])
     if kind == "const":
         c: Const = e[1]
         if c.literal and (c.datatype or "").removeprefix(XSD) in ("integer", "int"):
@@ -476,8 +635,8 @@ def expression(e: tuple) -> Column:
             return F.lit(float(c.value))
         return F.lit(c.value)
     if kind == "!":
-        return ~expression(e[1])
-    a, b = expression(e[1]), expression(e[2])
+        return ~expression(e[1], value)
+    a, b = expression(e[1], value), expression(e[2], value)
     return {
         "&&": lambda: a & b, "||": lambda: a | b, "=": lambda: a == b, "!=": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b,
         "<=": lambda: a <= b, ">=": lambda: a >= b, "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b,
@@ -491,10 +650,12 @@ def run(graph: Graph, text: str) -> DataFrame:
     if q.count:
         what, name = q.count
         if what is None:
-            return rows.agg(F.count(F.lit(1)).alias(name))
+            return rows.df.agg(F.count(F.lit(1)).alias(name))
         distinct = what.startswith("distinct ")
-        column = _column(what.removeprefix("distinct "))
-        return rows.agg((F.count_distinct(column) if distinct else F.count(column)).alias(name))
-    names = q.variables or [c for c in rows.columns if not c.startswith("_")]
-    out = rows.select(*[F.col(_column(n)) for n in names])
-    return out.distinct() if q.distinct else out
+        cells = [F.col(_column(c)) for c in rows.cells(what.removeprefix("distinct "))]
+        return rows.df.agg((F.count_distinct(*cells) if distinct else F.count(cells[0])).alias(name))
+    names = q.variables or [n for n in rows.terms if not n.startswith("_")]
+    if q.distinct:
+        known = [n for n in dict.fromkeys(names) if n in rows.terms]
+        rows = Rows(rows.df.select(*[F.col(_column(c)) for n in known for c in rows.cells(n)]).distinct(), {n: rows.terms[n] for n in known}, rows.loose)
+    return rows.df.select(*[rows.value(n).alias(n) for n in names])

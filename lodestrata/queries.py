@@ -496,6 +496,40 @@ def bgp_not_exists(spark, d):
     return _ask(spark, d, 'SELECT ?cn WHERE { ?c a :Customer ; :name ?cn FILTER NOT EXISTS { ?o :placedBy ?c ; :status "P" } }')
 
 
+def _two_names(spark: SparkSession, d: str) -> Catalog:
+    """Customers with two columns of names, each null for some."""
+    c = demo.catalog(spark, d, ["customer"])
+    c.tables["customer"] = c.tables["customer"].withColumn("nick", F.nullif("c_mktsegment", F.lit("BUILDING"))).withColumn("alt", F.when(F.col("c_nationkey") < 10, F.concat("c_mktsegment", F.lit("!"))))
+    return c
+
+
+@query("SELECT c_name AS x, coalesce(nullif(c_mktsegment, 'BUILDING'), CASE WHEN c_nationkey < 10 THEN c_mktsegment || '!' END) AS n FROM customer")
+def bgp_optional_shared(spark, d):
+    """A variable of two OPTIONALs: the second binds it where the first didn't."""
+    m = TriplesMap("C", "customer", demo._template("customer", "c_custkey"), (NS + "Customer",), (demo._literal("name", "c_name"), demo._literal("nick", "nick"), demo._literal("alt", "alt")), key=("c_custkey",))
+    return sparql.run(sparql.MappedGraph(_two_names(spark, d), demo.mapping(m)), _PREFIX + "SELECT ?x ?n WHERE { ?c a :Customer ; :name ?x . OPTIONAL { ?c :nick ?n } OPTIONAL { ?c :alt ?n } }")
+
+
+_PRICED = [TriplesMap("O", "orders", demo._template("orders", "o_orderkey"), (), (demo._link("placedBy", "customer", "o_custkey"), demo._literal("total", "o_totalprice", "xsd:double")), key=("o_orderkey",)), TriplesMap("C", "customer", demo._template("customer", "c_custkey"), (NS + "Customer",), (demo._literal("name", "c_name"), demo._literal("balance", "c_acctbal", "xsd:double")), key=("c_custkey",))]
+
+
+@query("SELECT c_name AS cn FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)")
+def bgp_not_exists_filter(spark, d):
+    """The condition within names a variable from outside."""
+    return _ask(spark, d, "SELECT ?cn WHERE { ?c a :Customer ; :name ?cn ; :balance ?b FILTER NOT EXISTS { ?o :placedBy ?c ; :total ?t FILTER (?t > ?b * 40) } }", *_PRICED)
+
+
+@query(f"SELECT o_orderstatus AS s, {_iri('customer', 'o_custkey')} AS c FROM orders WHERE o_orderkey = 5")
+def bgp_point(spark, d):
+    """An IRI in the query becomes a condition on the key that reaches the scan."""
+    return _ask(spark, d, f"SELECT ?s ?c WHERE {{ <{demo.BASE}orders/5> :status ?s ; :placedBy ?c }}")
+
+
+@query(f"SELECT {_O} AS o, o_orderstatus AS s FROM orders WHERE o_custkey = 7")
+def bgp_point_object(spark, d):
+    return _ask(spark, d, f"SELECT ?o ?s WHERE {{ ?o :placedBy <{demo.BASE}customer/7> ; :status ?s }}")
+
+
 @query("SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_name < b.n_name")
 def bgp_theta(spark, d):
     return _ask(spark, d, "SELECT ?n1 ?n2 WHERE { ?a a :Nation ; :name ?n1 ; :inRegion ?r . ?b a :Nation ; :name ?n2 ; :inRegion ?r . FILTER (?n1 < ?n2) }")
