@@ -16,7 +16,7 @@ whether or not that earlier line is itself removed.
 4. Classes of a word with up to ``CROWD`` of them are compared with each other at once: a word makes no more than
    CROWD / 2 pairs a row.  In a crowded word a class is first compared with the earliest one; in a group of near copies
    that settles nearly all, so the pairs of a group are never listed.  Classes that neither step settles are joined
-   with all earlier ones of their crowded words, by word and size, which spreads one word over many keys.
+   with all earlier ones of their crowded words, by word and step of size, which spreads one word over several keys.
 5. The pairs of each step are verified on the hashes of all words.
 
 Defined results: lines without words stay.  A null text has no lines that could match, and stays null; an empty text is
@@ -140,6 +140,11 @@ def _close(t: float) -> Column:
     return earlier & signatures & (short >= _ceil(long_ * t)) & (smaller <= short - _ceil(short * (2 * t / (1 + t)))) & positions
 
 
+def _step(size: str, t: float) -> Column:
+    """Sizes of similar sets are in the same step or in neighbouring ones."""
+    return F.col(size) if t >= 1 else F.floor(F.log(F.col(size)) / math.log((1 + 1e-6) / t)).cast("int")
+
+
 _PAIR = ("x_doc", "x_line", "y_doc", "y_line")
 
 
@@ -178,9 +183,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = many.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("y")).select("key", *[F.col(f"y.{n}").alias(f"y_{n}") for n in _FIELDS])
         with_first = cut(_side(many, "x").join(small(first, n_crowded), "key").where(_close(t)).select(*_PAIR).distinct(), "first")
         gone = _verified(pairs.union(with_first).distinct(), rows, t)
-        sizes = F.explode(F.sequence(_ceil(F.col("x_size") * t), F.floor(F.col("x_size") / t + F.lit(_SLACK)).cast("int")))
-        open_ = _side(many.join(gone, ["doc", "line"], "left_anti"), "x").select("*", sizes.alias("y_size"))
-        rest = cut(open_.join(_side(many, "y"), ["key", "y_size"]).where(_close(t)).select(*_PAIR).distinct(), "rest")
+        near = F.explode(F.array(*[_step("x_size", t) + F.lit(k) for k in (-1, 0, 1)]))
+        open_ = _side(many.join(gone, ["doc", "line"], "left_anti"), "x").select("*", near.alias("step"))
+        rest = cut(open_.join(_side(many, "y").withColumn("step", _step("y_size", t)), ["key", "step"]).where(_close(t)).select(*_PAIR).distinct(), "rest")
         gone = gone.union(_verified(rest, rows, t))
         done += [many, with_first, rest]
     else:
