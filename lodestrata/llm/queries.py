@@ -58,7 +58,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archive(warc.write_archive(_read(spark, sf_dir, "pages"))).drop("url")
+    pages = _read(spark, sf_dir, "pages")
+    return warc.search(warc.write_archive(pages), pages).drop("url")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,18 @@ each record lies.  Records with equal payloads of at least ``REVISIT_BYTES`` are
 
 Index, level one: capture lines sorted by reversed-host URL key (and page id), in compressed blocks of ``BLOCK_LINES``
 lines.  Level two: a sparse directory with the first and last key of each block and where the block lies.  A look-up
-searches the directory, reads one block (a range read), bisects its lines and reads the record (another range read).
+bisects the directory, reads one block (a range read), bisects its lines and reads the record (another range read).
+Many look-ups at once do the same in tasks: the first keys of up to ``FENCES`` blocks, sorted, are what every task
+bisects; beyond as many, they are those of blocks chosen by hash, and a join finds the blocks between two of them.
 Reading everything back deals the directory out to tasks; a task reads its blocks and then its records.
 
 A file's name holds its task attempt, and only the attempt that Spark commits is named in the written tables; what a
-lost executor left behind is never read.
+lost executor left behind is never read.  Payloads are taken for equal if their SHA-1 and length are.
 
 Defined results: a null html is an empty payload.  A null url is kept as an empty URL with key ``)/``.  Of equal large
 payloads, rows that repeat the largest page_id are all responses.  Rows without a page_id are responses.  An empty
-table gives an empty archive.
+table gives an empty archive.  A very long html is one record, held once by the task that writes or reads it.  Further
+columns of ``pages`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import cut, new_path, small, text_batches
 
-REVISIT_BYTES, BLOCK_LINES, FILE_BYTES = 1000, 3000, 1 << 30
+REVISIT_BYTES, BLOCK_LINES, FILE_BYTES, FENCES = 1000, 3000, 1 << 30, 100_000
 CAPTURED = "2020-01-01T00:00:00Z"
 _LINE_BYTES = 600  # of an index partition's share, roughly
 
@@ -178,12 +181,12 @@ def write_archive(pages: DataFrame, block_lines: int = BLOCK_LINES) -> Archive:
     folder = new_path(spark, "warc")
     _make(folder)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("_n", F.length("payload"))
     large = F.length("payload") >= REVISIT_BYTES
-    shared = cut(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "top"), "shared")
+    shared = cut(rows.where(large).groupBy("digest", "_n").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "_n", "top"), "shared")
     n_shared = shared.count()
     refers = F.when(large & (F.col("page_id") != F.col("top")), F.col("top"))
-    typed = rows.join(small(shared, n_shared), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to")) if n_shared else rows.withColumn("refers_to", F.lit(None).cast("long"))
+    typed = rows.join(small(shared, n_shared), ["digest", "_n"], "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to")) if n_shared else rows.drop("_n").withColumn("refers_to", F.lit(None).cast("long"))
     lines = cut(typed.mapInArrow(_record_writer(folder), "key string, page_id long, file string, at long, size long"), "captures")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // block_lines)))
     ordered = lines.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
@@ -209,44 +212,111 @@ def _lines(block: bytes) -> list[tuple[str, str, str, int, int]]:
 
 
 def lookup(archive: Archive, url: str) -> list[Capture]:
-    """All captures of a URL: directory search, range read of the blocks that can hold it, bisection, range reads."""
+    """All captures of a URL: bisection of the directory (up to ``FENCES`` blocks, else by ``search``), range read of the blocks that can hold it, bisection, range reads."""
     key, out = surt(url), []
+    n = archive.directory.count()
+    near = archive.directory.where((F.col("first") <= key) & (F.col("last") >= key)) if n > FENCES else archive.directory
+    directory = sorted(tuple(r) for r in near.select("first", "last", "file", "at", "size").collect())
     store, root = _store(archive.folder)
     files: dict = {}
-    for row in archive.directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first").collect():
-        lines = _lines(_range(store, root, files, row["file"], row["at"], row["size"]))
-        at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-        while at < len(lines) and lines[at][0] == key:
-            out.append(parse(_range(store, root, files, *lines[at][2:])))
-            at += 1
+    i = bisect.bisect_right(directory, key, key=lambda b: b[0])
+    while i and directory[i - 1][1] >= key:
+        i -= 1
+        lines = _lines(_range(store, root, files, *directory[i][2:]))
+        out += [parse(_range(store, root, files, *line[2:])) for line in _of_key(lines, key)]
     for f in files.values():
         f.close()
     return out
 
 
+def _of_key(lines: list[tuple], key: str) -> list[tuple]:
+    """Of a block's lines, which are sorted."""
+    lo, hi = (side(lines, key, key=lambda x: x[0]) for side in (bisect.bisect_left, bisect.bisect_right))
+    return lines[lo:hi]
+
+
+_FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _rows(captures: list[Capture]) -> pa.RecordBatch:
+    rows = []
+    for c in captures:
+        digest = hashlib.sha1(c.payload).hexdigest() if c.kind == "response" else c.digest
+        if digest != c.digest:
+            raise ValueError(f"record of page {c.page_id}: its payload has digest {digest}, its header says {c.digest}")
+        rows.append((c.page_id, c.url, len(c.payload) if c.kind == "response" else c.length, digest, c.kind, c.refers_to))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
         files: dict = {}
         for batch in batches:
             for name, at, size in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "size")), strict=True):
-                rows = []
-                for line in sorted(_lines(_range(store, root, files, name, at, size)), key=lambda x: x[2:4]):
-                    c = parse(_range(store, root, files, *line[2:]))
-                    digest = hashlib.sha1(c.payload).hexdigest() if c.kind == "response" else c.digest
-                    if digest != c.digest:
-                        raise ValueError(f"record of page {c.page_id}: its payload has digest {digest}, its header says {c.digest}")
-                    rows.append((c.page_id, c.url, len(c.payload) if c.kind == "response" else c.length, digest, c.kind, c.refers_to))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                lines = sorted(_lines(_range(store, root, files, name, at, size)), key=lambda x: x[2:4])
+                yield _rows([parse(_range(store, root, files, *line[2:])) for line in lines])
         for f in files.values():
             f.close()
 
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column("url").to_pylist()], pa.string())], ["key"])
+
+
+def _cells(spread, columns: tuple[str, ...]):
+    """Adds, for each of the columns, between which of the sorted fences its key lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fences = spread.value
+        for batch in batches:
+            cells = [pa.array([bisect.bisect_right(fences, k) for k in batch.column(c).to_pylist()], pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cells], [*batch.schema.names, *[f"{c}_cell" for c in columns]])
+
+    return run
+
+
+def _searcher(folder: str):
+    """Rows come sorted by block and key; one block is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        files: dict = {}
+        block, lines = None, []
+        for batch in batches:
+            for name, at, size, key in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "size", "key")), strict=True):
+                if block != (name, at):
+                    block, lines = (name, at), _lines(_range(store, root, files, name, at, size))
+                if own := _of_key(lines, key):
+                    yield _rows([parse(_range(store, root, files, *line[2:])) for line in own])
+        for f in files.values():
+            f.close()
+
+    return run
+
+
+def search(archive: Archive, urls: DataFrame) -> DataFrame:
+    """The captures of all URLs in the column ``url``, each once: a bisection of the directory for every key, then range reads block by block."""
+    spark = urls.sparkSession
+    text_batches(spark)
+    n = archive.directory.count()
+    chosen = archive.directory if n <= FENCES else archive.directory.where(F.pmod(F.xxhash64("file", "at"), F.lit(-(-2 * n // FENCES))) == 0)
+    fences = spark.sparkContext.broadcast(sorted(r["first"] for r in chosen.select("first").distinct().collect()))  # some FENCES keys at most
+    keys = urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(_keys, "key string").distinct()
+    asked = keys.mapInArrow(_cells(fences, ("key",)), "key string, key_cell long")
+    blocks = archive.directory.select("first", "last", "file", "at", "size").mapInArrow(_cells(fences, ("first", "last")), "first string, last string, file string, at long, size long, first_cell long, last_cell long")
+    blocks = blocks.select("first", "last", "file", "at", "size", F.explode(F.sequence("first_cell", "last_cell")).alias("key_cell"))
+    hits = asked.join(small(blocks, n), "key_cell").where("first <= key and key <= last").select("file", "at", "size", "key")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return hits.repartition(parts, "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(_searcher(archive.folder), _FOUND)
+
+
 def read_archive(archive: Archive) -> DataFrame:
     """Every record, through the index; payload digests are checked."""
     parts = int(archive.directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = archive.directory.select("file", "at", "size").repartition(parts)
-    return dealt.mapInArrow(_reader(archive.folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt.mapInArrow(_reader(archive.folder), _FOUND)

@@ -33,6 +33,15 @@ def test_round_trip_matches_brute_force(pages, lines):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == brute(pages)
 
 
+@pytest.mark.parametrize(("lines", "fences"), [(3000, 100_000), (7, 100_000), (7, 6), (1, 4)])
+def test_search_for_every_url_matches_brute_force(pages, lines, fences, monkeypatch):
+    """With all first keys as fences, and with a few of them and a join."""
+    monkeypatch.setattr(W, "FENCES", fences)
+    found = W.search(W.write_archive(pages, lines), pages).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == brute(pages)
+    assert W.search(W.write_archive(pages, lines), pages.select("url").limit(0)).count() == 0
+
+
 def test_lookup_finds_all_captures_of_a_url(pages):
     archive = W.write_archive(pages, 7)
     assert archive.directory.count() > 10
