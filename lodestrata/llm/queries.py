@@ -12,7 +12,7 @@ from lodestrata.llm.common import fold_bucket
 
 
 #: Bytes of a shard: small, so that the directory splits at every size of the tables.
-OP6_LIMIT = 64 << 10
+OP6_LIMIT = 1 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
