@@ -64,3 +64,11 @@ def test_empty_table_and_native_plan(documents, empty):
     assert S.assign_shards(empty).count() == 0
     plan = S.assign_shards(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_with_names_used_inside(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a" * 50, "x", "y"), (2, "b" * 50, "z", "w")], "doc_id long, text string, shard string, _shard string")
+    S.write_shards(df, f"{tmp_path}/out", 60)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r["doc_id"], r["shard"], r["_shard"]) for r in back.collect()) == [(1, "x", "y"), (2, "z", "w")]
+    assert "__shard" in back.columns

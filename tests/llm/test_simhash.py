@@ -97,3 +97,10 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, j) for j in range(1001, 1200)] + [(5, 5)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(301)) and all(found[j] == 1000 for j in range(1000, 1200))
+
+
+def test_columns_with_names_used_inside(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 1, 7, "x"), (2, "a b c d e", 2, 8, "y"), (None, "a b c d e", 3, 9, "z")], "doc_id long, text string, _keep int, _id int, `a.b` string")
+    out = S.near_dedup(df)
+    assert out.columns == df.columns
+    assert sorted(r["_keep"] for r in out.collect()) == [1, 3]
