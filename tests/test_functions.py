@@ -104,3 +104,11 @@ def test_iri_templates(spark):
 def test_absolute_iris(spark):
     rows = [("http://a.org/x", True), ("http:/nohost", False), ("c:\\x", False), ("urn:isbn:1", True), ("urn:x", False), ("mailto:a@b", True), ("no scheme", False), ("a b:c", False), (None, False)]
     assert [g[0] for g in evaluate(spark, rows, "a string, w boolean", iri.is_absolute(F.col("a")))] == [w for _, w in rows]
+
+
+def test_xsd_families_without_regard_to_case():
+    from lodestrata.functions import types as T
+
+    kinds = {"duration": "temporal", "dateTime": "temporal", "hexBinary": "binary", "base64Binary": "binary", "NCName": "text", "QName": "text", "unsignedByte": "numeric", "nonPositiveInteger": "numeric", "gMonth": "unknown"}
+    assert {k: T.xsd_family(T.XSD + k) for k in kinds} == kinds
+    assert T.xsd_of("datetime") == T.xsd_of("timestamp") == "xsd:dateTime" and T.xsd_of("date") == "xsd:date"

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from lodestrata import queries as Q
+from lodestrata import queries_schema  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
