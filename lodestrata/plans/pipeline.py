@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -66,7 +66,7 @@ class Pipeline:
 
     def run(self, catalog: Catalog, ontology: O.Ontology, until: str | None = None, resume: bool = False) -> State:
         """With ``resume``, stages whose outcome is kept under the same signature are read instead of run, up to the first that isn't."""
-        state, mark = State(catalog, ontology), signature(catalog, self.config)
+        state, mark = State(catalog, ontology), signature(catalog, self.config, ontology, (self.selector, self.reviewer)) if self.keep else ""
         for name, stage in self.stages:
             path = Path(self.keep) / f"{name}.json" if self.keep else None
             kept = json.loads(path.read_text()) if resume and path and path.is_file() else None
@@ -152,9 +152,12 @@ def sweep(spark: SparkSession, catalog: Catalog, ontology: O.Ontology, levels: l
     return {json.dumps(x, sort_keys=True, default=sorted): Pipeline(spark, replace(Config(), **x)).run(catalog, ontology) for x in levels}
 
 
-def signature(catalog: Catalog, config: Config) -> str:
-    """Of what the stages read: schemas, keys and settings."""
-    what = {"tables": {t: catalog.types(t) for t in catalog.names()}, "pk": catalog.primary_keys, "fk": [asdict(k) for k in catalog.foreign_keys], "config": asdict(config)}
+def signature(catalog: Catalog, config: Config, ontology: O.Ontology | None = None, judges: tuple = ()) -> str:
+    """Of what the stages read: schemas, keys, the tables' files, settings, the ontology's content and the kinds of selectors."""
+    digest = lambda df: list(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))).first())
+    what = {"tables": {t: catalog.types(t) for t in catalog.names()}, "files": {t: sorted(catalog.tables[t].inputFiles()) for t in catalog.names()}, "pk": catalog.primary_keys, "fk": [asdict(k) for k in catalog.foreign_keys], "config": asdict(config)}
+    what["ontology"] = {f.name: digest(getattr(ontology, f.name)) for f in fields(ontology)} if ontology else None
+    what["judges"] = [type(j).__name__ for j in judges]
     return hashlib.sha256(json.dumps(what, sort_keys=True, default=sorted).encode()).hexdigest()
 
 

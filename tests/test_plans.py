@@ -198,7 +198,7 @@ def test_stages_are_kept_and_until_stops(spark, conference, tmp_path):
     s = pipeline.Pipeline(spark, pipeline.Config(ind="off"), keep=str(tmp_path)).run(*conference, until="patterns")
     assert s.mapping is None and not s.alignment
     kept = json.loads((tmp_path / "patterns.json").read_text())
-    assert kept["outcome"]["patterns"]["paper"] == "SH" and kept["signature"] == pipeline.signature(s.catalog, pipeline.Config(ind="off")) and not list(tmp_path.glob("*.tmp"))
+    assert kept["outcome"]["patterns"]["paper"] == "SH" and kept["signature"] == pipeline.signature(s.catalog, pipeline.Config(ind="off"), s.ontology, (None, None)) and not list(tmp_path.glob("*.tmp"))
 
 
 def test_resuming_reads_what_is_kept_and_only_under_the_same_signature(spark, conference, tmp_path, monkeypatch):
