@@ -22,7 +22,8 @@ passes every block.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than ``WINDOW`` words is one window of
 its own length, and one with fewer than ``SHORTEST`` different words is never matched.  Items or texts that repeat are
-treated like any other; of several items the smallest id is named.
+treated like any other; of several items the smallest id is named.  A very long text is matched whole.  Without items every text is
+clean, and an empty table gives an empty result.  Columns of any name are carried in a struct.
 """
 
 from __future__ import annotations

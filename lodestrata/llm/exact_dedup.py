@@ -14,6 +14,7 @@ Two texts are equal iff they stay together to their end; no digest decides.
 
 Defined results: a null text counts as empty.  Rows that repeat the same id and text are copies like any other:
 exactly one of them stays.  A null id ranks below all ids.  An empty table gives an empty result.
+A very long text is compared by prefixes that grow up to its length.  Columns of any name are carried in a struct.
 """
 
 from __future__ import annotations

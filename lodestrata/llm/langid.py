@@ -14,6 +14,8 @@ texts' trigrams are joined to it, which gives the same hits without false positi
 Defined results: ``und`` with score 0 if the text is null or has no letters, or if there was nothing to learn from.
 The score is the winner's share of all languages' corrected hits.  Ties go to the language with more training
 trigrams, then by name.  Rows without a language, and held-out rows, teach nothing.
+A very long text is read whole; rows that repeat are treated alike.  An empty table gives an empty result.  Columns of
+any name are carried in a struct.
 """
 
 from __future__ import annotations

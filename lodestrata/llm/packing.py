@@ -9,6 +9,7 @@ per task, not from a sort of the corpus.
 
 Defined results: a null or empty text has the end token only (one piece of one token).  Rows that repeat an id are
 packed each on its own.  An empty table gives an empty result.
+A very long text is cut into pieces of the full length, the first of them shorter.  Further columns are not returned.
 """
 
 from __future__ import annotations

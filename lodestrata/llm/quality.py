@@ -10,7 +10,9 @@ row's whole text is scored.  Only the text is an input of a score.
 
 Defined results: null and empty texts are scored as a text without words.  Labelled rows without a quality, labels
 without a document and held-out rows teach nothing.  If fewer than two classes can be learned from, the score is the
-share of label 1 among the learned rows (0.5 if there are none).  Rows that repeat are scored alike.
+share of label 1 among the learned rows (0.5 if there are none).  Rows that repeat are scored alike;
+of labels that repeat an id the larger counts.  A very long text is read whole, in fitting too.  An empty table gives an
+empty result.  Columns of any name are carried in a struct.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ fingerprints within 4 bits always share one, and at most 2,081 fingerprints are
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a text of fewer than four
 words has one shingle, its whole word sequence.  A component's id is its smallest doc_id; null ids are passed over.
-Repeated ids give repeated rows.
+Repeated ids give repeated rows.  A very long text is shingled whole, held once by its task.  An empty table gives an
+empty result.  ``near_dedup`` carries rows as structs, so columns of any name come back as they were; the others return
+ids and new columns only.
 """
 
 from __future__ import annotations
