@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept, and returns a DataFrame; ``run``
 writes it as Parquet to the shared folder and reads it again for the next stage.  All but the last return the columns
 of ``documents``.  A stage's decisions take effect: what it rejects is gone for the stages after it.
+
+In every stage null and empty texts, very long texts, ties, rows that repeat and columns of any name have the results
+that its operator's docstring states; null and empty texts have no letters, so the first stage rejects them.  An empty
+table passes through all stages as an empty table.
 """
 
 from __future__ import annotations

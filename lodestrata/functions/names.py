@@ -92,11 +92,6 @@ def token_coverage(table: Column, class_name: Column) -> Column:
     return F.when((F.size(mine) > 0) & (F.size(theirs) > 0), F.size(F.filter(mine, hit)) / F.size(mine)).otherwise(F.lit(0.0))
 
 
-def class_score(name: Column, class_name: Column) -> Column:
-    """What classes are ranked by, rounded to three places."""
-    return F.round(F.greatest(name_overlap(name, class_name), token_coverage(name, class_name)), 3)
-
-
 def alphanumeric(name: Column) -> Column:
     """Letters a-z and digits only, lower case."""
     return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import names as N
-from lodestrata.sources.turtle import RDF, XSD
+from lodestrata.sources.turtle import RDF
 
 RDFS, OWL = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
 THING = OWL + "Thing"
@@ -212,7 +212,3 @@ KIND_WEIGHTS = {"exact": 1.0, "subclass": 0.78, "parent": 0.52, "no-declared": 0
 
 def kind_weight(kind: Column) -> Column:
     return F.coalesce(F.create_map(*[x for k, w in KIND_WEIGHTS.items() for x in (F.lit(k), F.lit(w))])[kind], F.lit(0.0))
-
-
-def is_datatype(uri: str) -> bool:
-    return uri.startswith(XSD)
