@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lodestrata import demo
 from lodestrata.functions import iri, names, types
 from lodestrata.operators import classify, evidence, ind, ontology, ranking
-from lodestrata.plans import r2rml
+from lodestrata.plans import materialize, pipeline, r2rml
 from lodestrata.queries import _CLOSED, _EDGES, NS, query
 from lodestrata.sources import turtle
+from lodestrata.sources.catalog import Catalog, ForeignKey
 
 
 def _values(rows: list[tuple]) -> str:
@@ -319,3 +320,58 @@ def class_match_kinds(spark: SparkSession, d: str) -> DataFrame:
   ('GoodDocuments', 'SELECT "doc_id", "quality" FROM "labels" WHERE "quality" = 1'), ('Flags', 'SELECT "l_orderkey", "l_returnflag" FROM "lineitem"')) v(name, sql)""")
 def logical_tables(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(m.name, r2rml.logical_table(m)) for m in (demo.ORDERS, demo.OPEN, demo.GOOD, demo.FLAGS)], "name string, sql string")
+
+
+# ---------------------------------------------------------------- a whole graph
+
+_PAPERS = """@prefix : <http://shop.example/onto#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+:Person a owl:Class . :Document a owl:Class . :Paper a owl:Class ; rdfs:subClassOf :Document . :Review a owl:Class ; rdfs:subClassOf :Document .
+:writes a owl:ObjectProperty ; rdfs:domain :Person ; rdfs:range :Document . :hasReviewer a owl:ObjectProperty ; rdfs:domain :Review ; rdfs:range :Person .
+:hasTitle a owl:DatatypeProperty ; rdfs:domain :Document ; rdfs:range xsd:string . :email a owl:DatatypeProperty ; rdfs:domain :Person ; rdfs:range xsd:string .
+:hasEmail a owl:DatatypeProperty ; rdfs:domain :Person ; rdfs:range xsd:string ."""
+
+
+def _papers(spark: SparkSession, d: str) -> Catalog:
+    """Customers as people, documents as papers and reviews (subtypes with tables of their own), who writes what, and a table of values."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    docs = t("documents").select(F.col("doc_id").alias("ID"), F.col("lang").alias("title"), F.when(F.col("n_chars") > 500, "Paper").otherwise("Review").alias("doc_type"))
+    people = t("customer").select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("email"))
+    tables = {
+        "person": people,
+        "document": docs,
+        "paper": docs.where("doc_type = 'Paper'").select("ID"),
+        "review": docs.where("doc_type = 'Review'").select("ID", (F.col("ID") % 100 + 1).alias("reviewer")),
+        "writes": docs.select((F.col("ID") % 50 + 1).alias("person"), F.col("ID").alias("document")),
+        "has_email": people.where("ID % 3 = 0").select(F.col("ID").alias("person"), F.concat("email", F.lit("@x")).alias("VALUE")),
+    }
+    keys = {n: ("ID",) for n in ("person", "document", "paper", "review")} | {"has_email": ("person", "VALUE")}
+    ends = [("paper", "ID", "document"), ("review", "ID", "document"), ("review", "reviewer", "person"), ("writes", "person", "person"), ("writes", "document", "document"), ("has_email", "person", "person")]
+    return Catalog(tables, keys, [ForeignKey(a, (c,), b, ("ID",)) for a, c, b in ends])
+
+
+_DOC, _PERSON = "'http://example.com/document/' || doc_id", "'http://example.com/person/' || "
+_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+@query(f"""WITH d AS (SELECT *, CASE WHEN n_chars > 500 THEN 'Paper' ELSE 'Review' END AS kind FROM documents),
+  t AS (SELECT {_PERSON} c_custkey AS s, '{_TYPE}' AS p, '{NS}Person' AS o FROM customer UNION ALL SELECT {_PERSON} c_custkey, '{NS}email', c_name FROM customer UNION ALL SELECT {_PERSON} c_custkey, '{NS}hasEmail', c_name || '@x' FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT {_DOC}, '{_TYPE}', '{NS}' || kind FROM d UNION ALL SELECT {_DOC}, '{NS}hasTitle', lang FROM d UNION ALL SELECT {_DOC}, '{NS}hasReviewer', {_PERSON} (doc_id % 100 + 1) FROM d WHERE kind = 'Review'
+    UNION ALL SELECT {_PERSON} (doc_id % 50 + 1), '{NS}writes', {_DOC} FROM d)
+  SELECT DISTINCT s, p, o FROM t WHERE o IS NOT NULL""")
+def generated_graph(spark: SparkSession, d: str) -> DataFrame:
+    """All triples that the pipeline's mapping gives: subtypes under their supertype's IRIs, classes by stored values, relations by tables and by columns, values as literals."""
+    state = pipeline.Pipeline(spark, pipeline.Config(ind="off")).run(_papers(spark, d), ontology.read(turtle.triples_frame(spark, turtle.parse(_PAPERS))))
+    return materialize.triples(state.catalog, state.mapping).select("s", "p", "o")
+
+
+@query("""SELECT * FROM (VALUES ('document', 'SE', false), ('has_email', 'SE', true), ('paper', 'SH', false), ('person', 'SE', false), ('review', 'SH', false), ('writes', 'SR', false)) v("table", pattern, value_attr)""")
+def pipeline_patterns(spark: SparkSession, d: str) -> DataFrame:
+    state = pipeline.Pipeline(spark, pipeline.Config(ind="off")).run(_papers(spark, d), ontology.read(turtle.triples_frame(spark, turtle.parse(_PAPERS))), until="patterns")
+    return spark.createDataFrame([(t, p, t in state.value_attrs) for t, p in state.patterns.items()], "table string, pattern string, value_attr boolean")
+
+
+@query(f"SELECT name, \"table\", subject, n_properties FROM ({_values([(m.name, m.table, m.subject, len(m.properties)) for m in demo.FULL.maps])}) v(name, \"table\", subject, n_properties)")
+def mapping_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The mapping written as an R2RML document and read again."""
+    back = r2rml.read(r2rml.write(demo.FULL))
+    return spark.createDataFrame([(m.name, m.table, m.subject, len(m.properties)) for m in back.maps], "name string, table string, subject string, n_properties int")

@@ -82,17 +82,20 @@ class Catalog:
         return members.select("constraint", "arity", (F.col("ordinal") + 1).alias("ordinal"), "table", F.col("m.columns").alias("column"), "ref_table", F.col("m.ref_columns").alias("ref_column"), "source")
 
     def infer_keys(self) -> Catalog:
-        """Single-column keys where none is declared: the first column without nulls whose values are all different.  One scan for each table."""
+        """Single-column keys where none is declared: the first column without nulls whose values are all different.
+
+        One scan for each table counts and estimates; only columns whose estimate is near the row count are counted exactly, one after the other.
+        """
         found = dict(self.primary_keys)
         for name in self.names():
             if name in found:
                 continue
-            kinds = {c: k for c, k in self.types(name).items() if not k.startswith(("array", "map", "struct", "double", "float", "boolean"))}
+            kinds = [c for c, k in self.types(name).items() if not k.startswith(("array", "map", "struct", "double", "float", "boolean"))]
             if not kinds:
                 continue
-            counts = [F.count(F.lit(1)).alias("n")] + [x for i, c in enumerate(kinds) for x in (F.count(f"`{c}`").alias(f"c{i}"), F.count_distinct(f"`{c}`").alias(f"d{i}"))]
-            r = self.tables[name].agg(*counts).first()
-            key = next((c for i, c in enumerate(kinds) if r["n"] and r[f"c{i}"] == r["n"] == r[f"d{i}"]), None)
+            r = self.tables[name].agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(kinds) for x in (F.count(f"`{c}`").alias(f"c{i}"), F.approx_count_distinct(f"`{c}`", 0.02).alias(f"d{i}"))]).first()
+            likely = [c for i, c in enumerate(kinds) if r["n"] and r[f"c{i}"] == r["n"] and r[f"d{i}"] >= 0.85 * r["n"]]
+            key = next((c for c in likely if self.tables[name].select(F.count_distinct(f"`{c}`")).first()[0] == r["n"]), None)
             if key:
                 found[name] = (key,)
         return replace(self, primary_keys=found)
