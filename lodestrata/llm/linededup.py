@@ -41,7 +41,7 @@ HASH_BITS = 48
 #: Bits of the hash in a word's key; above them is the magnitude of its bucket's count.
 LOW_BITS = 57
 #: Classes of one word up to which all are compared with each other at once.
-CROWD = 256
+CROWD = 1024
 #: Words from which a set has a second signature.
 LONG = 64
 _SLACK = 1e-9
