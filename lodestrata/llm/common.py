@@ -8,7 +8,6 @@ so a lost executor never takes the only copy of a result with it.
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -94,12 +93,6 @@ def drop(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._written_to)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, rows: int, width: int = 0) -> DataFrame:
     """Mark for broadcast if its counted rows, of up to ``width`` bytes beside some numbers, are few enough; else leave the join to the shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * width <= BROADCAST_BYTES else df
