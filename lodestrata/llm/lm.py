@@ -1,17 +1,22 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-The root restaurant serves words; each of the ``CONTEXTS`` most frequent words has a restaurant for the words that follow
-it, whose tables are customers of the root; a word after any other word is a customer of the root itself.  The base
-measure gives ``UNKNOWN`` of its mass to one type for all words outside the training rows and the rest to the known
-types alike.  Seats are sampled by blocked Gibbs sweeps: all customers of a word in a restaurant get up and are seated
-again one after the other (at a table of the word, or at a new one in proportion to the parent's predictive
-probability) given everybody else's seats; beyond ``SINGLY`` customers, in runs of up to a 64th of those seated.
-A word's probability is the average over the kept samples of the predictive probability.
-
-Where it runs.  Counts of all training tokens are summed in Spark.  The ``hot_words`` most frequent words (a fixed number)
-make a dense matrix with the contexts, which the driver samples.  All other words are dealt to tasks by word: a task
-has all occurrences of a word, samples its seats and scores the occurrences; an occurrence list is as long as the word
-is frequent, at most N / hot_words.  Only sums per restaurant come back from them.
+The root restaurant serves words; every word has a restaurant for the words that follow it (the end token one for first
+words), whose tables are customers of the root.  The base measure gives ``UNKNOWN`` of its mass to one type for all
+words outside the training rows and the rest to the known types alike.  Seats are sampled by blocked Gibbs sweeps: all
+customers of a word in a restaurant get up and are seated again one after the other (at a table of the word, or at a
+new one in proportion to the parent's predictive probability) given everybody else's seats; beyond ``SINGLY``
+customers, in runs of up to a 64th of those seated.  A word's probability is the average over the kept samples of the
+predictive probability.
+
+Where it runs.  Counts of all training tokens are summed in Spark.  The ``hot_words`` most frequent words (a fixed
+number) have a number, the others a 61-bit hash (two of 10^8 words have the same with a chance of 2e-3).  Pairs of the
+``DENSE`` most frequent contexts and a hot word make a dense matrix, which the driver samples.  All other pairs are
+dealt to lots, with their occurrences in packed arrays: a pair with a rare word by its word, one of a rare context and
+a hot word by its context, one of a hot context and a hot word by both.  So a list of one key is at most N / hot_words
+occurrences long, or, for a pair of hot words, N / (DENSE + 1).  A lot samples its seats over and over given the totals
+of the hot contexts and words, which are summed and sent out again once after the burn-in; of a rare context a lot sees
+only its own tables meanwhile.  Then the totals of every rare context are summed over the lots that have a part of it,
+so that the predictive probabilities rest on whole totals.
 
 Defined results: a null or empty text has the end token only.  Rows that repeat an id are scored each on its own.  With
 no training rows every token is unknown: the base score is that of N = V = 0, the score that of the base measure.
@@ -23,23 +28,30 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, fold_bucket, text_batches, text_or_empty
+from lodestrata.llm.common import cut, drop, fold_bucket, setting, text_batches, text_or_empty
 
 END = b"\n"
-HOT, CONTEXTS, UNKNOWN, PSEUDO = 32_768, 63, 0.5, 0.1
+HOT, DENSE, UNKNOWN, PSEUDO = 32_768, 63, 0.5, 0.1
 BURN_IN, SAMPLES, SINGLY, STRENGTH, SEED = 4, 3, 256, 1.0, 29
-#: Occurrences that a task handles at once, and words that it counts before it hands them on.
-TOGETHER, COUNTED = 200_000, 1_000_000
-_ROOMS = CONTEXTS + 1  # room 0: the root itself
+#: Training tokens for a lot of each kind, occurrences and documents that a task handles at once, words that it counts before it hands them on.
+LOT, TOGETHER, COUNTED = 1_000_000, 2_000_000, 1_000_000
+#: Documents whose sums are sent together.
+BLOCK_BITS = 12
+#: How the pairs of a lot are dealt.
+BY_WORD, BY_CONTEXT, BY_PAIR = 0, 1, 2
+_ROOMS = DENSE + 1  # room 0: the root itself; room i + 1: what follows hot word i
+_SLICES = 8
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -107,49 +119,127 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
 
-def _encode(spread):
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes without the empty ones, compressed; how many, and of how many integers, comes first."""
+    n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([n]) + len(x).to_bytes(8, "little") + _ZSTD.compress(x.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes(), asbytes=True)
+
+
+def _unplaned(blob: bytes) -> np.ndarray:
+    n, size = blob[0], int.from_bytes(blob[1:9], "little")
+    out = np.zeros((size, 8), np.uint8)
+    if size:
+        out[:, :n] = np.frombuffer(_ZSTD.decompress(blob[9:], n * size), np.uint8).reshape(n, size).T
+    return out.view("<i8").ravel()
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Integers from 0 on; large ones that repeat as a list of values and places in it."""
+    x = np.ascontiguousarray(x, "<i8")
+    if x.max(initial=0) >> 32:
+        values, back = np.unique(x, return_inverse=True)
+        if 4 * len(values) < 3 * len(x):
+            head = _planes(values)
+            return len(head).to_bytes(8, "little") + head + _planes(back.astype("<i8"))
+    return bytes(8) + _planes(x)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    head = int.from_bytes(blob[:8], "little")
+    rest = _unplaned(blob[8 + head :])
+    return _unplaned(blob[8 : 8 + head])[rest] if head else rest
+
+
+def _codes(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+    """Numbers of the hot words, hashes above them of the others."""
+    codes = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+    rare = np.flatnonzero(codes < 0)
+    if len(rare):
+        own = np.empty(len(rare), object)
+        own[:] = [words[i] for i in rare.tolist()]
+        codes[rare] = (pd.util.hash_array(own, categorize=False) >> np.uint64(3)).astype(np.int64) | 1 << 61
+    return codes
+
+
+def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(lengths * data.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+
+
+_DOC = {"key": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "hot_known": pa.int64(), "hot_base": pa.float64(), "hot": pa.binary(), "rooms": pa.binary()}
+_DEALT = {"lot": pa.int32(), "first": pa.int64(), "u": pa.binary(), "w": pa.binary(), "at": pa.binary()}
+_CODED = "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, hot binary, rooms binary, lot int, first long, u binary, w binary, at binary"
+
+
+def _either(schema: dict, values: dict) -> pa.RecordBatch:
+    """Rows of a table of two kinds of rows: the other kind's columns are null."""
+    n = len(next(iter(values.values())))
+    return pa.RecordBatch.from_arrays([pa.array(values[k], t) if k in values else pa.nulls(n, t) for k, t in schema.items()], list(schema))
+
+
+def _encode(spread, lots: int):
+    """A row for each document with its dense pairs, and rows of lots with the other occurrences: context, word, steps of document * 2 + held-out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = spread.value
-        end, key = index.get(END, -1), TaskContext.get().partitionId() << 33
+        index, known, bases = spread.value
+        h, end, key = len(known), int(_codes([END], index)[0]), TaskContext.get().partitionId() << 33
+        held: list[tuple[np.ndarray, ...]] = []
+        first, size = key, 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            u, w, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            lot = np.where(w >= h, w % lots, np.where(u >= h, lots + u % lots, 2 * lots + ((u * h + w) * 0x9E3779B1 >> 16) % lots))
+            order = np.argsort(lot.astype(np.uint16 if 3 * lots < 1 << 16 else np.int32), kind="stable")
+            lot, u, w, at = lot[order], u[order], w[order], at[order]
+            starts = np.flatnonzero(np.diff(lot, prepend=-1))
+            ends = np.append(starts[1:], len(lot))
+            for i in range(0, len(starts), 1024):
+                parts = [slice(a, b) for a, b in zip(starts[i : i + 1024], ends[i : i + 1024], strict=True)]
+                yield _either(_DOC | _DEALT, {"lot": lot[starts[i : i + 1024]], "first": [first] * len(parts), "u": [_pack(u[x]) for x in parts], "w": [_pack(w[x]) for x in parts], "at": [_pack(np.diff(at[x], prepend=0)) for x in parts]})
+
         for batch in batches:
-            hot, rooms, total, offsets, words, tail_rooms = [], [], [], [0], [], []
+            n, words, lengths = batch.num_rows, [], []
+            if not n:
+                continue
             for text in batch.column("_t").to_pylist():
                 own = tokens(text)
-                ids = np.fromiter((index.get(w, -1) for w in own), np.int64, len(own))
-                before = np.concatenate(([end], ids[:-1]))
-                room = np.where((before >= 0) & (before < CONTEXTS), before + 1, 0).astype(np.uint8)
-                known = ids >= 0
-                hot.append(ids[known].astype("<u2").tobytes())
-                rooms.append(room[known].tobytes())
-                rare = np.flatnonzero(~known).tolist()
-                words += [own[i] for i in rare]
-                tail_rooms.append(room[~known])
-                offsets.append(len(words))
-                total.append(len(own))
-            n = batch.num_rows
-            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(tail_rooms).astype(np.int16))], ["word", "room"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(key, key + n)), batch.column("_id"), batch.column("held_out"), pa.array(total, pa.int64()), pa.array(hot, pa.binary()), pa.array(rooms, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
-                ["key", "doc_id", "held_out", "n_tokens", "hot", "rooms", "tail"],
-            )
+                words += own
+                lengths.append(len(own))
+            w, lengths = _codes(words, index), np.array(lengths)
+            words.clear()
+            doc = np.repeat(np.arange(n), lengths)
+            u = np.concatenate(([end], w[:-1]))
+            u[np.cumsum(lengths)[:-1]] = end
+            hot = w < h
+            dense = hot & (u < DENSE)
+            rest, in_doc = ~dense, np.bincount(doc[dense], minlength=n)
+            sums = [np.bincount(doc[hot], x[w[hot]], n) for x in (known, bases)]
+            yield _either(_DOC | _DEALT, {"key": np.arange(key, key + n), "doc_id": batch.column("_id"), "held_out": batch.column("held_out"), "n_tokens": lengths, "hot_known": sums[0].astype(np.int64), "hot_base": sums[1], "hot": _binary(w[dense].astype("<u2"), in_doc), "rooms": _binary((u[dense] + 1).astype(np.uint8), in_doc)})
+            out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((u[rest], w[rest], (key - first + doc[rest]) * 2 + out[doc[rest]]))
+            size += len(held[-1][0])
             key += n
+            if size >= TOGETHER:
+                yield from dealt()
+                held.clear()
+                first, size = key, 0
+        if size:
+            yield from dealt()
 
     return run
 
 
 def _pair_counts(width: int):
-    """Of the task: (room * width + word, n), summed densely, and the tail's customers of each room after those."""
+    """Of the task: (room * width + word, n), summed densely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(_ROOMS * width + _ROOMS, np.int64)
+        sums = np.zeros(_ROOMS * width, np.int64)
         for batch in batches:
             words = np.frombuffer(b"".join(batch.column("hot").to_pylist()), "<u2").astype(np.int64)
             rooms = np.frombuffer(b"".join(batch.column("rooms").to_pylist()), np.uint8).astype(np.int64)
             for at in range(0, len(words), 1 << 21):
                 pair, n = np.unique(rooms[at : at + (1 << 21)] * width + words[at : at + (1 << 21)], return_counts=True)
                 sums[pair] += n
-            tail = batch.column("tail").flatten()
-            sums[_ROOMS * width :] += np.bincount(tail.field("room").to_numpy(zero_copy_only=False), minlength=_ROOMS)
         cell = np.flatnonzero(sums)
         for at in range(0, len(cell), 1 << 16):
             part = cell[at : at + (1 << 16)]
@@ -158,77 +248,148 @@ def _pair_counts(width: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole words from rows sorted by word."""
-    held: list[pa.RecordBatch] = []
-    size, due = 0, TOGETHER
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size < due:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        words = table.column("word").chunk(0)
-        lo = size - pc.sum(pc.equal(words, words[size - 1])).as_py()  # sorted: the last word's rows are at the end
-        if lo:
-            yield table.slice(0, lo).combine_chunks()
-        held = table.slice(lo).to_batches()
-        size -= lo
-        due = max(TOGETHER, 2 * size)
-    if size:
-        yield pa.Table.from_batches(held).combine_chunks()
+class Lot(NamedTuple):
+    """Pairs of words: codes of the contexts and words, which of them a pair has, its training count and its occurrences."""
+
+    number: int
+    kind: int
+    contexts: np.ndarray
+    words: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    c: np.ndarray
+
 
+_ARRAYS = ("contexts", "words", "context", "word", "c")
+_LOT = "lot int, kind int, contexts binary, words binary, context binary, word binary, c binary, seen binary, keys binary"
 
-def _tail_sampler(facts: Facts, room_weight: np.ndarray, root_weight: float):
-    """One row for each lot of words: its occurrences, its counts and the sampled tables, as arrays in bytes."""
+
+def _build(lots: int):
+    """From rows sorted by lot, a row for each lot: its pairs, how often each is seen, and the keys of the documents in the order of the pairs."""
+
+    def lot(number: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        u, w, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        contexts, context = np.unique(u, return_inverse=True)
+        words, word = np.unique(w, return_inverse=True)
+        pair = word * len(contexts) + context
+        order = np.argsort(pair)
+        pair, at = pair[order], at[order]
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        c = np.add.reduceat(1 - (at & 1), starts)
+        arrays = (contexts, words, pair[starts] % len(contexts), pair[starts] // len(contexts), c, np.diff(np.append(starts, len(pair))), at >> 1)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([number // lots], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in arrays)], ["lot", "kind", *_ARRAYS, "seen", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng((SEED, TaskContext.get().partitionId()))
-        for table in _runs(batches):
-            words = table.column("word").chunk(0)
-            number = words.dictionary_encode().indices.to_numpy().astype(np.int64)
-            room = table.column("room").to_numpy().astype(np.int64)
-            learn = ~table.column("held_out").to_numpy().astype(bool)
-            n_words = int(number.max()) + 1
-            cells, c = np.unique(number[learn] * _ROOMS + room[learn], return_counts=True)
-            cell_word, cell_room = cells // _ROOMS, cells % _ROOMS
-            count = np.bincount(cell_word, c, n_words)
-            inside = cell_room > 0
-            base = facts.measure(count)
-            guess = (np.maximum(count - facts.root_discount, 0) + root_weight * base) / max(1, facts.n)
-            lower, upper = np.zeros((SAMPLES, len(cells)), np.int64), np.zeros((SAMPLES, n_words), np.int64)
-            for s in range(SAMPLES):
-                lower[s] = c  # in room 0 each is a customer of the root
-                lower[s, inside] = seat(c[inside], room_weight[cell_room[inside]] * guess[cell_word[inside]], facts.room_discount, rng)
-                customers = np.bincount(cell_word, lower[s], n_words).astype(np.int64)
-                upper[s] = seat(customers, root_weight * base, facts.root_discount, rng)
-                guess = (np.maximum(customers - facts.root_discount * upper[s], 0) + root_weight * base) / max(1, facts.n)
-            arrays = (number.astype(np.int32), room.astype(np.uint8), table.column("key").to_numpy(), cells, c.astype(np.int64), lower, upper)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["number", "room", "key", "cells", "c", "lower", "upper"])
+        number, held = None, []
+        for batch in batches:
+            for n, first, u, w, at in zip(*(batch.column(x).to_pylist() for x in ("lot", "first", "u", "w", "at")), strict=True):
+                if held and n != number:
+                    yield lot(number, held)
+                    held.clear()
+                number = n
+                held.append((_unpack(u), _unpack(w), _unpack(at).cumsum() + 2 * first))
+        if held:
+            yield lot(number, held)
 
     return run
 
 
-def _tail_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the task, for each sample: tables of each room, then customers and tables of the root from the tail."""
-    sums = np.zeros((SAMPLES, _ROOMS + 1), np.int64)
+def _lots(batch: pa.RecordBatch) -> Iterator[tuple[int, Lot]]:
+    for i in range(batch.num_rows):
+        number, kind, *arrays = (batch.column(x)[i].as_py() for x in ("lot", "kind", *_ARRAYS))
+        yield i, Lot(number, kind, *map(_unpack, arrays))
+
+
+def _tables(lot: Lot, t: np.ndarray, totals: np.ndarray, hot: int) -> np.ndarray:
+    """Tables of each context's restaurant: all of a hot context's, the lot's own of a rare one's."""
+    own = np.bincount(lot.context, t, len(lot.contexts))
+    there = lot.contexts < hot
+    own[there] = totals[lot.contexts[there] + 1]
+    return own
+
+
+def seats(lot: Lot, m: Chances, sweeps: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``keep`` states of the lot, of the start and ``sweeps`` sweeps: tables of each pair and, of a lot by word, tables at the root."""
+    rng, s, hot = np.random.default_rng((SEED, lot.number)), m.samples[0], len(m.facts.hot_counts)
+    by_word, many = lot.kind == BY_WORD, np.flatnonzero(lot.c > 1)
+    t, up = (lot.c > 0).astype(np.int64), np.zeros(len(lot.words), np.int64)
+    if by_word:
+        base = m.facts.measure(np.bincount(lot.word, lot.c, len(lot.words)))
+        customers = np.bincount(lot.word, t, len(lot.words)).astype(np.int64)
+        up = (customers > 0).astype(np.int64)
+    lower, upper = [t], [up]
+    for _ in range(sweeps):
+        parent = m.root(s, customers, up, base) if by_word else s.parent[lot.words]
+        tables = _tables(lot, t, s.room_tables, hot)
+        t = t.copy()
+        t[many] = seat(lot.c[many], (STRENGTH + m.facts.room_discount * tables[lot.context[many]]) * parent[lot.word[many]], m.facts.room_discount, rng)
+        if by_word:
+            customers = np.bincount(lot.word, t, len(lot.words)).astype(np.int64)
+            up = seat(customers, (STRENGTH + m.facts.root_discount * s.root_tables) * base, m.facts.root_discount, rng)
+        lower, upper = [*lower, t][-keep:], [*upper, up][-keep:]
+    return np.array(lower), np.array(upper)
+
+
+_PART = {"u": pa.int64(), "lot": pa.int32(), "c": pa.int64(), **{f"t{s}": pa.int64() for s in range(SAMPLES)}}
+_TOTAL = {"slice": pa.int32(), "sums": pa.binary()}
+_SEATED = "u long, lot int, c long, " + "".join(f"t{s} long, " for s in range(SAMPLES)) + "slice int, sums binary"
+
+
+def _cells(rooms: int, hot: int) -> int:
+    """Cells of a sample's totals: root customers of rare words, tables of each hot context, root customers of each hot word, root tables of rare words."""
+    return rooms + hot + 1
+
+
+def _sampler(spread, sweeps: int, keep: int, parts: bool):
+    """The task's totals for each kept state and its pairs seen once and twice in training; with ``parts``, a row for each rare context of a lot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Chances = spread.value
+        hot, rooms = len(m.facts.hot_counts), len(m.room_customers)
+        sums, few = np.zeros((keep, _cells(rooms, hot)), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for _, lot in _lots(batch):
+                lower, upper = seats(lot, m, sweeps, keep)
+                few += [(lot.c == 1).sum(), (lot.c == 2).sum()]
+                there = lot.contexts < hot
+                tables = [np.bincount(lot.context, t, len(lot.contexts)).astype(np.int64) for t in lower]
+                for s in range(keep):
+                    sums[s, lot.contexts[there] + 1] += tables[s][there]
+                    if lot.kind == BY_WORD:
+                        sums[s, 0] += lower[s].sum()
+                        sums[s, -1] += upper[s].sum()
+                    else:
+                        sums[s, rooms + lot.words] += np.bincount(lot.word, lower[s], len(lot.words)).astype(np.int64)
+                if parts and not there.all():
+                    own = np.bincount(lot.context, lot.c, len(lot.contexts)).astype(np.int64)
+                    yield _either(_PART | _TOTAL, {"u": lot.contexts[~there], "lot": np.full((~there).sum(), lot.number), "c": own[~there], **{f"t{s}": x[~there] for s, x in enumerate(tables)}})
+        pieces = np.array_split(np.append(sums.ravel(), few), _SLICES)
+        yield _either(_PART | _TOTAL, {"slice": np.arange(_SLICES), "sums": [_pack(x) for x in pieces]})
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for cells, lower, upper in zip(*(batch.column(x).to_pylist() for x in ("cells", "lower", "upper")), strict=True):
-            rooms = np.frombuffer(cells, np.int64) % _ROOMS
-            for s, (low, up) in enumerate(zip(np.frombuffer(lower, np.int64).reshape(SAMPLES, -1), np.frombuffer(upper, np.int64).reshape(SAMPLES, -1), strict=True)):
-                sums[s, :_ROOMS] += np.bincount(rooms, low, _ROOMS).astype(np.int64)
-                sums[s, _ROOMS] += up.sum()
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["slot", "n"])
+        for number, blob in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            sums[number] = sums.get(number, 0) + _unpack(blob)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_pack(x) for x in sums.values()], pa.binary())], ["slice", "sums"])
+
+
+def _summed(seated: DataFrame, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = seated.where("slice is not null").select("slice", "sums").repartition(_SLICES, "slice").mapInArrow(_add, "slice int, sums binary").collect()
+    flat = np.concatenate([_unpack(bytes(r["sums"])) for r in sorted(rows)])
+    return flat[:-2].reshape(keep, -1), flat[-2:]
 
 
 class Sample(NamedTuple):
-    """Totals of one state of the seats: customers and tables of the root, tables of each room."""
+    """Totals of one state of the seats: customers and tables of the root, tables of each room, probabilities of the hot words at the root."""
 
     root_customers: int
     root_tables: int
     room_tables: np.ndarray
+    parent: np.ndarray | None = None
 
 
 class Chances(NamedTuple):
@@ -240,87 +401,147 @@ class Chances(NamedTuple):
         d = self.facts.root_discount
         return (customers - d * tables + (STRENGTH + d * s.root_tables) * base) / (STRENGTH + s.root_customers)
 
-    def room(self, s: Sample, room, customers, tables, parent):
+    def follow(self, customers, tables, all_customers, all_tables, parent):
         d = self.facts.room_discount
-        return (customers - d * tables + (STRENGTH + d * s.room_tables[room]) * parent) / (STRENGTH + self.room_customers[room])
+        return (customers - d * tables + (STRENGTH + d * all_tables) * parent) / (STRENGTH + all_customers)
+
+    def room(self, s: Sample, room, customers, tables, parent):
+        return self.follow(customers, tables, self.room_customers[room], s.room_tables[room], parent)
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, back = np.unique(keys, return_inverse=True)
+    return (keys, *(np.bincount(back, x, len(keys)) for x in values))
+
 
+def _lot_scorer(spread):
+    """For the task's documents, sums over the occurrences in its lots, whose seats are sampled as before; ``told``: whole totals of contexts that more lots have."""
 
-def _tail_scorer(spread):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Chances = spread.value
+        start, m = spread.value
+        hot, held, size = len(m.facts.hot_counts), [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, known, bases, logs = held[0]
+            blocks = keys >> BLOCK_BITS
+            starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+            parts = [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
+            columns = ([_pack(keys[x] & (1 << BLOCK_BITS) - 1) for x in parts], [_pack(known[x].astype(np.int64)) for x in parts], [bases[x].tobytes() for x in parts], [logs[x].tobytes() for x in parts])
+            return pa.RecordBatch.from_arrays([pa.array(blocks[starts]), *(pa.array(x, pa.binary()) for x in columns)], ["block", "docs", "known", "bases", "logs"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                number, room, key = np.frombuffer(row["number"], np.int32).astype(np.int64), np.frombuffer(row["room"], np.uint8).astype(np.int64), np.frombuffer(row["key"], np.int64)
-                cells, c = np.frombuffer(row["cells"], np.int64), np.frombuffer(row["c"], np.int64)
-                n_words = int(number.max()) + 1
-                lower, upper = np.frombuffer(row["lower"], np.int64).reshape(SAMPLES, -1), np.frombuffer(row["upper"], np.int64).reshape(SAMPLES, -1)
-                count = np.bincount(cells // _ROOMS, c, n_words)
-                base = m.facts.measure(count)
-                own = number * _ROOMS + room
-                at = np.searchsorted(cells, own)
-                has = (at < len(cells)) & (np.append(cells, -1)[np.minimum(at, len(cells))] == own)
-                at = np.where(has, at, 0)
-                chance = np.zeros(len(number))
+            for i, lot in _lots(batch):
+                lower, upper = seats(lot, start, BURN_IN + SAMPLES, SAMPLES)
+                there = lot.contexts < hot
+                customers = np.bincount(lot.context, lot.c, len(lot.contexts))
+                customers[there] = m.room_customers[lot.contexts[there] + 1]
+                told = batch.column("told").slice(i, 1).flatten()
+                column = lambda name: told.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                at = np.searchsorted(lot.contexts, column("u"))
+                customers[at] = column("c")
+                count = np.bincount(lot.word, lot.c, len(lot.words))
+                chance = np.zeros(len(lot.c))
                 for s, sample in enumerate(m.samples):
-                    customers = np.bincount(cells // _ROOMS, lower[s], n_words)
-                    parent = m.root(sample, customers, upper[s], base)[number]
-                    here, tables = (np.where(has, x[at], 0) if len(x) else np.zeros(len(has)) for x in (c, lower[s]))
-                    chance += np.where(room > 0, m.room(sample, room, here, tables, parent), parent)
-                logs, bases, known = np.log10(chance / SAMPLES), m.facts.base(count)[number], (count > 0)[number]
-                keys, back = np.unique(key, return_inverse=True)
-                sums = [np.bincount(back, x, len(keys)) for x in (known, bases, logs)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "tail_known", "tail_base", "tail_score"])
+                    tables = _tables(lot, lower[s], sample.room_tables, hot)
+                    tables[at] = column(f"t{s}")
+                    parent = m.root(sample, np.bincount(lot.word, lower[s], len(lot.words)), upper[s], m.facts.measure(count)) if lot.kind == BY_WORD else sample.parent[lot.words]
+                    chance += m.follow(lot.c, lower[s], customers[lot.context], tables[lot.context], parent[lot.word])
+                seen, keys = _unpack(batch.column("seen")[i].as_py()), _unpack(batch.column("keys")[i].as_py())
+                by_word = lot.kind == BY_WORD  # the encoder counts hot words
+                values = (((count > 0) & by_word)[lot.word], (m.facts.base(count) * by_word)[lot.word], np.log10(chance / SAMPLES))
+                held.append(_merged([(keys, *(np.repeat(x, seen) for x in values))]))
+                size += len(held[-1][0])
+                if size > TOGETHER:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > TOGETHER // 2:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            held = [_merged(held)]
+            yield out()
 
     return run
 
 
-def sample_hot(facts: Facts, counts: np.ndarray, tail_totals: np.ndarray, tail_customers: np.ndarray) -> tuple[Chances, np.ndarray]:
-    """Gibbs sweeps over the dense part; the model's totals and log10 chance of each hot word in each room."""
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a block, from rows sorted by block."""
+    block, sums = None, np.zeros((4, 1 << BLOCK_BITS))
+
+    def out() -> pa.RecordBatch:
+        docs = np.flatnonzero(sums[0])
+        return pa.RecordBatch.from_arrays([pa.array((block << BLOCK_BITS) + docs), pa.array(sums[1, docs].astype(np.int64)), pa.array(sums[2, docs]), pa.array(sums[3, docs])], ["key", "lot_known", "lot_base", "lot_score"])
+
+    for batch in batches:
+        for at, docs, known, bases, logs in zip(*(batch.column(x).to_pylist() for x in ("block", "docs", "known", "bases", "logs")), strict=True):
+            if at != block:
+                if block is not None:
+                    yield out()
+                block = at
+                sums[:] = 0
+            docs = _unpack(docs)
+            for row, x in zip(sums, (1, _unpack(known), np.frombuffer(bases), np.frombuffer(logs)), strict=True):
+                row[docs] += x
+    if block is not None:
+        yield out()
+
+
+def sample_hot(facts: Facts, counts: np.ndarray, totals: np.ndarray, other_customers: np.ndarray, dealt: np.ndarray | None = None) -> tuple[Chances, np.ndarray]:
+    """Gibbs sweeps over the dense part; the model's totals and log10 chance of each hot word in each dense room.
+
+    Of the lots, for each sample: ``totals`` (root customers of rare words, tables of each room, root tables of rare
+    words) and ``dealt``, root customers of each hot word; ``other_customers`` of each room.
+    """
     rng = np.random.default_rng(SEED)
     rooms, words = np.nonzero(counts[1:])
     rooms = rooms + 1
     c = counts[rooms, words]
-    room_customers = counts.sum(1) + tail_customers
+    room_customers = other_customers.copy()
+    room_customers[:_ROOMS] += counts.sum(1)
     base = facts.measure(facts.hot_counts)
     low = np.ones(len(c), np.int64)
-    root = counts[0] + np.bincount(words, low, counts.shape[1]).astype(np.int64)
+    direct = [counts[0] + (0 if dealt is None else dealt[s]) for s in range(SAMPLES)]
+    root = direct[0] + np.bincount(words, low, counts.shape[1]).astype(np.int64)
     up = (root > 0).astype(np.int64)
-    samples, lows, ups = [], [], []
+
+    def sample(s: int) -> Sample:
+        tables = totals[s, :-1].copy()
+        tables[:_ROOMS] += np.bincount(rooms, low, _ROOMS).astype(np.int64)
+        return Sample(int(root.sum() + totals[s, 0]), int(up.sum() + totals[s, -1]), tables)
+
+    samples, lows = {}, {}
     for sweep in range(BURN_IN + SAMPLES):
-        tail = tail_totals[sweep % SAMPLES]
-        sample = lambda: Sample(int(root.sum() + tail[:_ROOMS].sum()), int(up.sum() + tail[_ROOMS]), np.bincount(rooms, low, _ROOMS).astype(np.int64) + tail[:_ROOMS])  # noqa: B023, E731
-        now = sample()
+        s = sweep % SAMPLES
+        now = sample(s)
         parent = Chances(facts, room_customers, []).root(now, root, up, base)
         low = seat(c, (STRENGTH + facts.room_discount * now.room_tables[rooms]) * parent[words], facts.room_discount, rng)
-        root = counts[0] + np.bincount(words, low, counts.shape[1]).astype(np.int64)
+        root = direct[s] + np.bincount(words, low, counts.shape[1]).astype(np.int64)
         up = seat(root, (STRENGTH + facts.root_discount * now.root_tables) * base, facts.root_discount, rng)
         if sweep >= BURN_IN:
-            samples.append((sweep % SAMPLES, sample()))
-            lows.append(low)
-            ups.append((up, root))
-    model = Chances(facts, room_customers, [s for _, s in sorted(samples, key=lambda x: x[0])])
+            now = sample(s)
+            samples[s], lows[s] = now._replace(parent=Chances(facts, room_customers, []).root(now, root, up, base)), low
+    model = Chances(facts, room_customers, [samples[s] for s in range(SAMPLES)])
     logs, edges = np.zeros(counts.shape, np.float32), np.searchsorted(rooms, np.arange(_ROOMS + 1))
-    parents = [model.root(s, root, up, base) for (_, s), (up, root) in zip(samples, ups, strict=True)]
     for room in range(_ROOMS):
         chance, own = np.zeros(counts.shape[1]), slice(edges[room], edges[room + 1])
-        for (_, s), low, parent in zip(samples, lows, parents, strict=True):
+        for s, state in enumerate(model.samples):
             tables = np.zeros(counts.shape[1])
-            tables[words[own]] = low[own]
-            chance += model.room(s, room, counts[room], tables, parent) if room else parent
+            tables[words[own]] = lows[s][own]
+            chance += model.room(state, room, counts[room], tables, state.parent) if room else state.parent
         logs[room] = np.log10(np.maximum(chance / SAMPLES, 1e-300))
     return model, logs
 
 
 def _hot_scorer(spread):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, bases, known = spread.value
+        logs, rest = spread.value, ["key", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base"]
         for batch in batches:
             out = []
             for hot, rooms in zip(batch.column("hot").to_pylist(), batch.column("rooms").to_pylist(), strict=True):
                 w, r = np.frombuffer(hot, "<u2"), np.frombuffer(rooms, np.uint8)
-                out.append((int(known[w].sum()), float(bases[w].sum()), float(logs[r, w].sum(dtype=np.float64))))
-            rest = ["key", "doc_id", "held_out", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *(pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.float64())))], [*rest, "hot_known", "hot_base", "hot_score"])
+                out.append(float(logs[r, w].sum(dtype=np.float64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(out, pa.float64())], [*rest, "hot_score"])
 
     return run
 
@@ -334,32 +555,59 @@ def score(docs: DataFrame, held_out_of: int = 10, id_col: str = "doc_id", text_c
     counts = cut(rows.where("not held_out").select("_t").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n, v, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     top = counts.orderBy(F.desc("n"), "word").limit(hot_words).collect()
+    drop(counts)
     hot, hot_counts = [bytes(r["word"]) for r in top], np.zeros(hot_words, np.int64)
     hot_counts[: len(top)] = [r["n"] for r in top]
+    facts = Facts(n, v, _discount(once, twice), 0.5, [], hot_counts)
 
-    coded = cut(rows.mapInArrow(_encode(context.broadcast({w: i for i, w in enumerate(hot)})), "key long, doc_id long, held_out boolean, n_tokens long, hot binary, rooms binary, tail array<struct<word: binary, room: smallint>>"), "coded")
-    sums = cut(coded.where("not held_out").select("hot", "rooms", "tail").mapInArrow(_pair_counts(hot_words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pairs")  # at most _ROOMS * (hot_words + 1) rows
-    flat, share = np.zeros(_ROOMS * hot_words + _ROOMS, np.int64), -(-_ROOMS * (hot_words + 1) // 8)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = max(parts, n // LOT)
+    coded = cut(rows.mapInArrow(_encode(context.broadcast(({w: i for i, w in enumerate(hot)}, hot_counts > 0, facts.base(hot_counts))), lots), _CODED), "coded")
+    texts = cut(coded.where("lot is null").select(*_DOC), "texts")
+    sums = cut(texts.where("not held_out").select("hot", "rooms").mapInArrow(_pair_counts(hot_words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pairs")  # at most _ROOMS * hot_words rows
+    flat, share = np.zeros(_ROOMS * hot_words, np.int64), -(-_ROOMS * hot_words // 8)
     for at in range(0, len(flat), share):  # in eighths, for the driver's memory
         part = sums.where((F.col("cell") >= at) & (F.col("cell") < at + share)).toPandas()
         flat[part["cell"].to_numpy()] = part["n"].to_numpy()
-    matrix, tail_customers = flat[: _ROOMS * hot_words].reshape(_ROOMS, hot_words), flat[_ROOMS * hot_words :]
-    facts = Facts(n, v, _discount(once, twice), _discount(int((matrix[1:] == 1).sum()), int((matrix[1:] == 2).sum())), hot, hot_counts)
-
-    thin = facts._replace(hot=[], hot_counts=np.zeros(0))
-    room_weight = STRENGTH + facts.room_discount * ((matrix > 0).sum(1) + tail_customers / 2)
-    root_weight = STRENGTH + facts.root_discount * v
-    tail = coded.select("key", "held_out", F.explode("tail").alias("x")).select("key", "held_out", "x.word", "x.room")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lots = cut(tail.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_tail_sampler(thin, room_weight, root_weight), "number binary, room binary, key binary, cells binary, c binary, lower binary, upper binary"), "lots")
-    totals = np.zeros(SAMPLES * (_ROOMS + 1), np.int64)
-    for r in lots.select("cells", "lower", "upper").mapInArrow(_tail_totals, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        totals[r["slot"]] = r["n"]
-
-    model, logs = sample_hot(facts, matrix, totals.reshape(SAMPLES, -1), tail_customers)
-    tail_sums = lots.mapInArrow(_tail_scorer(context.broadcast(model._replace(facts=thin))), "key long, tail_known long, tail_base double, tail_score double")
-    tail_sums = tail_sums.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("tail_known", "tail_base", "tail_score")])
-    hot_sums = coded.select("key", "doc_id", "held_out", "n_tokens", "hot", "rooms").mapInArrow(_hot_scorer(context.broadcast((logs, facts.base(hot_counts), hot_counts > 0))), "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, hot_score double")
+    matrix = flat.reshape(_ROOMS, hot_words)
+
+    with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch="64"):
+        built = cut(coded.where("lot is not null").select("lot", "first", "u", "w", "at").repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(_build(lots), _LOT), "lots")
+    drop(coded)
+    rooms = max(_ROOMS, hot_words + 1)
+    customers = np.zeros(rooms, np.int64)
+    customers[1 : hot_words + 1] = hot_counts  # whatever the word, one follows it
+    blank = Chances(facts, customers, [Sample(0, 0, np.zeros(rooms, np.int64), np.zeros(hot_words))])
+    other = customers - np.pad(matrix.sum(1), (0, rooms - _ROOMS))
+
+    def seated(m: Chances, sweeps: int, keep: int, of_rare: bool) -> DataFrame:
+        return cut(built.select("lot", "kind", *_ARRAYS).mapInArrow(_sampler(context.broadcast(m), sweeps, keep, of_rare), _SEATED), "seated")
+
+    def sampled(totals: np.ndarray) -> tuple[Chances, np.ndarray]:
+        every = np.broadcast_to(totals, (SAMPLES, totals.shape[1]))
+        return sample_hot(facts, matrix, np.concatenate((every[:, :rooms], every[:, -1:]), axis=1), other, every[:, rooms:-1])
+
+    with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):  # of lots
+        start = seated(blank, 0, 1, False)
+        totals, few = _summed(start, 1)
+        facts = facts._replace(room_discount=_discount(int((matrix[1:] == 1).sum() + few[0]), int((matrix[1:] == 2).sum() + few[1])))
+        model, _ = sampled(totals)
+        burnt = seated(model, BURN_IN, 1, False)
+        model, _ = sampled(_summed(burnt, 1)[0])
+        last = seated(model, BURN_IN + SAMPLES, SAMPLES, True)
+        final, logs = sampled(_summed(last, SAMPLES)[0])
+        values = ["c", *(f"t{s}" for s in range(SAMPLES))]
+        whole = last.where("slice is null").groupBy("u").agg(*[F.sum(x).alias(x) for x in values], F.collect_list("lot").alias("lots")).where(F.size("lots") > 1)
+        told = cut(whole.select("u", *values, F.explode("lots").alias("lot")).groupBy("lot").agg(F.collect_list(F.struct("u", *values)).alias("told")), "told")
+        drop(start, burnt, last)
+        thin = model._replace(samples=model.samples[:1])
+        some = built.where(F.col("kind") != BY_PAIR).join(told, "lot", "left")  # contexts of the others are all hot
+        every = some.unionByName(built.where(F.col("kind") == BY_PAIR).withColumn("told", F.lit(None).cast(told.schema["told"].dataType)))
+        lot_sums = every.mapInArrow(_lot_scorer(context.broadcast((thin, final))), "block long, docs binary, known binary, bases binary, logs binary")
+        lot_sums = lot_sums.repartition(parts, "block").sortWithinPartitions("block")
+        lot_sums = cut(lot_sums.mapInArrow(_block_sums, "key long, lot_known long, lot_base double, lot_score double"), "sums")
+    drop(sums, built, told)
+    hot_sums = texts.select("key", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "hot", "rooms").mapInArrow(_hot_scorer(context.broadcast(logs)), "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, hot_score double")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    both = hot_sums.join(tail_sums, "key", "left")
-    return both.select("doc_id", "held_out", "n_tokens", add("hot_known", "tail_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("hot_base", "tail_base").alias("base_score"), add("hot_score", "tail_score").alias("score"))
+    both = hot_sums.join(lot_sums, "key", "left")
+    return both.select("doc_id", "held_out", "n_tokens", add("hot_known", "lot_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("hot_base", "lot_base").alias("base_score"), add("hot_score", "lot_score").alias("score"))

@@ -97,3 +97,60 @@ def test_rooms_follow_the_previous_word(spark):
     docs = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
     rows = [r for r in L.score(docs).collect() if r.held_out]
     assert all(r.score > 0.6 * r.base_score for r in rows)  # logs: half of the words are certain
+
+
+def plain_score(train, texts, root_discount, room_discount, rng):
+    """The model without lots or dense part: a restaurant for every context, one dict of seats for all."""
+    pairs = Counter(p for words in train for p in zip([b"\n", *words[:-1]], words, strict=True))
+    count, tables, up, logs = Counter(w for words in train for w in words), dict.fromkeys(pairs, 1), {}, Counter()
+    v, keys = len(count), sorted(pairs)
+    after = Counter()
+    for (u, _), c in pairs.items():
+        after[u] += c
+    up = dict.fromkeys(count, 1)
+    for sweep in range(L.BURN_IN + L.SAMPLES):
+        for stage in (0, 1):
+            customers, room = Counter(), Counter()
+            for (u, w), t in tables.items():
+                customers[w] += t
+                room[u] += t
+            base = lambda w: (1 - L.UNKNOWN) / v if w in count else L.UNKNOWN
+            weight = L.STRENGTH + root_discount * sum(up.values())
+            root = lambda w: (customers[w] - root_discount * up.get(w, 0) + weight * base(w)) / (L.STRENGTH + customers.total())  # noqa: B023, E731
+            if stage == 0:
+                t = L.seat(np.array([pairs[k] for k in keys]), np.array([(L.STRENGTH + room_discount * room[u]) * root(w) for u, w in keys]), room_discount, rng)
+                tables = dict(zip(keys, t.tolist(), strict=True))
+            else:
+                words = sorted(count)
+                up = dict(zip(words, L.seat(np.array([customers[w] for w in words]), np.array([weight * base(w) for w in words]), root_discount, rng).tolist(), strict=True))
+                weight = L.STRENGTH + root_discount * sum(up.values())
+        if sweep >= L.BURN_IN:
+            for u, w in {p for words in texts for p in zip([b"\n", *words[:-1]], words, strict=True)}:
+                logs[u, w] += (pairs[u, w] - room_discount * tables.get((u, w), 0) + (L.STRENGTH + room_discount * room[u]) * root(w)) / (L.STRENGTH + after[u]) / L.SAMPLES
+    return [sum(math.log10(logs[p]) for p in zip([b"\n", *words[:-1]], words, strict=True)) for words in texts]
+
+
+@pytest.mark.parametrize("hot", [L.HOT, 90, 20])
+def test_every_context_has_a_restaurant(spark, monkeypatch, hot):
+    """300 words, each followed by one of few: against the plain sampler, with most contexts beyond the dense ones."""
+    monkeypatch.setattr(L, "_discount", lambda once, twice: 0.6)
+    rng = random.Random(7)
+    follow = {i: [rng.randrange(300) for _ in range(3)] for i in range(300)}
+    texts = []
+    for _ in range(400):
+        walk = [rng.randrange(300)]
+        while len(walk) < 40:
+            walk.append(rng.choice(follow[walk[-1]]) if rng.random() < 0.9 else rng.randrange(320))
+            if walk[-1] >= 300:
+                break
+        texts.append(" ".join(f"w{i}" for i in walk))
+    rows = {r.doc_id: r for r in L.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot_words=hot).collect()}
+    out = [i for i in range(400) if held(i)]
+    want = plain_score([tok(texts[i]) for i in range(400) if not held(i)], [tok(texts[i]) for i in out], 0.6, 0.6, np.random.default_rng(1))
+    apart = [(rows[i].score - s) / rows[i].n_tokens for i, s in zip(out, want, strict=True)]
+    assert abs(np.mean(apart)) < 0.02 and max(map(abs, apart)) < 0.15
+
+
+def test_packed_integers_come_back():
+    for x in ([], [0], [255, 0, 256], [1 << 61, (1 << 62) - 1, 3], [1 << 60, 7] * 20):
+        assert L._unpack(L._pack(np.array(x, np.int64))).tolist() == x
