@@ -4,7 +4,7 @@ A line is the set of its words (lower-cased, set apart by blanks and control cha
 earlier line (by doc_id, then line number) of any document has a Jaccard similarity of ``SIMILARITY`` or more with it,
 whether or not that earlier line is itself removed.
 
-1. Each line's words are written, as a set of ``HASH_BITS``-bit hashes.  They are ordered by rarity: by the
+1. Each line's words become a set of ``HASH_BITS``-bit hashes.  They are ordered by rarity: by the
    magnitude of the corpus count of their hash bucket (of ``BUCKETS``), then by their hash.  Any order that all lines
    share makes the filters exact; this one needs a table of fixed size only.
 2. Equal sets collapse to a class with its first occurrence; all but the first go.
@@ -13,11 +13,12 @@ whether or not that earlier line is itself removed.
    filter and parity signatures (whose differing bits can't exceed the words in which two sets differ) are
    conditions of the join, so pairs that fail never leave it.  Sets too small to be similar to any but an equal one
    stay out of the index.
-4. Classes of a word with up to ``CROWD`` of them are compared with each other at once: a word makes no more than
-   CROWD / 2 pairs a row.  In a crowded word a class is first compared with the earliest one; in a group of near copies
+4. Classes of a word with up to ``CROWD`` of them are compared with each other at once, the smaller set by its first
+   words only and a part of the words after the other: a word makes no more than CROWD / 2 pairs a row.  In a crowded word a class is first compared with the earliest one; in a group of near copies
    that settles nearly all, so the pairs of a group are never listed.  Classes that neither step settles are joined
    with all earlier ones of their crowded words, by word and step of size, which spreads one word over several keys.
-5. The pairs of each step are verified on the hashes of all words.
+5. The pairs of each step are verified on the hashes of all words: a line's earliest candidate first, the others if
+   that one isn't similar.
 
 Defined results: lines without words stay.  A null text has no lines that could match, and stays null; an empty text is
 one line without words; an empty table gives no rows.  A very long text is split into its lines where it is read, and a
@@ -29,6 +30,7 @@ their names, are carried in a struct and come back as they were.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ LOW_BITS = 57
 CROWD = 1024
 #: Words from which a set has a second signature.
 LONG = 64
+#: Parts of the words, by a hash's last bits (a power of two), compared one after the other: less lies on disk at once.
+PASSES = 4
 _SLACK = 1e-9
 _FIELDS = ("doc", "line", "size", "sig", "sig2", "pos")
 _BREAKS = "\t\r\x0b\x0c"
@@ -55,9 +59,13 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _hash(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS)
+
+
 def word_hashes(line: Column) -> Column:
     """The hashes of the distinct words of a line whose breaks are blanks and whose letters are small."""
-    hashes = F.transform(F.split(line, " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+    hashes = F.transform(F.split(line, " "), _hash)
     return F.array_remove(F.array_distinct(hashes), _NO_WORD)
 
 
@@ -81,10 +89,16 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.trim("_text") != "").select("doc", "line", word_hashes(F.col("_text")).alias("words"))  # a condition on the sets would make them twice
 
 
-def _magnitudes(sets: DataFrame) -> Column:
+def _all_words(rows: DataFrame) -> DataFrame:
+    """h: the hash of every word of the texts."""
+    words = F.explode(F.split(F.replace(F.col("_t"), F.lit("\n"), F.lit(" ")), " "))
+    return rows.select(words.alias("w")).where("w <> ''").select(_hash(F.col("w")).alias("h"))
+
+
+def _magnitudes(words: DataFrame) -> Column:
     """For each hash bucket the binary logarithm of its words' count, as a constant array: a table of fixed size."""
-    counts = sets.select(F.explode("words").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    all_buckets = counts.union(sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
+    counts = words.groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    all_buckets = counts.union(words.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))).groupBy("b").agg(F.sum("n").alias("n"))
     magnitude = F.floor(F.log2(F.col("n") + 1)).cast("string")
     blocks = all_buckets.groupBy(F.shiftright("b", 10).alias("block")).agg(F.sort_array(F.collect_list(F.struct("b", magnitude.alias("m")))).alias("x"))
     parts = blocks.select("block", F.array_join("x.m", ",").alias("m")).orderBy("block").collect()  # BUCKETS / 1024 rows
@@ -105,28 +119,43 @@ def _parity(keys: Column, half: bool) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one(k), F.shiftright(k, 1).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per distinct set: first (doc, line), size, sig, sig2, prefix (the keys of its rarest words, rarest first)."""
-    place = _magnitudes(sets)
-    keyed = sets.select("doc", "line", F.sort_array(F.transform("words", lambda h: F.shiftleft(F.get(place, _bucket(h)), LOW_BITS).bitwiseOR(h))).alias("_keys"))
+def classes(sets: DataFrame, similarity: float = SIMILARITY, words: DataFrame | None = None) -> DataFrame:
+    """One row per distinct set: first (doc, line), size, sig, sig2, prefix (the keys of its rarest words, rarest first).
+
+    ``words`` (h) are counted for the order; without them, those of the sets.
+    """
+    place = _magnitudes(sets.select(F.explode("words").alias("h")) if words is None else words)
+    magnitude = lambda h: F.coalesce(F.get(place, _bucket(h)), F.lit(0).cast("long"))  # noqa: E731 - never null, so that the keys are sorted as numbers
+    keyed = sets.select("doc", "line", F.sort_array(F.transform("words", lambda h: F.shiftleft(magnitude(h), LOW_BITS).bitwiseOR(h))).alias("_keys"))
     size = F.size("_keys")
     made = keyed.select("doc", "line", size.alias("size"), _parity(F.col("_keys"), False).alias("sig"), F.when(size > LONG, _parity(F.col("_keys"), True)).otherwise(F.lit(0).cast("long")).alias("sig2"), F.xxhash64("_keys").alias("id"), F.xxhash64(F.lit(1), F.col("_keys")).alias("id2"), F.slice("_keys", F.lit(1), size - _ceil(size * similarity) + 1).alias("prefix"))
     found = made.groupBy("id", "id2").agg(F.min(F.struct("doc", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sig", "sig2", "prefix")])
     return found.select("first.doc", "first.line", "size", "sig", "sig2", "prefix")
 
 
-def _index(found: DataFrame, t: float) -> DataFrame:
+def _index(found: DataFrame, t: float, prefix: Column | None = None) -> DataFrame:
     """A row for each word of a prefix; without classes whose size only equal sets could match."""
+    prefix = F.col("prefix") if prefix is None else prefix
     matchable = (F.floor(F.col("size") / t + F.lit(_SLACK)) > F.col("size")) | (_ceil(F.col("size") * t) < F.col("size"))
-    return found.where(matchable).select("doc", "line", "size", "sig", "sig2", F.posexplode("prefix").alias("pos", "key"))
+    return found.where(matchable).select("doc", "line", "size", "sig", "sig2", F.posexplode(prefix).alias("pos", "key"))
 
 
 def _side(index: DataFrame, side: str, *more: str) -> DataFrame:
     return index.select("key", *[F.col(n).alias(f"{side}_{n}") for n in _FIELDS], *more)
 
 
+def _earlier() -> Column:
+    """Whether y comes before x."""
+    return (F.col("y_doc") < F.col("x_doc")) | ((F.col("y_doc") == F.col("x_doc")) & (F.col("y_line") < F.col("x_line")))
+
+
+def _short(size: Column, t: float) -> Column:
+    """Words of the smaller set beyond the first that are enough."""
+    return size - _ceil(size * (2 * t / (1 + t)))
+
+
 def _close(t: float) -> Column:
-    """The filters between the sides x and y of a join, y the earlier one."""
+    """The filters between the sides x and y of a join."""
     c = F.col
     total = c("x_size") + c("y_size")
     need = _ceil(total * (t / (1 + t)))
@@ -136,8 +165,16 @@ def _close(t: float) -> Column:
     signatures = (F.bit_count(one) <= apart) & ((c("x_size") <= LONG) | (c("y_size") <= LONG) | (F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two) <= apart))
     positions = F.least(c("x_size") - c("x_pos"), c("y_size") - c("y_pos")) >= need - F.least("x_pos", "y_pos")
     smaller = F.when(c("x_size") <= c("y_size"), c("x_pos")).otherwise(c("y_pos"))
-    earlier = (c("y_doc") < c("x_doc")) | ((c("y_doc") == c("x_doc")) & (c("y_line") < c("x_line")))
-    return earlier & signatures & (short >= _ceil(long_ * t)) & (smaller <= short - _ceil(short * (2 * t / (1 + t)))) & positions
+    return signatures & (short >= _ceil(long_ * t)) & (smaller <= _short(short, t)) & positions
+
+
+def _at_once(index: DataFrame, short: DataFrame, t: float) -> DataFrame:
+    """Close pairs of all classes of each word: y, the smaller set, by its first words only; then x the later one."""
+    c = F.col
+    found = _side(index, "x").join(_side(short, "y"), "key").where(((c("y_size") < c("x_size")) | ((c("y_size") == c("x_size")) & _earlier())) & _close(t))
+    later = lambda n: F.when(_earlier(), c(f"x_{n}")).otherwise(c(f"y_{n}")).alias(f"x_{n}")
+    earlier = lambda n: F.when(_earlier(), c(f"y_{n}")).otherwise(c(f"x_{n}")).alias(f"y_{n}")
+    return found.select(later("doc"), later("line"), earlier("doc"), earlier("line")).distinct()
 
 
 def _step(size: str, t: float) -> Column:
@@ -164,32 +201,48 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     return out
 
 
+def _settled(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """As ``_verified``: each line's earliest candidate first, the others only of lines that this doesn't settle.
+
+    Of a group of near copies nearly all go with the first, so its pairs are not verified one by one.
+    """
+    line = ["x_doc", "x_line"]
+    first = cut(pairs.groupBy(*line).agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select(*line, "y.*"), "earliest")
+    gone = _verified(first, rows, t)
+    open_ = first.join(gone.toDF(*line), line, "left_anti").toDF(*line, "_doc", "_line")
+    left = cut(pairs.join(open_, line).where((F.col("y_doc") != F.col("_doc")) | (F.col("y_line") != F.col("_line"))).select(*_PAIR).distinct(), "left")
+    both = gone.union(_verified(left, rows, t))
+    drop(first, left)
+    return both
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
     t, rows = similarity, _known(docs, id_col, text_col)
-    sets = cut(line_sets(docs, id_col, text_col), "words")
-    found = cut(classes(sets, t), "classes")
-    drop(sets)
+    found = cut(classes(line_sets(docs, id_col, text_col), t, _all_words(rows)), "classes")
     index = _index(found, t)
     maybe = F.shiftright("key", LOW_BITS) >= (CROWD + 1).bit_length() - 1  # of rarer buckets no word can have as many classes
     crowded = cut(index.where(maybe).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
     n_crowded = crowded.count()
     crowd = small(crowded, n_crowded)
-    modest = index.join(crowd, "key", "left_anti") if n_crowded else index
-    pairs = cut(_side(modest, "x").join(_side(modest, "y"), "key").where(_close(t)).select(*_PAIR).distinct(), "pairs")
-    done = [pairs, crowded]
+    shorter = _index(found, t, F.slice("prefix", F.lit(1), _short(F.col("size"), t) + 1))
+    modest, short = (x.join(crowd, "key", "left_anti") if n_crowded else x for x in (index, shorter))
+    part = lambda x, p: x.where(F.col("key").bitwiseAND(PASSES - 1) == p)
+    passes = [cut(_at_once(part(modest, p), part(short, p), t), "pairs") for p in range(PASSES)]
+    pairs = reduce(DataFrame.union, passes)
+    done = [*passes, crowded]
     if n_crowded:
         many = cut(index.join(crowd, "key", "left_semi"), "many")
         first = many.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("y")).select("key", *[F.col(f"y.{n}").alias(f"y_{n}") for n in _FIELDS])
-        with_first = cut(_side(many, "x").join(small(first, n_crowded), "key").where(_close(t)).select(*_PAIR).distinct(), "first")
-        gone = _verified(pairs.union(with_first).distinct(), rows, t)
+        with_first = cut(_side(many, "x").join(small(first, n_crowded), "key").where(_earlier() & _close(t)).select(*_PAIR).distinct(), "first")
+        gone = _settled(pairs.union(with_first), rows, t)
         near = F.explode(F.array(*[_step("x_size", t) + F.lit(k) for k in (-1, 0, 1)]))
         open_ = _side(many.join(gone, ["doc", "line"], "left_anti"), "x").select("*", near.alias("step"))
-        rest = cut(open_.join(_side(many, "y").withColumn("step", _step("y_size", t)), ["key", "step"]).where(_close(t)).select(*_PAIR).distinct(), "rest")
-        gone = gone.union(_verified(rest, rows, t))
+        rest = cut(open_.join(_side(many, "y").withColumn("step", _step("y_size", t)), ["key", "step"]).where(_earlier() & _close(t)).select(*_PAIR).distinct(), "rest")
+        gone = gone.union(_settled(rest, rows, t))
         done += [many, with_first, rest]
     else:
-        gone = _verified(pairs, rows, t)
+        gone = _settled(pairs, rows, t)
     stay = found.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     kept = cut(stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept")), "kept")  # lines of one document
     drop(found, *done)

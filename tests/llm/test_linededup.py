@@ -126,3 +126,16 @@ def test_columns_with_names_used_inside(spark):
 def test_empty_table(empty):
     assert L.line_decisions(empty).count() == 0
     assert L.dedup_lines(empty).count() == 0
+
+
+def test_few_pairs_of_a_near_copy_group_are_verified_and_no_words_are_written(spark, make, monkeypatch):
+    """Also of a group below the size of a crowded word."""
+    rng = random.Random(8)
+    words = make(rng, 40).split()
+    rows = [(i, " ".join([*words[: i % 40], f"v{i}", *words[i % 40 + 1 :]])) for i in range(120)]
+    asked, written, verified, cut = [], [], L._verified, L.cut
+    monkeypatch.setattr(L, "_verified", lambda pairs, *a: (asked.append(pairs.count()), verified(pairs, *a))[1])
+    monkeypatch.setattr(L, "cut", lambda df, name: (written.append(name), cut(df, name))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
+    assert sum(asked) <= 2 * len(rows) and "words" not in written
