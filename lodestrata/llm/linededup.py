@@ -13,10 +13,11 @@ whether or not that earlier line is itself removed.
    filter and parity signatures (whose differing bits can't exceed the words in which two sets differ) are
    conditions of the join, so pairs that fail never leave it.  Sets too small to be similar to any but an equal one
    stay out of the index.
-4. Classes of a word with up to ``CROWD`` of them are compared with each other at once, the smaller set by its first
-   words only and a part of the words after the other: a word makes no more than CROWD / 2 pairs a row.  In a crowded word a class is first compared with the earliest one; in a group of near copies
-   that settles nearly all, so the pairs of a group are never listed.  Classes that neither step settles are joined
-   with all earlier ones of their crowded words, by word and step of size, which spreads one word over several keys.
+4. In a word with more than ``LED`` classes each is first compared with the earliest one.  In a group of near copies
+   that settles nearly all, and what is settled isn't looked up again, so the pairs of a large group are never listed.
+   Then classes of a word with up to ``CROWD`` of them are compared with each other at once, the smaller set by its
+   first words only and a part of the words after the other.  Classes of more crowded words that no step settles are
+   joined with all earlier ones, by word and step of size, which spreads one word over several keys.
 5. The pairs of each step are verified on the hashes of all words: a line's earliest candidate first, the others if
    that one isn't similar.
 
@@ -35,21 +36,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import any_of, cut, drop, small
+from lodestrata.llm.common import BROADCAST_ROWS, any_of, cut, drop, small
 
 SIMILARITY, BUCKETS = 0.8, 1 << 18
 #: Bits of a word's hash; two of the words of two lines of 50 have the same with a chance of 2e-11.
 HASH_BITS = 48
 #: Bits of the hash in a word's key; above them is the magnitude of its bucket's count.
 LOW_BITS = 57
-#: Classes of one word up to which all are compared with each other at once.
-CROWD = 1024
+#: Classes of one word from which the earliest one is tried first, and up to which all are compared with each other at once.
+LED, CROWD = 256, 1024
 #: Words from which a set has a second signature.
 LONG = 64
 #: Parts of the words, by a hash's last bits (a power of two), compared one after the other: less lies on disk at once.
-PASSES = 4
+PASSES = 2
 _SLACK = 1e-9
-_FIELDS = ("doc", "line", "size", "sig", "sig2", "pos")
+_FIELDS = ("doc", "line", "size", "sig", "sig2", "pos", "gone")
 _BREAKS = "\t\r\x0b\x0c"
 #: Fixed value: the hash of the empty text.
 _NO_WORD = (-7444071767201028348 & (1 << 64) - 1) >> (64 - HASH_BITS)
@@ -80,18 +81,18 @@ def _plain(text: Column) -> Column:
 
 def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents with an id; of rows that repeat one, every text counts."""
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _plain(F.col(text_col)).alias("_t"))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_t"))
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, line, words (hashes) of every line with words."""
-    lines = _known(docs, id_col, text_col).select("doc", F.posexplode(F.split("_t", "\n")).alias("line", "_text"))
+    lines = _known(docs, id_col, text_col).select("doc", F.posexplode(F.split(_plain(F.col("_t")), "\n")).alias("line", "_text"))
     return lines.where(F.trim("_text") != "").select("doc", "line", word_hashes(F.col("_text")).alias("words"))  # a condition on the sets would make them twice
 
 
 def _all_words(rows: DataFrame) -> DataFrame:
     """h: the hash of every word of the texts."""
-    words = F.explode(F.split(F.replace(F.col("_t"), F.lit("\n"), F.lit(" ")), " "))
+    words = F.explode(F.split(F.replace(_plain(F.col("_t")), F.lit("\n"), F.lit(" ")), " "))
     return rows.select(words.alias("w")).where("w <> ''").select(_hash(F.col("w")).alias("h"))
 
 
@@ -137,7 +138,7 @@ def _index(found: DataFrame, t: float, prefix: Column | None = None) -> DataFram
     """A row for each word of a prefix; without classes whose size only equal sets could match."""
     prefix = F.col("prefix") if prefix is None else prefix
     matchable = (F.floor(F.col("size") / t + F.lit(_SLACK)) > F.col("size")) | (_ceil(F.col("size") * t) < F.col("size"))
-    return found.where(matchable).select("doc", "line", "size", "sig", "sig2", F.posexplode(prefix).alias("pos", "key"))
+    return found.where(matchable).select("doc", "line", "size", "sig", "sig2", "gone", F.posexplode(prefix).alias("pos", "key"))
 
 
 def _side(index: DataFrame, side: str, *more: str) -> DataFrame:
@@ -169,9 +170,10 @@ def _close(t: float) -> Column:
 
 
 def _at_once(index: DataFrame, short: DataFrame, t: float) -> DataFrame:
-    """Close pairs of all classes of each word: y, the smaller set, by its first words only; then x the later one."""
+    """Close pairs of all classes of each word whose later one isn't gone: y, the smaller set, by its first words only; then x the later one."""
     c = F.col
-    found = _side(index, "x").join(_side(short, "y"), "key").where(((c("y_size") < c("x_size")) | ((c("y_size") == c("x_size")) & _earlier())) & _close(t))
+    stays = ~F.when(_earlier(), c("x_gone")).otherwise(c("y_gone"))
+    found = _side(index, "x").join(_side(short, "y"), "key").where(((c("y_size") < c("x_size")) | ((c("y_size") == c("x_size")) & _earlier())) & _close(t) & stays)
     later = lambda n: F.when(_earlier(), c(f"x_{n}")).otherwise(c(f"y_{n}")).alias(f"x_{n}")
     earlier = lambda n: F.when(_earlier(), c(f"y_{n}")).otherwise(c(f"x_{n}")).alias(f"y_{n}")
     return found.select(later("doc"), later("line"), earlier("doc"), earlier("line")).distinct()
@@ -189,7 +191,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """doc, line of the pairs' later lines whose sets are similar, by the hashes of all their words."""
     asked = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
     wanted = cut(asked.groupBy("doc").agg(F.collect_list("line").alias("lines")), "wanted")  # lines of one document
-    split = rows.join(small(wanted, wanted.count()), "doc").select("doc", "lines", F.split("_t", "\n").alias("_all"))
+    split = rows.join(small(wanted, wanted.count()), "doc").select("doc", "lines", F.split(_plain(F.col("_t")), "\n").alias("_all"))
     picked = split.select("doc", F.explode(F.transform("lines", lambda k: F.struct(k.alias("line"), F.get("_all", k).alias("text")))).alias("x"))
     found = cut(picked.where("trim(x.text) <> ''").select("doc", "x.line", word_hashes(F.col("x.text")).alias("words")).dropDuplicates(), "sets")
     x, y = (found.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "words")]) for s in "xy")
@@ -219,33 +221,44 @@ def _settled(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """_id and kept: the numbers of the document's lines (with words) that have no earlier match; documents without any are left out."""
     t, rows = similarity, _known(docs, id_col, text_col)
-    found = cut(classes(line_sets(docs, id_col, text_col), t, _all_words(rows)), "classes")
+    made = cut(classes(line_sets(docs, id_col, text_col), t, _all_words(rows)), "classes")
+    found, done = made.withColumn("gone", F.lit(False)), [made]
     index = _index(found, t)
-    maybe = F.shiftright("key", LOW_BITS) >= (CROWD + 1).bit_length() - 1  # of rarer buckets no word can have as many classes
-    crowded = cut(index.where(maybe).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
-    n_crowded = crowded.count()
-    crowd = small(crowded, n_crowded)
+    maybe = F.shiftright("key", LOW_BITS) >= (min(LED, CROWD) + 1).bit_length() - 1  # of rarer buckets no word can have as many classes
+    led = cut(index.where(maybe).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(LED, CROWD)), "led")
+    done.append(led)
+    n_led, n_crowded = led.agg(F.count(F.lit(1)), F.count_if(F.col("n") > CROWD)).first()
+    gone = None
+    if n_led:
+        many = cut(index.where(maybe).join(small(led, n_led), "key"), "many")
+        first = many.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("y")).select("key", *[F.col(f"y.{n}").alias(f"y_{n}") for n in _FIELDS])
+        with_first = cut(_side(many, "x").join(small(first, n_led), "key").where(_earlier() & _close(t)).select(*_PAIR).distinct(), "first")
+        gone = _settled(with_first, rows, t)
+        done += [many, with_first]
+        n_gone = gone.count()
+        found = made.join(small(gone.withColumn("gone", F.lit(True)), n_gone), ["doc", "line"], "left").fillna(False, ["gone"])
+        if n_gone > BROADCAST_ROWS:
+            done.append(found := cut(found, "marked"))
+        index = _index(found, t)
     shorter = _index(found, t, F.slice("prefix", F.lit(1), _short(F.col("size"), t) + 1))
+    crowd = small(led.where(F.col("n") > CROWD).select("key"), n_crowded)
     modest, short = (x.join(crowd, "key", "left_anti") if n_crowded else x for x in (index, shorter))
     part = lambda x, p: x.where(F.col("key").bitwiseAND(PASSES - 1) == p)
     passes = [cut(_at_once(part(modest, p), part(short, p), t), "pairs") for p in range(PASSES)]
-    pairs = reduce(DataFrame.union, passes)
-    done = [*passes, crowded]
+    once = cut(reduce(DataFrame.union, passes).distinct(), "once")  # words of several parts may have the same pair
+    done += [*passes, once]
+    settled = _settled(once, rows, t)
+    gone = settled if gone is None else gone.union(settled)
     if n_crowded:
-        many = cut(index.join(crowd, "key", "left_semi"), "many")
-        first = many.groupBy("key").agg(F.min(F.struct(*_FIELDS)).alias("y")).select("key", *[F.col(f"y.{n}").alias(f"y_{n}") for n in _FIELDS])
-        with_first = cut(_side(many, "x").join(small(first, n_crowded), "key").where(_earlier() & _close(t)).select(*_PAIR).distinct(), "first")
-        gone = _settled(pairs.union(with_first), rows, t)
+        many = many.where(F.col("n") > CROWD)
         near = F.explode(F.array(*[_step("x_size", t) + F.lit(k) for k in (-1, 0, 1)]))
         open_ = _side(many.join(gone, ["doc", "line"], "left_anti"), "x").select("*", near.alias("step"))
         rest = cut(open_.join(_side(many, "y").withColumn("step", _step("y_size", t)), ["key", "step"]).where(_earlier() & _close(t)).select(*_PAIR).distinct(), "rest")
         gone = gone.union(_settled(rest, rows, t))
-        done += [many, with_first, rest]
-    else:
-        gone = _settled(pairs, rows, t)
-    stay = found.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
+        done.append(rest)
+    stay = made.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     kept = cut(stay.groupBy(F.col("doc").alias("_id")).agg(F.array_sort(F.collect_list("line")).alias("kept")), "kept")  # lines of one document
-    drop(found, *done)
+    drop(*done)
     return kept
 
 

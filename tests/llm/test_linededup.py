@@ -139,3 +139,44 @@ def test_few_pairs_of_a_near_copy_group_are_verified_and_no_words_are_written(sp
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
     assert sum(asked) <= 2 * len(rows) and "words" not in written
+
+
+@pytest.fixture
+def listed(monkeypatch):
+    """Rows of the tables that are written, by name."""
+    out, cut = {}, L.cut
+
+    def counting(df, name):
+        made = cut(df, name)
+        out.setdefault(name, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(L, "cut", counting)
+    return out
+
+
+def test_pairs_of_a_group_below_a_crowded_words_size_are_not_listed(spark, make, monkeypatch, listed):
+    """What the earliest class of a word settles isn't looked up again: five times the copies, not 25 times the pairs."""
+    monkeypatch.setattr(L, "LED", 16)
+    words = make(random.Random(12), 40).split()
+    rows = [(i, " ".join([*words[: i % 40], f"v{i}", *words[i % 40 + 1 :]])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
+    assert sum(listed["pairs"]) <= len(rows) and sum(listed["first"]) <= len(rows) * 20
+
+
+def test_a_pair_is_tried_once_whatever_parts_its_words_are_in(spark, rows, monkeypatch, listed):
+    tried, settled = [], L._settled
+    monkeypatch.setattr(L, "_settled", lambda pairs, *a: (tried.append((pairs.count(), pairs.distinct().count())), settled(pairs, *a))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
+    assert all(n == distinct for n, distinct in tried) and sum(listed["pairs"]) > tried[0][1]
+
+
+@pytest.mark.parametrize(("led", "crowd", "broadcast"), [(1, 5, 0), (2, 4, 200_000), (3, 1024, 0)])
+def test_leaders_lose_no_line(spark, rows, monkeypatch, led, crowd, broadcast):
+    monkeypatch.setattr(L, "LED", led)
+    monkeypatch.setattr(L, "CROWD", crowd)
+    monkeypatch.setattr(L, "BROADCAST_ROWS", broadcast)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._id: r.kept_lines for r in L.line_decisions(df).collect()} == brute(rows)
